@@ -61,7 +61,71 @@ VIEWS["split_out"] = """
   WHERE rn <= train_n + LEAST(50, GREATEST(0, c - train_n))
 """
 
-ORDER = ["d_labels", "split_l0", "split_b", "split_r", "split_a", "split_out"]
+# raw answers: known values per (model, doc) — FIXTURES part C
+VIEWS["raw_expect"] = """
+  SELECT l.doc_id, m.model, lpad(CAST(l.doc_id AS VARCHAR), 12, '0') AS meta_id, l.doc_id % 15 AS cls,
+    CAST(CASE WHEN (l.doc_id * m.prime) % 100 < m.pct THEN -((l.doc_id * 37) % 201 - 100)
+              ELSE (l.doc_id * 37) % 201 - 100 END AS DOUBLE) / 100 AS s,
+    CASE WHEN (l.toxic = 1) <> ((l.doc_id * m.prime) % 100 < m.pct) THEN 'yes' ELSE 'no' END AS y,
+    CASE WHEN (l.quality = 1) <> ((l.doc_id * m.prime) % 100 < m.pct) THEN 'yes' ELSE 'no' END AS c
+  FROM labels l CROSS JOIN (VALUES ('m_alpha', 7919, 15), ('m_beta', 104729, 30)) m(model, prime, pct)
+"""
+VIEWS["parse_expect"] = """
+  SELECT model, meta_id, doc_id AS idx, cls NOT IN (12, 13) AS parsed,
+    CASE WHEN cls = 1 THEN 'codefence_stripped' WHEN cls IN (2, 3) THEN 'balanced_block'
+         WHEN cls IN (12, 13) THEN 'none' WHEN cls = 14 THEN 'pattern_match' ELSE 'strict' END AS mode,
+    CASE WHEN cls IN (11, 12, 13) THEN NULL ELSE s END AS stance,
+    CASE WHEN cls IN (12, 13) THEN NULL WHEN cls = 10 THEN CASE WHEN y = 'yes' THEN '1' ELSE '0' END
+         WHEN cls = 11 THEN '' ELSE y END AS sensitive,
+    CASE WHEN cls IN (6, 7, 12, 13) THEN NULL WHEN cls = 10 THEN CASE WHEN c = 'yes' THEN '1' ELSE '0' END
+         ELSE c END AS collective,
+    CASE WHEN cls IN (12, 13) THEN NULL WHEN cls IN (6, 7) THEN 2 WHEN cls = 10 THEN 7
+         WHEN cls = 11 THEN 11 ELSE 3 END AS n_keys,
+    cls, s, y, c
+  FROM raw_expect
+"""
+# two-group answers merged per item (group 'china' always, 'content' unless
+# missing or unparseable, 'china' answered again when doc_id % 13 = 0)
+VIEWS["grouped_expect"] = """
+  SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS meta_id, doc_id,
+    (doc_id % 11 <> 0 AND doc_id % 7 <> 3) AS has_content,
+    CASE WHEN doc_id % 13 = 0 AND doc_id % 2 = 0 THEN 'no' ELSE 'yes' END AS related,
+    CASE WHEN doc_id % 3 = 0 THEN 'pro' WHEN doc_id % 3 = 1 THEN 'anti' ELSE 'neutral/unclear' END AS gov,
+    CASE WHEN doc_id % 13 = 0 THEN 'cannot_determine' WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS sensitive,
+    CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 3 AND doc_id % 5 = 0 THEN 'cannot_determine'
+         WHEN quality = 1 THEN 'yes' ELSE 'no' END AS collective,
+    CASE WHEN NOT (doc_id % 11 <> 0 AND doc_id % 7 <> 3) THEN NULL
+         WHEN doc_id % 6 = 0 THEN 'yes' ELSE 'no' END AS hate
+  FROM labels
+"""
+# comprehensive gold (source-column values, as labelled)
+VIEWS["comp_gold"] = """
+  SELECT lpad(CAST(l.doc_id AS VARCHAR), 12, '0') AS meta_id, l.doc_id,
+    CASE WHEN l.doc_id % 4 = 0 THEN 'no' ELSE 'yes' END AS china_related,
+    CASE WHEN l.doc_id % 3 = 0 THEN 'pro' WHEN l.doc_id % 3 = 1 THEN 'anti' ELSE 'neutral/unclear' END AS stance_gov,
+    CASE WHEN l.doc_id % 9 < 3 THEN 'pro' WHEN l.doc_id % 9 < 6 THEN 'anti' ELSE 'neutral' END AS stance_culture,
+    CASE WHEN l.doc_id % 5 = 0 THEN 'anti' WHEN l.doc_id % 5 = 1 THEN 'pro' ELSE 'Neutral/Unclear' END AS stance_tech,
+    CASE WHEN l.toxic = 1 THEN 'yes' ELSE 'no' END AS sensitive,
+    CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS collective_action,
+    CASE WHEN l.doc_id % 6 = 0 THEN 'yes' ELSE 'no' END AS hate_speech,
+    CASE WHEN l.doc_id % 7 = 0 THEN 'yes' WHEN l.doc_id % 7 = 1 THEN 'cannot_determine' ELSE 'no' END AS harmful,
+    CASE WHEN d.lang = 'en' THEN 'yes' ELSE 'no' END AS news,
+    CASE WHEN l.doc_id % 10 = 3 THEN 'yes' ELSE 'no' END AS inauthentic,
+    CASE WHEN l.doc_id % 8 = 5 THEN 'yes' ELSE 'no' END AS derivative
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+"""
+# standard gold of the built validation records (stance present, text valid)
+VIEWS["std_gold"] = """
+  SELECT lpad(CAST(l.doc_id AS VARCHAR), 12, '0') AS meta_id,
+    GREATEST(-1.0, LEAST(1.0, l.china_stance_score)) AS g_stance,
+    CASE WHEN l.sensitive >= 0.5 THEN 'yes' ELSE 'no' END AS g_sens,
+    CASE WHEN l.collective_action >= 0.5 THEN 'yes' ELSE 'no' END AS g_coll
+  FROM d_labels l JOIN documents d ON l.doc_id = d.doc_id
+  WHERE l.china_stance_score IS NOT NULL
+"""
+
+ORDER = ["d_labels", "split_l0", "split_b", "split_r", "split_a", "split_out", "raw_expect",
+         "parse_expect", "grouped_expect", "comp_gold", "std_gold"]
 
 
 def with_views(names: list[str], body: str) -> str:

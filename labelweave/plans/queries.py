@@ -72,3 +72,136 @@ def q_split_cells(spark, sf):
                     F.coalesce(F.col("t"), F.lit(0)).cast("bigint").alias("train_got"),
                     F.coalesce(F.col("v"), F.lit(0)).cast("bigint").alias("val_got"),
                     ((F.col("c") >= 2) & (F.coalesce(F.col("v"), F.lit(0)) == 0)).alias("starved"))
+
+
+# --- parse (J1–J19, A6, S13) ----------------------------------------------------------
+
+from labelweave.operators import parse as PA  # noqa: E402
+from labelweave.operators import merge as MG  # noqa: E402
+from labelweave.operators import records as RC  # noqa: E402
+from labelweave.operators import scoring as SC  # noqa: E402
+from labelweave.functions.text import to_double  # noqa: E402
+
+
+def _parsed(spark, sf):
+    return PA.parse_predictions(S.d_raw(spark, sf))
+
+
+@register("parse_answers", with_views(["parse_expect"], """
+SELECT model, meta_id, idx, parsed, mode, stance, sensitive, collective, n_keys FROM parse_expect"""))
+def q_parse_answers(spark, sf):
+    """Extraction ladder over two models' raw answers (one row per answer)."""
+    p = _parsed(spark, sf)
+    j = F.col("json")
+    return p.select("model", "meta_id", "idx", "parsed", "mode",
+                    to_double(F.try_element_at(j, F.lit("china_stance_score"))).alias("stance"),
+                    F.try_element_at(j, F.lit("china_sensitive")).alias("sensitive"),
+                    F.try_element_at(j, F.lit("collective_action")).alias("collective"),
+                    F.when(F.col("parsed"), F.size(j)).alias("n_keys"))
+
+
+@register("parse_rate", with_views(["parse_expect"], """
+SELECT model, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE parsed) AS BIGINT) AS ok,
+       round(CAST(count(*) FILTER (WHERE parsed) AS DOUBLE) / count(*), 6) AS parse_rate,
+       CAST(count(*) FILTER (WHERE mode = 'strict') AS BIGINT) AS n_strict,
+       CAST(count(*) FILTER (WHERE mode = 'codefence_stripped') AS BIGINT) AS n_codefence,
+       CAST(count(*) FILTER (WHERE mode = 'balanced_block') AS BIGINT) AS n_balanced,
+       CAST(count(*) FILTER (WHERE mode = 'pattern_match') AS BIGINT) AS n_pattern
+FROM parse_expect GROUP BY model"""))
+def q_parse_rate(spark, sf):
+    """Parse rate and extraction-mode mix per model."""
+    p = _parsed(spark, sf)
+    m = F.col("mode")
+    return p.groupBy("model").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("parsed").alias("ok"),
+        rnd(F.count_if("parsed") / F.count(F.lit(1))).alias("parse_rate"),
+        F.count_if(m == "strict").alias("n_strict"),
+        F.count_if(m == "codefence_stripped").alias("n_codefence"),
+        F.count_if(m == "balanced_block").alias("n_balanced"),
+        F.count_if(m == "pattern_match").alias("n_pattern"))
+
+
+@register("parse_quarantine", with_views(["parse_expect"], """
+SELECT model, idx, meta_id FROM parse_expect WHERE NOT parsed"""))
+def q_parse_quarantine(spark, sf):
+    """The quarantine output (every answer that did not validate)."""
+    p = _parsed(spark, sf)
+    return p.filter(~F.col("parsed")).select("model", "idx", "meta_id")
+
+
+@register("parse_bad_preview", with_views(["parse_expect"], """
+SELECT model, idx, meta_id FROM (
+  SELECT model, idx, meta_id, row_number() OVER (PARTITION BY model ORDER BY idx) AS rn
+  FROM parse_expect WHERE NOT parsed) WHERE rn <= 5"""))
+def q_parse_bad_preview(spark, sf):
+    """First five bad outputs per model by position (top-k per group)."""
+    from pyspark.sql import Window
+    q = _parsed(spark, sf).filter(~F.col("parsed"))
+    w = Window.partitionBy("model").orderBy("idx")
+    return q.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= 5).select("model", "idx", "meta_id")
+
+
+# --- merge (A3–A5, JN3, A15, A22) --------------------------------------------------------
+
+def _merged(spark, sf):
+    parsed = PA.parse_predictions(S.d_grouped(spark, sf), group_mode="binary")
+    return MG.merge_groups(parsed, group_mode="binary")
+
+
+@register("merge_groups", with_views(["grouped_expect"], """
+SELECT meta_id, has_content AS complete,
+       CASE WHEN has_content THEN 'china,content' ELSE 'china' END AS groups_present,
+       CASE WHEN has_content THEN 11 ELSE 6 END AS n_keys,
+       related, gov, sensitive, collective, hate
+FROM grouped_expect"""))
+def q_merge_groups(spark, sf):
+    """A3 + A4 (+ J15/JN7 group validation, P35, W5): per-group answers folded per item."""
+    m = _merged(spark, sf)
+    j = F.col("json")
+    g = lambda k: F.try_element_at(j, F.lit(k))
+    return m.select("meta_id", "complete", F.array_join("groups_present", ",").alias("groups_present"),
+                    F.size(j).alias("n_keys"), g("china_related").alias("related"),
+                    g("china_ccp_government").alias("gov"), g("china_sensitive").alias("sensitive"),
+                    g("collective_action").alias("collective"), g("hate_speech").alias("hate"))
+
+
+@register("merge_stats", with_views(["grouped_expect"], """
+SELECT CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (WHERE has_content) AS BIGINT) AS complete,
+       CAST(count(*) FILTER (WHERE NOT has_content) AS BIGINT) AS partial,
+       CAST(count(*) AS BIGINT) AS n_china, CAST(count(*) FILTER (WHERE has_content) AS BIGINT) AS n_content
+FROM grouped_expect"""))
+def q_merge_stats(spark, sf):
+    """A5: merge statistics (items, complete, partial, items per group)."""
+    m = _merged(spark, sf)
+    has = lambda gname: F.array_contains("groups_present", gname)
+    return m.agg(F.count(F.lit(1)).alias("items"), F.count_if("complete").alias("complete"),
+                 F.count_if(~F.col("complete")).alias("partial"),
+                 F.count_if(has("china")).alias("n_china"), F.count_if(has("content")).alias("n_content"))
+
+
+@register("join_source", with_views(["grouped_expect", "comp_gold"], """
+SELECT g.meta_id AS id, g.china_related AS china_related, e.meta_id IS NOT NULL AS pred_parsed,
+       coalesce(e.has_content, false) AS pred_complete,
+       e.related AS pred_china_related, e.gov AS pred_china_ccp_government,
+       e.sensitive AS pred_china_sensitive, e.collective AS pred_collective_action,
+       e.hate AS pred_hate_speech,
+       CASE WHEN e.has_content THEN 'no' END AS pred_news_segments
+FROM comp_gold g LEFT JOIN grouped_expect e ON g.meta_id = e.meta_id"""))
+def q_join_source(spark, sf):
+    """JN3 + A15: source table left-joined to merged predictions (pred_<key> columns)."""
+    src = S.d_comp_items(spark, sf).select("id", "china_related")
+    j = MG.join_predictions(src, _merged(spark, sf), with_complete=True)
+    return j.select("id", "china_related", "pred_parsed", "pred_complete", "pred_china_related",
+                    "pred_china_ccp_government", "pred_china_sensitive", "pred_collective_action",
+                    "pred_hate_speech", "pred_news_segments")
+
+
+@register("join_match_rate", with_views(["grouped_expect", "comp_gold"], """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(e.meta_id) AS BIGINT) AS matched,
+       round(CAST(count(e.meta_id) AS DOUBLE) / count(*), 6) AS match_rate
+FROM comp_gold g LEFT JOIN grouped_expect e ON g.meta_id = e.meta_id"""))
+def q_join_match_rate(spark, sf):
+    """Share of source rows that found a prediction."""
+    src = S.d_comp_items(spark, sf).select("id")
+    r = MG.match_rate(MG.join_predictions(src, _merged(spark, sf), keys=[]))
+    return r.select("rows", "matched", rnd(F.col("match_rate")).alias("match_rate"))
