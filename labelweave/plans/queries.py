@@ -205,3 +205,185 @@ def q_join_match_rate(spark, sf):
     src = S.d_comp_items(spark, sf).select("id")
     r = MG.match_rate(MG.join_predictions(src, _merged(spark, sf), keys=[]))
     return r.select("rows", "matched", rnd(F.col("match_rate")).alias("match_rate"))
+
+
+# --- scoring (A7–A14, JN1, P31, P36, P42) ------------------------------------------------
+
+MODELS = [m for m, _, _ in S.MODELS]
+
+
+def _sql_f1(g: str, p: str, w: str = "1") -> str:
+    tp = f"sum(CASE WHEN ({g}) AND ({p}) THEN {w} ELSE 0 END)"
+    fp = f"sum(CASE WHEN NOT ({g}) AND ({p}) THEN {w} ELSE 0 END)"
+    fn = f"sum(CASE WHEN ({g}) AND NOT ({p}) THEN {w} ELSE 0 END)"
+    n = f"sum({w})"
+    return (f"CASE WHEN coalesce({n}, 0) = 0 THEN NULL WHEN 2 * {tp} + {fp} + {fn} = 0 THEN 0.0 "
+            f"ELSE CAST(2 * {tp} AS DOUBLE) / (2 * {tp} + {fp} + {fn}) END")
+
+
+def _sql_r2(g: str, p: str) -> str:
+    m = f"{g} IS NOT NULL AND {p} IS NOT NULL"
+    n = f"count(*) FILTER (WHERE {m})"
+    sst = f"(var_pop({g}) FILTER (WHERE {m}) * {n})"
+    ssr = f"sum(({g} - {p}) * ({g} - {p})) FILTER (WHERE {m})"
+    return (f"CASE WHEN {n} < 2 THEN NULL WHEN {sst} = 0 THEN CASE WHEN {ssr} = 0 THEN 1.0 ELSE 0.0 END "
+            f"ELSE 1 - {ssr} / {sst} END")
+
+
+def _sql_r2_w(g: str, p: str, w: str) -> str:
+    m = f"{g} IS NOT NULL AND {p} IS NOT NULL"
+    W = f"sum(CASE WHEN {m} THEN CAST({w} AS DOUBLE) END)"
+    sg = f"sum(CASE WHEN {m} THEN CAST({w} AS DOUBLE) * {g} END)"
+    sst = f"(sum(CASE WHEN {m} THEN CAST({w} AS DOUBLE) * {g} * {g} END) - {sg} * {sg} / {W})"
+    ssr = f"sum(CASE WHEN {m} THEN CAST({w} AS DOUBLE) * ({g} - {p}) * ({g} - {p}) END)"
+    return (f"CASE WHEN coalesce({W}, 0) < 2 THEN NULL WHEN {sst} = 0 THEN CASE WHEN {ssr} = 0 THEN 1.0 "
+            f"ELSE 0.0 END ELSE 1 - {ssr} / {sst} END")
+
+
+def _sql_long(wide_cte: str, metrics: list[str], keys: str = "model") -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT {keys}, '{m}' AS metric, round({m}, 6) AS score, {i} AS metric_pos FROM {wide_cte}"
+        for i, m in enumerate(metrics))
+
+
+_STD_PAIRS = """
+std_pairs AS (
+  SELECT m.model, g.meta_id, g.g_stance, g.g_sens, g.g_coll,
+         CASE WHEN p.stance IS NOT NULL THEN GREATEST(-1.0, LEAST(1.0, p.stance)) END AS p_stance,
+         CASE WHEN lower(trim(p.sensitive)) IN ('yes', 'no', 'cannot_determine') THEN lower(trim(p.sensitive)) ELSE '' END AS p_sens,
+         CASE WHEN lower(trim(p.collective)) IN ('yes', 'no', 'cannot_determine') THEN lower(trim(p.collective)) ELSE '' END AS p_coll
+  FROM std_gold g CROSS JOIN (VALUES ('m_alpha'), ('m_beta')) m(model)
+  LEFT JOIN parse_expect p ON p.model = m.model AND p.meta_id = g.meta_id AND p.parsed)"""
+
+_STD_METRIC_SQL = {
+    "stance_R2": _sql_r2("g_stance", "p_stance"),
+    "stance_pos_F1": _sql_f1("coalesce(g_stance > 0, false)", "coalesce(p_stance > 0, false)"),
+    "stance_neg_F1": _sql_f1("coalesce(g_stance < 0, false)", "coalesce(p_stance < 0, false)"),
+    "ch_sensitive_F": _sql_f1("g_sens = 'yes'", "p_sens = 'yes'"),
+    "col_action_F": _sql_f1("g_coll = 'yes'", "p_coll = 'yes'"),
+}
+
+
+def _val_gold(spark, sf):
+    recs = RC.build_records(S.d_items(spark, sf))
+    return SC.gold_table(recs)
+
+
+@register("score_standard", with_views(["std_gold", "parse_expect"], "WITH " + _STD_PAIRS + """,
+wide AS (SELECT model, """ + ",\n".join(f"{e} AS {k}" for k, e in _STD_METRIC_SQL.items()) + """
+         FROM std_pairs GROUP BY model)
+""" + _sql_long("wide", SC.STANDARD_F1_METRICS)))
+def q_score_standard(spark, sf):
+    """A7–A9, A12, A14, JN1, P31, P36: standard scorecard of two models (long form)."""
+    s = SC.score_standard(_val_gold(spark, sf), _parsed(spark, sf), MODELS)
+    return s.select("model", "metric", rnd(F.col("score")).alias("score"), F.col("metric_pos").cast("int"))
+
+
+def _comp_sql() -> str:
+    cb_dims = [("china_related", "binary", "china_related", "related"),
+               ("china_sensitive", "binary", "sensitive", "p_sensitive"),
+               ("collective_action", "binary", "collective_action", "p_collective"),
+               ("hate_speech", "binary", "hate_speech", "hate"),
+               ("harmful_content", "binary", "harmful", "CASE WHEN has_content THEN 'no' END"),
+               ("news_segments", "binary", "news", "CASE WHEN has_content THEN 'no' END"),
+               ("inauthentic_content", "binary", "inauthentic", "CASE WHEN has_content THEN 'no' END"),
+               ("derivative_content", "binary", "derivative", "CASE WHEN has_content THEN 'no' END"),
+               ("china_ccp_government", "stance", "stance_gov", "gov"),
+               ("china_people_culture", "stance", "stance_culture", "'pro'"),
+               ("china_technology_development", "stance", "stance_tech", "'anti'")]
+
+    def norm(x):
+        t = f"lower(trim(coalesce({x}, '')))"
+        return (f"CASE WHEN {t} IN ('', 'nan', 'none', 'n/a') THEN 'n/a' "
+                f"WHEN {t} IN ('neutral', 'unclear', 'neutral/unclear') THEN 'neutral/unclear' ELSE {t} END")
+
+    def yn(x):
+        t = f"lower(trim({x}))"
+        return f"CASE WHEN {t} IN ('yes', 'no', 'cannot_determine') THEN {t} ELSE '' END"
+    sel = []
+    for key, kind, gcol, pexpr in cb_dims:
+        pe = f"(CASE WHEN e.e_id IS NULL THEN NULL ELSE {pexpr} END)"
+        if kind == "binary":
+            sel += [f"{yn('g.' + gcol)} AS g_{key}", f"{yn(pe)} AS p_{key}"]
+        else:
+            sel += [f"{norm('g.' + gcol)} AS g_{key}", f"{norm(pe)} AS p_{key}"]
+    pairs = ("comp_pairs AS (SELECT 'm_alpha' AS model, g.meta_id AS meta_id, " + ", ".join(sel) +
+             " FROM comp_gold g LEFT JOIN (SELECT meta_id AS e_id, meta_id, has_content, related, gov, "
+             "sensitive AS p_sensitive, collective AS p_collective, hate FROM grouped_expect) e "
+             "ON g.meta_id = e.e_id)")
+    metrics = {}
+    for key, kind, _, _ in cb_dims:
+        if kind == "binary":
+            metrics[SC.BINARY_METRIC[key]] = _sql_f1(f"g_{key} = 'yes'", f"p_{key} = 'yes'")
+        else:
+            pre = SC.STANCE_PREFIX[key]
+            keep = f"g_{key} IN ('pro', 'anti', 'neutral/unclear')"
+            w = f"CASE WHEN {keep} THEN 1 ELSE 0 END"
+            per = []
+            for lab in SC.STANCE_CLASSES:
+                e = _sql_f1(f"g_{key} = '{lab}'", f"p_{key} = '{lab}'", w)
+                metrics[f"{pre}_{SC.STANCE_SUFFIX[lab]}"] = e
+                per.append(f"({e})")
+            metrics[f"{pre}_f1_macro"] = "(" + " + ".join(per) + f") / {len(per)}"
+    order = SC.comprehensive_metric_order()
+    wide = ("wide AS (SELECT model, " + ",\n".join(f"{metrics[m]} AS {m}" for m in order) +
+            " FROM comp_pairs GROUP BY model)")
+    return with_views(["comp_gold", "grouped_expect"], "WITH " + pairs + ",\n" + wide + "\n" +
+                      _sql_long("wide", order))
+
+
+def _comp_gold(spark, sf):
+    recs = RC.build_records(S.d_comp_items(spark, sf), comprehensive=True)
+    return SC.gold_table(recs)
+
+
+@register("score_comprehensive", _comp_sql())
+def q_score_comprehensive(spark, sf):
+    """A10, A11, A14 (E3 end to end): grouped answers -> parse -> merge -> 20-metric scorecard."""
+    preds = _merged(spark, sf).withColumn("model", F.lit("m_alpha"))
+    s = SC.score_comprehensive(_comp_gold(spark, sf), preds, ["m_alpha"])
+    return s.select("model", "metric", rnd(F.col("score")).alias("score"), F.col("metric_pos").cast("int"))
+
+
+_BOOT_B, _BOOT_SEED, _BOOT_ALPHA = 1000, 0, 0.05
+
+
+def _boot_sql() -> str:
+    w = "w"
+    rep = {
+        "stance_R2": _sql_r2_w("g_stance", "p_stance", w),
+        "stance_pos_F1": _sql_f1("coalesce(g_stance > 0, false)", "coalesce(p_stance > 0, false)", w),
+        "stance_neg_F1": _sql_f1("coalesce(g_stance < 0, false)", "coalesce(p_stance < 0, false)", w),
+        "ch_sensitive_F": _sql_f1("g_sens = 'yes'", "p_sens = 'yes'", w),
+        "col_action_F": _sql_f1("g_coll = 'yes'", "p_coll = 'yes'", w),
+    }
+    names = SC.STANDARD_F1_METRICS
+    body = "WITH " + _STD_PAIRS + f""",
+idx AS (SELECT meta_id, row_number() OVER (ORDER BY meta_id) - 1 AS r FROM std_gold),
+nn AS (SELECT count(*) AS n FROM idx),
+draws AS (SELECT t.range AS b,
+            ('0x' || substr(md5('{_BOOT_SEED}:' || CAST(t.range AS VARCHAR) || ':' || CAST(i.r AS VARCHAR)), 1, 15))::BIGINT % nn.n AS r
+          FROM range(0, {_BOOT_B}) t, idx i, nn),
+wts AS (SELECT b, r, count(*) AS w FROM draws GROUP BY b, r),
+pr AS (SELECT p.*, i.r FROM std_pairs p JOIN idx i USING (meta_id)),
+reps AS (SELECT model, b, """ + ",\n".join(f"{e} AS {k}" for k, e in rep.items()) + """
+         FROM pr JOIN wts USING (r) GROUP BY model, b),
+rl AS (""" + "\nUNION ALL\n".join(f"SELECT model, '{m}' AS metric, {m} AS v FROM reps" for m in names) + f"""),
+ci AS (SELECT model, metric, round(quantile_cont(v, {_BOOT_ALPHA / 2}), 6) AS ci_low,
+              round(quantile_cont(v, {1 - _BOOT_ALPHA / 2}), 6) AS ci_high
+       FROM rl WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY model, metric),
+wide AS (SELECT model, """ + ",\n".join(f"{e} AS {k}" for k, e in _STD_METRIC_SQL.items()) + """
+         FROM std_pairs GROUP BY model),
+pt AS (""" + _sql_long("wide", names) + """)
+SELECT pt.model, pt.metric, pt.score, pt.metric_pos, ci.ci_low, ci.ci_high
+FROM pt LEFT JOIN ci USING (model, metric)"""
+    return with_views(["std_gold", "parse_expect"], body)
+
+
+@register("bootstrap_ci", _boot_sql())
+def q_bootstrap_ci(spark, sf):
+    """Bootstrap CIs (B=1000, alpha=0.05) of the standard scorecard, exact resampling."""
+    s = SC.bootstrap_standard(_val_gold(spark, sf), _parsed(spark, sf), MODELS,
+                              B=_BOOT_B, alpha=_BOOT_ALPHA, seed=_BOOT_SEED)
+    return s.select("model", "metric", rnd(F.col("score")).alias("score"), F.col("metric_pos").cast("int"),
+                    rnd(F.col("ci_low")).alias("ci_low"), rnd(F.col("ci_high")).alias("ci_high"))
