@@ -35,7 +35,9 @@ class Dimension:
     def format_categorical(self) -> str:
         return {STANCE: "'pro' | 'anti' | 'neutral/unclear'",
                 BINARY: "'yes' | 'no' | 'cannot_determine'",
-                BINARY_STRICT: "'yes' | 'no'"}[self.categorical]
+                BINARY_STRICT: "'yes' | 'no'",
+                NUMERIC_STANCE: "a number in [-1, 1]",
+                NUMERIC_01: "a number in [0, 1]"}[self.categorical]
 
     @property
     def format_numeric(self) -> str:
@@ -69,6 +71,7 @@ class Codebook:
     gates: list[Gate] = field(default_factory=list)
     stance_neutral_forms: tuple[str, ...] = ()
     stance_neutral: str = "neutral/unclear"
+    gold_order: tuple[str, ...] = ()   # key order of gold JSON objects
 
     # --- lookups ---------------------------------------------------------
     @property
@@ -106,6 +109,9 @@ class Codebook:
         out += [k for k in self.legacy_keys if k not in out]
         return out
 
+    def gold_keys(self) -> list[str]:
+        return list(self.gold_order) if self.gold_order else self.keys
+
     def alias_map(self) -> dict[str, str]:
         """variant -> canonical, including identity rows for canonical keys."""
         m = {k: k for k in self.canonical_keys()}
@@ -238,6 +244,11 @@ _SPACE_SEPARATED_KEYS = ("china_stance_score", "china_sensitive", "collective_ac
 # stance answers that all mean "neutral/unclear"
 _STANCE_NEUTRAL_FORMS = ("neutral", "unclear", "cannot_determine", "neutral/unclear", "unclear/neutral")
 
+# key order of comprehensive gold objects
+_GOLD_ORDER = ("china_related", "china_ccp_government", "china_people_culture",
+               "china_technology_development", "china_sensitive", "collective_action", "hate_speech",
+               "harmful_content", "news_segments", "inauthentic_content", "derivative_content")
+
 _GATE = Gate("china_related", "no", ("china_ccp_government", "china_people_culture",
                                      "china_technology_development", "china_sensitive"))
 # --------------------------------------------------------------------------- end fixed values
@@ -256,9 +267,25 @@ def default_codebook() -> Codebook:
         space_separated_keys=_SPACE_SEPARATED_KEYS,
         gates=[_GATE],
         stance_neutral_forms=_STANCE_NEUTRAL_FORMS,
+        gold_order=_GOLD_ORDER,
     )
 
 
+def standard_codebook() -> Codebook:
+    """The three-key standard scheme (stance score, sensitivity, collective
+    action) used for the standard records and scorecard."""
+    dims = [
+        Dimension("china_stance_score", "Stance score", "Overall stance of the item, -1 to 1.",
+                  NUMERIC_STANCE, NUMERIC_STANCE, "china_stance_score"),
+        Dimension("china_sensitive", "Political sensitivity",
+                  "Whether the item touches politically sensitive topics.", BINARY, NUMERIC_01, "sensitive"),
+        Dimension("collective_action", "Collective action",
+                  "Whether the item shows or calls for collective action.", BINARY, NUMERIC_01,
+                  "collective_action"),
+    ]
+    return Codebook(dimensions=dims, groups={}, aliases={}, gold_order=tuple(d.key for d in dims))
+
+
 def toy_codebook() -> Codebook:
     """Neutral six-dimension codebook for tests: one dimension of each label
     type, two groups, one gate rule."""

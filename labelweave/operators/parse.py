@@ -106,6 +106,20 @@ def _simple(text: Column, cb: Codebook, check) -> Column:
     return F.when(F.length(strip_ws(text)) > 0, J.let(text, body)).cast(RESULT_T)
 
 
+_EXPR_CACHE: dict = {}
+
+
+def _cached_extract(cb: Codebook, group_mode, numeric, strict, strategy) -> Column:
+    """The extraction Column over placeholder columns ``_lw_text`` /
+    ``_lw_gid``, built once per configuration (building it is thousands of
+    JVM calls; the unresolved expression is reusable across DataFrames)."""
+    key = (id(cb), group_mode, numeric, strict, strategy)
+    if key not in _EXPR_CACHE:
+        _EXPR_CACHE[key] = (cb, extract_json(F.col("_lw_text"), cb, group_mode, numeric, strict,
+                                             F.col("_lw_gid"), strategy))
+    return _EXPR_CACHE[key][1]
+
+
 def parse_predictions(raw: DataFrame, cb: Codebook | None = None, group_mode: str | None = None,
                       numeric: bool = False, strict: bool = True, text_col: str = "raw",
                       id_col: str = "meta_id", strategy: str = "ladder") -> DataFrame:
@@ -115,8 +129,12 @@ def parse_predictions(raw: DataFrame, cb: Codebook | None = None, group_mode: st
     The compound id is always split on its last '__group_' (fixes a quirk
     where a row carrying ``group_id`` kept the compound id and could not be
     merged); an explicit ``group_id`` column wins over the suffix.
+
+    The parse result passes through a one-row ``explode`` (a Generate node):
+    filters on ``parsed`` downstream cannot be pushed below it, so the
+    optimizer never duplicates the extraction expression into a filter.
     """
-    cb = cb or default_codebook()
+    cb = cb or _default()
     cols = raw.columns
     mid = F.col(id_col).cast("string") if id_col in cols else F.col("idx").cast("string")
     base, suffix = split_compound_id(mid)
@@ -124,15 +142,25 @@ def parse_predictions(raw: DataFrame, cb: Codebook | None = None, group_mode: st
     df = (raw.withColumn("meta_id", mid)
           .withColumn("original_meta_id", base)
           .withColumn("group_id", gid))
-    res = extract_json(F.col(text_col), cb, group_mode, numeric, strict, F.col("group_id"), strategy)
-    df = df.withColumn("_res", res)
-    keep = [c for c in df.columns if c not in ("_res", "parsed", "json", "mode")]
+    keep = [c for c in df.columns if c not in ("parsed", "json", "mode")]
+    res = _cached_extract(cb, group_mode, numeric, strict, strategy)
+    df = df.select(*keep, F.col(text_col).alias("_lw_text"), F.col("group_id").alias("_lw_gid"))
+    df = df.select(*keep, F.explode(F.array(res)).alias("_res"))
     return df.select(*keep,
                      F.col("_res").isNotNull().alias("parsed"),
                      F.col("_res.json").alias("json"),
                      F.coalesce(F.col("_res.mode"), F.lit("none")).alias("mode"))
 
 
+_DEFAULT_CB: list = []
+
+
+def _default() -> Codebook:
+    if not _DEFAULT_CB:
+        _DEFAULT_CB.append(default_codebook())
+    return _DEFAULT_CB[0]
+
+
 def quarantine(parsed: DataFrame) -> DataFrame:
     """Rows that did not parse (id, group, text) for the bad-output sink."""
     return parsed.filter(~F.col("parsed")).select("idx", "meta_id", "group_id", "raw")

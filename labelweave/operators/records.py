@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.codebook import Codebook, Group, default_codebook
+from labelweave.codebook import Codebook, Group, default_codebook, standard_codebook
 from labelweave.functions.text import (ID_CANDIDATES, clamp11, is_valid_text, labelize, meta_id_str,
                                        norm_columns, resolve_column, resolve_text_columns, safe_text,
                                        user_text)
@@ -196,8 +196,9 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
     if frames is not None:                    # JN4 after the text filter
         kept = kept.join(frame_parts(frames), kept.meta_id == F.col("item_id"), "left").drop("item_id")
 
-    groups = cb.group_configs(group_mode if comprehensive else "single")
-    prompts = prompts_df(spark, cb, group_mode if comprehensive else "single", numeric,
+    pcb = cb if comprehensive else standard_codebook()
+    groups = pcb.group_configs(group_mode if comprehensive else "single")
+    prompts = prompts_df(spark, pcb, group_mode if comprehensive else "single", numeric,
                          "The item comes with video frames; use them with the text."
                          if frames is not None else None)
     if comprehensive and group_mode != "single":
@@ -211,8 +212,7 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
     if label_mode:
         if comprehensive:
             g = F.map_filter(F.col("gold"), lambda k, v: F.array_contains(F.col("dims"), k))  # P27
-            keys = cb.keys
-            gj = gold_json_ordered(g, keys)
+            gj = gold_json_ordered(g, cb.gold_keys())
         else:
             gj = _std_json(F.col("gold"))
         msgs.append(F.struct(F.lit("assistant").alias("role"), gj.alias("content")))

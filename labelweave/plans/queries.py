@@ -387,3 +387,246 @@ def q_bootstrap_ci(spark, sf):
                               B=_BOOT_B, alpha=_BOOT_ALPHA, seed=_BOOT_SEED)
     return s.select("model", "metric", rnd(F.col("score")).alias("score"), F.col("metric_pos").cast("int"),
                     rnd(F.col("ci_low")).alias("ci_low"), rnd(F.col("ci_high")).alias("ci_high"))
+
+
+# --- records (P20–P33, P44, JN6) ----------------------------------------------------------
+
+import hashlib  # noqa: E402
+
+from labelweave.codebook import default_codebook, standard_codebook  # noqa: E402
+from labelweave.operators import usage as US  # noqa: E402
+from labelweave.operators import summary as SM  # noqa: E402
+from labelweave.functions.text import looks_truncated  # noqa: E402
+
+NL = "chr(10)"
+
+
+def _md5(s: str) -> str:
+    return hashlib.md5(s.encode()).hexdigest()
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _sql_user_text(t: str, d: str) -> str:
+    tt, dd = _sql_strip(f"coalesce({t}, '')"), _sql_strip(f"coalesce({d}, '')")
+    return (f"concat_ws({NL} || {NL}, CASE WHEN {tt} <> '' THEN 'TRANSCRIPT:' || {NL} || {tt} END, "
+            f"CASE WHEN {dd} <> '' THEN 'DESCRIPTION:' || {NL} || {dd} END)")
+
+
+_STD_SYSTEM_MD5 = _md5(RC.group_prompt(standard_codebook(), standard_codebook().group_configs("single")[0]))
+
+
+@register("records_standard", with_views(["d_labels"], f"""
+SELECT lpad(CAST(l.doc_id AS VARCHAR), 12, '0') AS meta_id, 3 AS n_messages,
+       md5({_sql_user_text('d.text', 'd.source')}) AS user_md5,
+       '{_STD_SYSTEM_MD5}' AS system_md5,
+       '{{"china_stance_score":' || CAST(GREATEST(-1.0, LEAST(1.0, l.china_stance_score)) AS VARCHAR) ||
+       ',"china_sensitive":"' || CASE WHEN l.sensitive >= 0.5 THEN 'yes' ELSE 'no' END ||
+       '","collective_action":"' || CASE WHEN l.collective_action >= 0.5 THEN 'yes' ELSE 'no' END || '"}}' AS gold_json
+FROM d_labels l JOIN documents d ON l.doc_id = d.doc_id
+WHERE l.china_stance_score IS NOT NULL"""))
+def q_records_standard(spark, sf):
+    """Standard chat records (system, user, gold assistant)."""
+    r = RC.build_records(S.d_items(spark, sf))
+    m = F.col("messages")
+    return r.select("meta_id", F.size(m).alias("n_messages"), F.md5(m[1]["content"]).alias("user_md5"),
+                    F.md5(m[0]["content"]).alias("system_md5"), m[2]["content"].alias("gold_json"))
+
+
+def _grouped_records_sql() -> str:
+    cb = default_codebook()
+    order = cb.gold_keys()
+    src = {d.key: d.source_column for d in cb.dimensions}
+    rows = []
+    for g in cb.group_configs("by-category"):
+        keys = [k for k in order if k in g.dims]
+        parts = []
+        for i, k in enumerate(keys):
+            parts.append(("'{' || " if i == 0 else "',' || ") + f"'\"{k}\":\"' || {_sql_strip('g.' + src[k])} || '\"' || ")
+        js = "".join(parts) + "'}'"
+        rows.append(f"SELECT g.meta_id || '__group_{g.group_id}' AS meta_id, '{g.group_id}' AS group_id, "
+                    f"g.meta_id AS original_meta_id, '{_md5(RC.group_prompt(cb, g))}' AS system_md5, "
+                    f"{js} AS gold_json FROM comp_gold g")
+    return with_views(["comp_gold"], "\nUNION ALL\n".join(rows))
+
+
+@register("records_grouped", _grouped_records_sql())
+def q_records_grouped(spark, sf):
+    """JN6, P24, P26, P27, P35: comprehensive records fanned out per dimension group."""
+    r = RC.build_records(S.d_comp_items(spark, sf), comprehensive=True, group_mode="by-category")
+    m = F.col("messages")
+    return r.select("meta_id", "group_id", "original_meta_id", F.md5(m[0]["content"]).alias("system_md5"),
+                    m[2]["content"].alias("gold_json"))
+
+
+@register("records_rejects", with_views(["d_labels"], """
+SELECT 'invalid_stance' AS reject_reason, CAST(count(*) AS BIGINT) AS n
+FROM d_labels l JOIN documents d ON l.doc_id = d.doc_id
+WHERE l.china_stance_score IS NULL"""))
+def q_records_rejects(spark, sf):
+    """Filter accounting of the record build (rows dropped, by reason)."""
+    _, rej = RC.build_records(S.d_items(spark, sf), with_reasons=True)
+    return rej.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("record_prompts", f"""
+WITH c AS (
+  SELECT conv_id, count(*) AS n, arg_max(role, turn) AS last_role,
+         {_sql_strip(f"coalesce(string_agg(text, {NL} || {NL} ORDER BY turn) FILTER (WHERE role = 'user'), '')")} AS ut
+  FROM conversations GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS meta_id, CAST(n AS INTEGER) AS n_messages,
+       CAST(CASE WHEN last_role = 'assistant' THEN n - 1 ELSE n END AS INTEGER) AS n_prompt,
+       CAST(n - 1 AS INTEGER) AS n_prompt_drop_last, CAST(n AS INTEGER) AS n_prompt_enforced,
+       last_role, md5(ut) AS user_md5
+FROM c""")
+def q_record_prompts(spark, sf):
+    """P31–P33 on chat records: prompt messages three ways, user text."""
+    r = S.d_records(spark, sf)
+    m = F.col("messages")
+    return r.select("meta_id", F.size(m).alias("n_messages"),
+                    F.size(RC.prompt_messages(m, "drop_last_if_assistant")).alias("n_prompt"),
+                    F.size(RC.prompt_messages(m, "drop_last")).alias("n_prompt_drop_last"),
+                    F.size(RC.prompt_messages(m, "enforce", "Answer with JSON only.")).alias("n_prompt_enforced"),
+                    F.element_at(m, -1)["role"].alias("last_role"),
+                    F.md5(RC.record_user_text(m)).alias("user_md5"))
+
+
+def _sql_tokens(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR length({x}) = 0 THEN 0 "
+            f"ELSE GREATEST(1, CAST(round_even(length({x}) / 4.0, 0) AS BIGINT)) END")
+
+
+@register("token_tally", f"""
+WITH r AS (SELECT conv_id, CAST(sum({_sql_tokens('text')}) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id)
+SELECT CAST(count(*) AS BIGINT) AS examples, CAST(sum(tokens) AS BIGINT) AS tokens_total,
+       round(sum(tokens) / GREATEST(count(*), 1), 6) AS avg_per_example,
+       CAST(min(tokens) AS BIGINT) AS min_per_example, CAST(max(tokens) AS BIGINT) AS max_per_example,
+       CAST(sum(tokens) AS BIGINT) AS charged_training_tokens,
+       round(sum(tokens) / 1e6 * 25.0, 6) AS training_cost,
+       round(932 * 441902 / 1e6 * 0.15 + 308 * 441902 / 1e6 * 0.60, 6) AS infer_cost_total
+FROM r""")
+def q_token_tally(spark, sf):
+    """Heuristic token counts of chat records, tally and cost estimate."""
+    r = S.d_records(spark, sf).select(US.record_tokens(F.col("messages")).alias("tokens"))
+    t = US.tally(r)
+    c = US.cost_estimate(t, infer_calls=441902)
+    tt = t.select("examples", "tokens_total", rnd(F.col("avg_per_example")).alias("avg_per_example"),
+                  F.col("min_per_example").cast("bigint").alias("min_per_example"),
+                  F.col("max_per_example").cast("bigint").alias("max_per_example"))
+    return tt.join(c.select(F.col("train_tokens").alias("tokens_total"), "charged_training_tokens",
+                            rnd(F.col("training_cost")).alias("training_cost"),
+                            rnd(F.col("infer_cost_total")).alias("infer_cost_total")), "tokens_total")
+
+
+def _usage_sql():
+    def st(c, p):
+        return (f"round(avg({c}), 6) AS {p}_mean, round(quantile_cont({c}, 0.5), 6) AS {p}_median, "
+                f"round(quantile_cont({c}, 0.9), 6) AS {p}_p90, round(quantile_cont({c}, 0.99), 6) AS {p}_p99, "
+                f"CAST(min({c}) AS BIGINT) AS {p}_min, CAST(max({c}) AS BIGINT) AS {p}_max, "
+                f"CAST(sum({c}) AS BIGINT) AS {p}_total")
+    return f"""
+WITH u AS (SELECT doc_id AS idx, CAST(floor(n_chars / 4) AS BIGINT) AS prompt_tokens,
+                  CASE WHEN doc_id % 17 = 0 THEN NULL ELSE CAST((doc_id * 13) % 300 + 20 AS BIGINT) END AS completion_tokens
+           FROM documents)
+SELECT CAST(count(*) AS BIGINT) AS calls, CAST(count(completion_tokens) AS BIGINT) AS with_usage,
+       {st('prompt_tokens', 'prompt')}, {st('completion_tokens', 'completion')},
+       CAST(sum(prompt_tokens) + sum(completion_tokens) AS BIGINT) AS tokens_total,
+       round(sum(prompt_tokens) / sum(completion_tokens), 6) AS input_output_ratio,
+       round(sum(completion_tokens) / sum(prompt_tokens), 6) AS output_input_ratio
+FROM u"""
+
+
+@register("usage_summary", _usage_sql())
+def q_usage_summary(spark, sf):
+    """Prompt / completion token distribution (mean, median, p90, p99, min, max, totals, ratios)."""
+    u = US.usage_distribution(S.d_usage(spark, sf))
+    out = []
+    for c in u.columns:
+        if any(c.endswith(s) for s in ("_mean", "_median", "_p90", "_p99", "_ratio")):
+            out.append(rnd(F.col(c)).alias(c))
+        else:
+            out.append(F.col(c).cast("bigint").alias(c))
+    return u.select(*out)
+
+
+def _final_joined(spark, sf):
+    from labelweave.operators import merge as MGx
+    preds = _parsed(spark, sf).filter(F.col("model") == "m_alpha")
+    return MGx.join_predictions(S.d_items(spark, sf).select("id"), preds,
+                                keys=["china_stance_score", "china_sensitive"])
+
+
+_FINAL_PRED = """
+fp AS (SELECT g.meta_id, e.meta_id IS NOT NULL AS pred_parsed, e.stance AS s, e.sensitive AS sens
+       FROM (SELECT lpad(CAST(l.doc_id AS VARCHAR), 12, '0') AS meta_id FROM d_labels l
+             JOIN documents d ON l.doc_id = d.doc_id) g
+       LEFT JOIN parse_expect e ON e.meta_id = g.meta_id AND e.model = 'm_alpha' AND e.parsed)"""
+
+
+@register("final_summary", with_views(["d_labels", "parse_expect"], "WITH " + _FINAL_PRED + """
+SELECT CAST(count(*) AS BIGINT) AS total_rows, CAST(count(*) FILTER (WHERE pred_parsed) AS BIGINT) AS predicted_rows,
+       round(100.0 * count(*) FILTER (WHERE pred_parsed) / count(*), 6) AS predicted_pct,
+       CAST(count(s) AS BIGINT) AS score_count, round(avg(s), 6) AS score_mean,
+       min(s) AS score_min, max(s) AS score_max,
+       CAST(count(*) FILTER (WHERE s < -0.1) AS BIGINT) AS negative,
+       CAST(count(*) FILTER (WHERE s >= -0.1 AND s <= 0.1) AS BIGINT) AS neutral,
+       CAST(count(*) FILTER (WHERE s > 0.1) AS BIGINT) AS positive,
+       round(100.0 * count(*) FILTER (WHERE s < -0.1) / count(s), 6) AS negative_pct,
+       round(100.0 * count(*) FILTER (WHERE s >= -0.1 AND s <= 0.1) / count(s), 6) AS neutral_pct,
+       round(100.0 * count(*) FILTER (WHERE s > 0.1) / count(s), 6) AS positive_pct
+FROM fp"""))
+def q_final_summary(spark, sf):
+    """Final distribution of predictions joined back to the source table."""
+    s = SM.final_summary(_final_joined(spark, sf))
+    return s.select(*[rnd(F.col(c)).alias(c) if c.endswith(("_pct", "_mean")) else F.col(c)
+                      for c in s.columns])
+
+
+@register("final_value_counts", with_views(["d_labels", "parse_expect"], "WITH " + _FINAL_PRED + """
+SELECT sens AS value, CAST(count(*) AS BIGINT) AS count,
+       round(100.0 * count(*) / (SELECT count(*) FROM fp WHERE pred_parsed), 6) AS pct
+FROM fp WHERE pred_parsed AND sens IS NOT NULL GROUP BY sens"""))
+def q_final_value_counts(spark, sf):
+    """Value counts of the predicted sensitivity label with % of predicted rows."""
+    v = SM.value_counts(_final_joined(spark, sf))
+    return v.select("value", "count", rnd(F.col("pct")).alias("pct"))
+
+
+def _compare_gold(spark, sf):
+    recs = RC.build_records(S.d_items(spark, sf))
+    return recs.select("meta_id", RC.gold_of(F.col("messages")).alias("gold"),
+                       RC.record_user_text(F.col("messages")).alias("transcript"))
+
+
+def _compare_sql():
+    def yn(x):
+        t = f"lower(trim({x}))"
+        return f"CASE WHEN {t} IN ('yes', 'no', 'cannot_determine') THEN {t} ELSE 'invalid' END"
+    cols = ["g.meta_id AS meta_id"]
+    for name, expr in (("stance", None), ("sensitive", "sensitive"), ("collective", "collective")):
+        for m in MODELS:
+            a = f"p_{m}"
+            if name == "stance":
+                cols.append(f"CASE WHEN {a}.stance IS NOT NULL THEN GREATEST(-1.0, LEAST(1.0, {a}.stance)) END AS {m}_stance")
+            else:
+                cols.append(f"{yn(f'{a}.{expr}')} AS {m}_{name}")
+        if name == "stance":
+            cols.append("g.g_stance AS human_stance")
+        elif name == "sensitive":
+            cols.append("g.g_sens AS human_sensitive")
+        else:
+            cols.append("g.g_coll AS human_collective")
+    cols.append(f"{_sql_user_text('d.text', 'd.source')} AS transcript")
+    joins = " ".join(f"LEFT JOIN parse_expect p_{m} ON p_{m}.meta_id = g.meta_id AND p_{m}.model = '{m}' "
+                     f"AND p_{m}.parsed" for m in MODELS)
+    return with_views(["std_gold", "parse_expect"],
+                      "SELECT " + ", ".join(cols) + " FROM std_gold g JOIN documents d ON "
+                      "lpad(CAST(d.doc_id AS VARCHAR), 12, '0') = g.meta_id " + joins)
+
+
+@register("compare_wide", _compare_sql())
+def q_compare_wide(spark, sf):
+    """JN2: wide side-by-side table (models then human per dimension, transcript last), keyed on meta_id."""
+    return SM.compare_wide(_compare_gold(spark, sf), _parsed(spark, sf), MODELS)
