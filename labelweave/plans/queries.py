@@ -630,3 +630,56 @@ def _compare_sql():
 def q_compare_wide(spark, sf):
     """JN2: wide side-by-side table (models then human per dimension, transcript last), keyed on meta_id."""
     return SM.compare_wide(_compare_gold(spark, sf), _parsed(spark, sf), MODELS)
+
+
+# --- streaming (ST1, ST2) and inference (F1) ---------------------------------------------
+
+import uuid  # noqa: E402
+
+from labelweave.session import checkpoint_dir  # noqa: E402
+from labelweave.streaming import monitor as ST  # noqa: E402
+from labelweave.operators import infer as INF  # noqa: E402
+
+
+@register("stream_parse", with_views(["parse_expect"], """
+SELECT model, meta_id, idx, parsed, mode, stance, sensitive, collective, n_keys FROM parse_expect"""))
+def q_stream_parse(spark, sf):
+    """ST1 + ST2: raw answers landed as JSON files, parsed by a Structured
+    Streaming query (foreachBatch, idempotent per batch id), read back."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    S.d_raw(spark, sf).repartition(4).write.mode("overwrite").json(f"{base}/landing")
+    raw = ST.raw_stream(spark, f"{base}/landing", max_files_per_trigger=2)
+    q = ST.parse_stream(raw, f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    p = spark.read.parquet(f"{base}/out/parsed")
+    j = F.col("json")
+    return p.select("model", "meta_id", "idx", "parsed", "mode",
+                    to_double(F.try_element_at(j, F.lit("china_stance_score"))).alias("stance"),
+                    F.try_element_at(j, F.lit("china_sensitive")).alias("sensitive"),
+                    F.try_element_at(j, F.lit("collective_action")).alias("collective"),
+                    F.when(F.col("parsed"), F.size(j)).alias("n_keys"))
+
+
+def _infer_sql():
+    ut = _sql_user_text("d.text", "d.source")
+    return with_views(["d_labels"], f"""
+WITH u AS (SELECT l.doc_id, lpad(CAST(l.doc_id AS VARCHAR), 12, '0') AS meta_id, length({ut}) AS n
+           FROM d_labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.china_stance_score IS NOT NULL)
+SELECT doc_id AS idx, meta_id,
+       '{{"china_stance_score":' || CAST(CAST((n * 37) % 201 - 100 AS DOUBLE) / 100 AS VARCHAR) ||
+       ',"china_sensitive":"' || CASE WHEN n % 3 = 0 THEN 'yes' ELSE 'no' END || '"}}' AS raw,
+       CAST(CASE WHEN n % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt,
+       CAST(CASE WHEN n % 5 = 0 THEN 192 ELSE 128 END AS INTEGER) AS max_tokens_used,
+       'stop' AS finish_reason, false AS truncated, 'echo' AS model
+FROM u""")
+
+
+@register("infer_echo", _infer_sql())
+def q_infer_echo(spark, sf):
+    """batched scoring (mapInPandas) with retry on truncation and a growing
+    token budget, over records built from the tables, with a deterministic model."""
+    recs = RC.build_records(S.d_items(spark, sf), label_mode=True)
+    recs = recs.withColumn("idx", F.col("meta_id").cast("long"))
+    pol = INF.RetryPolicy(max_tokens=128, retries=3, base_sleep=0.0, growth=1.5, max_tokens_cap=400)
+    out = INF.score_batches(recs, INF.echo_model, "echo", pol)
+    return out.select("idx", "meta_id", "raw", "attempt", "max_tokens_used", "finish_reason", "truncated", "model")
