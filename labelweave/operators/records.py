@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelweave.codebook import Codebook, Group, default_codebook, standard_codebook
-from labelweave.functions.text import (ID_CANDIDATES, clamp11, is_valid_text, labelize, meta_id_str,
+from labelweave.functions.text import (ID_CANDIDATES, clamp11, compute_once, labelize, meta_id_str,
                                        norm_columns, resolve_column, resolve_text_columns, safe_text,
-                                       user_text)
+                                       user_text, valid_stripped_text)
 
 MESSAGE_T = T.StructType([T.StructField("role", T.StringType()),
                           T.StructField("content", T.StringType())])
@@ -180,12 +180,13 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
     mid = meta_id_str(F.col(id_col))
     utext = user_text(*(F.col(tc[k]) if tc[k] else None
                         for k in ("transcript", "description", "embedded_text")))
-    base = df.select(mid.alias("meta_id"), utext.alias("user_text"), "*")
+    derived = {"meta_id": mid, "user_text": utext}
     if label_mode:
-        gold = comprehensive_gold(cb) if comprehensive else standard_gold(df, yn_thresh)
-        base = base.withColumn("gold", gold)
+        derived["gold"] = comprehensive_gold(cb) if comprehensive else standard_gold(df, yn_thresh)
+    base = compute_once(df, **derived)
+    # user_text is stripped by construction, so the P11 check needs no second strip
     reason = (F.when(F.col("meta_id") == "", F.lit("empty_id"))
-              .when(~is_valid_text(F.col("user_text"), min_text_len), F.lit("short_text")))
+              .when(~valid_stripped_text(F.col("user_text"), min_text_len), F.lit("short_text")))
     if label_mode and not comprehensive:
         reason = reason.when(F.col("gold").isNull(), F.lit("invalid_stance"))
     tagged = base.withColumn("reject_reason", reason)
