@@ -62,7 +62,7 @@ def prompts_df(spark, cb: Codebook, mode: str, numeric: bool = False,
 def group_prompts_from_codebook(spark, cb: Codebook, mode: str, numeric: bool = False) -> DataFrame:
     """P24 as a relational plan over the codebook tables:
     dims ⋈ groups -> ordered definitions per group -> prompt text."""
-    dims = cb.dims_df(spark)
+    dims = cb.dims_df(spark).withColumnRenamed("pos", "dim_pos")
     groups = cb.groups_df(spark, mode)
     fmt = F.col("format_numeric") if numeric else F.col("format_categorical")
     j = groups.join(F.broadcast(dims), groups.dim_key == dims.key)

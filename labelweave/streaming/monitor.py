@@ -9,6 +9,8 @@
 - ``merge_stream``    (ST3): per-item group completeness with bounded state
   (one slot per dimension group): an item is emitted as soon as every
   expected group arrived, or as a partial record when its state times out.
+  Unlike the batch fold, a duplicate group answer that lands after the item
+  was emitted is not folded into it.
 """
 
 from __future__ import annotations
@@ -66,9 +68,13 @@ MERGE_STATE = "groups string"
 
 
 def merge_stream(parsed: DataFrame, cb: Codebook | None = None, group_mode: str = "by-category",
-                 timeout: str = "10 minutes") -> DataFrame:
+                 timeout_ms: int | None = 10 * 60 * 1000) -> DataFrame:
     """ST3: emit an item when all expected groups arrived (or partially on
-    timeout). State per item = {group: [pos, json]} — at most #groups entries."""
+    timeout). State per item = {group: [pos, json]} — at most #groups entries.
+
+    ``timeout_ms=None`` disables timeouts: use it for ``Trigger.AvailableNow``
+    runs, where processing-time timeouts keep scheduling no-data batches and
+    the run never drains."""
     cb = cb or default_codebook()
     expected = sorted(g.group_id for g in cb.group_configs(group_mode))
     ok = (parsed.filter(F.col("parsed") & (F.size("json") > 0))
@@ -94,10 +100,11 @@ def merge_stream(parsed: DataFrame, cb: Codebook | None = None, group_mode: str
             yield _emit(meta_id, groups, expected, True)
         else:
             state.update((json.dumps(groups),))
-            state.setTimeoutDuration(timeout)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(int(timeout_ms))
 
-    return ok.groupBy("original_meta_id").applyInPandasWithState(
-        fold, MERGE_OUT, MERGE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    mode = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return ok.groupBy("original_meta_id").applyInPandasWithState(fold, MERGE_OUT, MERGE_STATE, "append", mode)
 
 
 def _emit(meta_id, groups: dict, expected: list[str], complete: bool) -> pd.DataFrame:
