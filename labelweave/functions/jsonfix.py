@@ -343,24 +343,41 @@ def complete_record(m: Column, cb: Codebook) -> Column:
     return cond
 
 
+def _kind_domain(kind: Column, v: Column, level: str) -> Column:
+    """``_domain`` with the label type as a Column (one copy in the plan
+    instead of one per dimension)."""
+    stance = _STANCE_STRICT if level == "complete" else _STANCE_LOOSE
+    strict_bin = _yes_no_only(v) if level in ("complete", "group") else _yn_field(v)
+    return (F.when(kind == STANCE, F.coalesce(v.isin(*stance), F.lit(False)))
+            .when(kind == BINARY_STRICT, strict_bin)
+            .when(kind == BINARY, _yn_field(v))
+            .when(kind == NUMERIC_STANCE, _in_range(v, -1.0, 1.0))
+            .when(kind == NUMERIC_01, _in_range(v, 0.0, 1.0))
+            .otherwise(F.lit(False)))
+
+
 def valid_ungrouped(m: Column, cb: Codebook, strict: bool = True) -> Column:
     """All dimensions present -> strict domains; some present -> check
     only the present ones; none -> invalid. With ``strict`` a present legacy
-    stance score must also be a number in [-1, 1]."""
-    complete = F.lit(True)
-    for d in cb.dimensions:
-        complete = complete & _domain(d.categorical, _get(m, d.key), "complete")
-    partial = F.lit(True)
-    any_present = F.lit(False)
-    for d in cb.dimensions:
-        partial = partial & (~_has(m, d.key) | _domain(d.categorical, _get(m, d.key), "partial"))
-        any_present = any_present | _has(m, d.key)
+    stance score must also be a number in [-1, 1].
+
+    Written over the map entries with a literal key -> label-type map, so the
+    domain checks appear once in the plan whatever the codebook size."""
+    kinds = _lit_map({d.key: d.categorical for d in cb.dimensions})
+    dims = F.array(*[F.lit(k) for k in cb.keys])
+    entries = F.map_entries(m)
+    complete = F.size(F.array_except(dims, F.map_keys(m))) == 0
+    complete_ok = F.forall(entries, lambda e: F.try_element_at(kinds, e["key"]).isNull()
+                           | _kind_domain(F.try_element_at(kinds, e["key"]), e["value"], "complete"))
+    partial_ok = F.forall(entries, lambda e: F.try_element_at(kinds, e["key"]).isNull()
+                          | _kind_domain(F.try_element_at(kinds, e["key"]), e["value"], "partial"))
+    any_present = F.size(F.array_intersect(dims, F.map_keys(m))) > 0
     if strict and "china_stance_score" in cb.legacy_keys:
         k = "china_stance_score"
-        partial = partial & (~_has(m, k) | _in_range(_get(m, k), -1.0, 1.0))
+        partial_ok = partial_ok & (~_has(m, k) | _in_range(_get(m, k), -1.0, 1.0))
     return (F.when(m.isNull(), F.lit(False))
-            .when(complete_record(m, cb), complete)
-            .when(any_present, partial).otherwise(F.lit(False)))
+            .when(complete, F.coalesce(complete_ok, F.lit(False)))
+            .when(any_present, F.coalesce(partial_ok, F.lit(False))).otherwise(F.lit(False)))
 
 
 def valid_group(m: Column, cb: Codebook, group: Group, numeric: bool = False) -> Column:
