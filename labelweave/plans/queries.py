@@ -683,3 +683,13 @@ def q_infer_echo(spark, sf):
     pol = INF.RetryPolicy(max_tokens=128, retries=3, base_sleep=0.0, growth=1.5, max_tokens_cap=400)
     out = INF.score_batches(recs, INF.echo_model, "echo", pol)
     return out.select("idx", "meta_id", "raw", "attempt", "max_tokens_used", "finish_reason", "truncated", "model")
+
+
+@register("truncation_flags", with_views(["parse_expect"], """
+SELECT model, idx, (cls IN (6, 7, 14) OR (cls = 13 AND (idx // 15) % 3 = 0)) AS truncated
+FROM parse_expect"""))
+def q_truncation_flags(spark, sf):
+    """Truncation predicate (finish reason, empty text, unbalanced braces
+    after the fence is stripped, dangling '{ [ : ,') over every raw answer."""
+    r = S.d_raw(spark, sf)
+    return r.select("model", "idx", looks_truncated(F.col("raw"), F.col("finish_reason")).alias("truncated"))
