@@ -255,11 +255,11 @@ def score_comprehensive(gold: DataFrame, preds: DataFrame, models: list[str] | N
 
 # --- bootstrap (A13) -----------------------------------------------------------------------
 
-def dense_index(df: DataFrame, order_col: str, name: str = "r") -> DataFrame:
+def dense_index(df: DataFrame, order_col: str, name: str = "r", with_count: bool = False):
     """0-based dense row index by ``order_col`` without a single-partition
     window: range-partition by the key, count rows per partition (one small
     job, bounded by the partition count), add the partition's offset to the
-    row number inside the partition."""
+    row number inside the partition. ``with_count`` also returns the total."""
     s = df.repartitionByRange(order_col).withColumn("_pid", F.spark_partition_id())
     counts = sorted((r["_pid"], r["c"]) for r in
                     s.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
@@ -270,9 +270,10 @@ def dense_index(df: DataFrame, order_col: str, name: str = "r") -> DataFrame:
     spark = df.sparkSession
     off_df = spark.createDataFrame(offs or [(0, 0)], "_pid int, _off long")
     w = Window.partitionBy("_pid").orderBy(order_col)
-    return (s.join(F.broadcast(off_df), "_pid")
-            .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-            .drop("_pid", "_off"))
+    out = (s.join(F.broadcast(off_df), "_pid")
+           .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
+           .drop("_pid", "_off"))
+    return (out, acc) if with_count else out
 
 
 def draw_index(seed, b: Column, k: Column, n) -> Column:
@@ -303,9 +304,12 @@ def bootstrap_standard(gold: DataFrame, preds: DataFrame, models: list[str] | No
     per (row, replicate) from a hash — no draw table and no join, the
     documented approximation for very large n.
     """
+    from labelweave.session import checkpoint_dir
     spark = gold.sparkSession
     models = models or model_list(preds)
-    idx = dense_index(gold.select("meta_id", "gold"), "meta_id")
+    idx, n = dense_index(gold.select("meta_id", "gold"), "meta_id", with_count=True)
+    checkpoint_dir(spark)                      # shared folder from spark.checkpoint.dir
+    idx = idx.checkpoint(eager=True)           # cut lineage: gold is reused by every replicate
     cols = standard_columns(align(idx, preds, models), yn_metric).join(
         idx.select("meta_id", "r"), "meta_id")
     names = STANDARD_F1_METRICS if yn_metric == "f1" else STANDARD_R2_METRICS
@@ -317,7 +321,6 @@ def bootstrap_standard(gold: DataFrame, preds: DataFrame, models: list[str] | No
                                                  F.col("r").cast("string"))), 1, 13), 16, 10).cast("double") / float(16 ** 13)
         rep = rep.withColumn("w", _poisson1(u))
     else:
-        n = idx.count()
         wts = bootstrap_weights(spark, n, B, seed)
         rep = cols.join(wts, "r")
     ex = standard_metric_exprs(yn_metric, F.col("w"))
