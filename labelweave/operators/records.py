@@ -300,3 +300,17 @@ def sanitize_records(df: DataFrame) -> DataFrame:
                                     F.lit(None).cast("struct<url:string>").alias("image_url")))
             out = df.select("messages", F.coalesce("parts", wrap).alias("parts"))
     return out
+
+
+def skip_limit(df: DataFrame, skip: int = 0, limit: int | None = None, pos_col: str = "idx") -> DataFrame:
+    """Rows by file position: skip the first ``skip``, keep ``limit``.
+    Positions are an explicit column (never partition order); skipping past
+    the end is an error (one scalar count)."""
+    if skip:
+        n = df.count()
+        if skip >= n:
+            raise ValueError(f"skip={skip} but only {n} records")
+    ranked = df.filter(F.col(pos_col) >= F.lit(skip)) if skip else df
+    if limit is not None:
+        ranked = ranked.filter(F.col(pos_col) < F.lit(skip + limit))
+    return ranked

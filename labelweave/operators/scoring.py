@@ -350,3 +350,17 @@ def constant_gold(gold_cols: DataFrame, col: str) -> DataFrame:
     return gold_cols.agg(F.count_distinct(col).alias("n_values"),
                          F.first(col, ignorenulls=True).alias("value")).withColumn(
         "constant", F.col("n_values") == 1)
+
+
+def console_view(long: DataFrame, models: list[str]) -> DataFrame:
+    """Transposed view — one row per metric, one column per model,
+    'v [lo, hi]' when a CI exists (models given, so the pivot needs no job)."""
+    v = F.when(F.col("score").isNull(), F.lit("nan"))
+    if "ci_low" in long.columns:
+        cell = v.when(F.col("ci_low").isNotNull() & F.col("ci_high").isNotNull(),
+                      F.format_string("%.3f [%.3f, %.3f]", "score", "ci_low", "ci_high"))
+    else:
+        cell = v
+    cell = cell.otherwise(F.format_string("%.3f", "score"))
+    return (long.withColumn("cell", cell).groupBy("metric_pos", "metric").pivot("model", models)
+            .agg(F.first("cell")).orderBy("metric_pos"))

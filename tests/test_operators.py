@@ -169,3 +169,25 @@ def test_usage_tokens(spark):
     r = df.select(US.record_tokens(msgs).alias("n")).first()
     assert r.n == 0 + 2 + 1            # round-half-even(6/4)=2, max(1, round(0.5)=0)=1
     assert spark.range(1).select(US.image_tokens(F.lit(720), F.lit(1280))).first()[0] == 3202
+
+
+def test_r2_mode_and_console_view(spark):
+    gold = SC.gold_table(RC.build_records(S.d_items(spark, SF0001)))
+    preds = parse_predictions(S.d_raw(spark, SF0001))
+    long = SC.score_standard(gold, preds, ["m_alpha", "m_beta"], yn_metric="r2")
+    got = {r.metric for r in long.collect()}
+    assert got == set(SC.STANDARD_R2_METRICS)
+    view = SC.console_view(long, ["m_alpha", "m_beta"]).collect()
+    assert [r.metric for r in view] == SC.STANDARD_R2_METRICS
+    assert SC.parse_cd_map("yes=0.9,bogus=3") == {"yes": 0.9, "no": 0.0, "cannot_determine": 0.5}
+    assert SC.parse_cd_map("garbage") == SC.CD_MAP_DEFAULT
+
+
+def test_tokenizer_udf_and_skip_limit(spark):
+    tok = US.tokenizer_udf(lambda t: len(t.split()))
+    df = spark.createDataFrame([(0, "a b c"), (1, ""), (2, None), (3, "x")], "idx long, t string")
+    assert [r.n for r in df.orderBy("idx").select(tok("t").alias("n")).collect()] == [3, 0, 0, 1]
+    assert [r.idx for r in RC.skip_limit(df, 1, 2).orderBy("idx").collect()] == [1, 2]
+    import pytest
+    with pytest.raises(ValueError):
+        RC.skip_limit(df, 4)
