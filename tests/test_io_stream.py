@@ -87,3 +87,23 @@ def test_progress_query(spark, tmpdir_path):
     q.awaitTermination()
     r = spark.table("lw_progress").first()
     assert r.landed == S.d_raw(spark, SF0001).count() and r.expected == 1000
+
+
+def test_file_roundtrip_scoring(spark, tmpdir_path):
+    """S2 -> S12 -> A12: parsed predictions written as JSONL per model, read
+    back with model names from the file names, scored like the in-memory run."""
+    from pyspark.sql import functions as F
+    from labelweave.operators import records as RC, scoring as SC
+    from labelweave.operators.parse import parse_predictions
+    parsed = parse_predictions(S.d_raw(spark, SF0001))
+    paths = []
+    for m in ("m_alpha", "m_beta"):
+        p = os.path.join(tmpdir_path, f"preds_{m}.parsed.jsonl")
+        IO.write_jsonl(parsed.filter(F.col("model") == m).drop("model").select(
+            "idx", "meta_id", "original_meta_id", "parsed", "raw", "json", "group_id", "mode"), p)
+        paths.append(p)
+    back = IO.read_predictions(spark, paths)
+    gold = SC.gold_table(RC.build_records(S.d_items(spark, SF0001)))
+    a = {(r.model, r.metric): r.score for r in SC.score_standard(gold, back, ["preds_m_alpha", "preds_m_beta"]).collect()}
+    b = {(f"preds_{r.model}", r.metric): r.score for r in SC.score_standard(gold, parsed, ["m_alpha", "m_beta"]).collect()}
+    assert a == b
