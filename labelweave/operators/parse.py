@@ -9,10 +9,10 @@ no shuffle, no Python worker. The extraction ladder is
   pattern_match     last brace-free object holding a search key, same steps
   none              nothing validated -> quarantined
 
-Answers that are already one clean JSON object take the fast path (one
-``from_json``); the later rungs are evaluated lazily only for rows that
-fail it (``coalesce`` / ``CASE`` short-circuit), so the expensive brace
-fold runs on the failures only.
+Answers that are already one clean JSON object take a fast path (strict
+parse, standardise, validate — no folds); every other answer runs the
+ladder, whose rungs are evaluated lazily (fold over rung numbers, CASE /
+coalesce short-circuit), so the expensive brace scan runs on failures only.
 """
 
 from __future__ import annotations
@@ -85,7 +85,20 @@ def extract_json(text: Column, cb: Codebook | None = None, group_mode: str | Non
                 lambda acc, i: F.when(acc.isNotNull(), acc).otherwise(
                     _process(candidate(t, fenced, i), F.element_at(modes, i), cb, check)))
         return J.let(J.strip_code_fence(t), with_fence)
-    return F.when(text.isNotNull() & (text != ""), J.let(text, ladder)).cast(RESULT_T)
+
+    def fast(t):
+        # an answer that already is one clean object: strict parse -> standardise
+        # -> validate, without the repair and ladder folds. When it does not
+        # validate, the ladder runs from its first rung (same parse, same result).
+        m = J.standardize(J.strict_parse(t), cb)
+        return J.let(m, lambda x: F.when(F.coalesce(check(x), F.lit(False)), F.struct(
+            J.apply_gates(x, cb).alias("json"), F.lit("strict").alias("mode"))))
+
+    def route(t):
+        s = strip_ws(t)
+        clean = s.startswith("{") & s.endswith("}") & ~s.contains("]")
+        return F.coalesce(F.when(clean, fast(t)), ladder(t))
+    return F.when(text.isNotNull() & (text != ""), J.let(text, route)).cast(RESULT_T)
 
 
 def _simple(text: Column, cb: Codebook, check) -> Column:
