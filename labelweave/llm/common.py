@@ -78,3 +78,11 @@ def add_columns(df: DataFrame, new: str, text_col: str,
                     names=[*cols, *names])
 
     return df.mapInArrow(run, out)
+
+
+def worker_store() -> dict:
+    """Objects kept for the life of a Python worker."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_labelweave_worker", types.ModuleType("_labelweave_worker")).__dict__

@@ -1,6 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 
-from labelweave.llm import decontaminate, ngram_join, quality_rules  # noqa: F401
+from labelweave.llm import decontaminate, ngram_join, packing, pii, quality_rules  # noqa: F401
 from labelweave.llm.registry import ORACLES, QUERIES
 
 
