@@ -1,6 +1,17 @@
 """Importing this module registers every query of the subpackage."""
 
-from labelweave.llm import decontaminate, ngram_join, packing, pii, quality_rules  # noqa: F401
+from labelweave.llm import (  # noqa: F401
+    decontaminate,
+    gam_quality,
+    html_extract,
+    langid,
+    licenses,
+    ngram_join,
+    packing,
+    pii,
+    quality_rules,
+    toxicity,
+)
 from labelweave.llm.registry import ORACLES, QUERIES
 
 
