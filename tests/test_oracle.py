@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from labelweave.plans import catalog
 from tests.conftest import SF0001
 from labelweave.sources.standins import TABLES
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+SQL = catalog.oracle_sql()
+QUERIES = catalog.queries()
 
 
 def _norm(v):
