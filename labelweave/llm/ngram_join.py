@@ -241,7 +241,7 @@ _BLOCK_OUT = "x binary, y binary, n long"
 
 def _block_pair(threshold: float):
     """Compare the two blocks of a group: rows (x, null, copies linked to x) and (x, y, null) of a spanning forest."""
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         band, i, j = int(key[0]), int(key[2]), int(key[3])
         sets = [unpack(bytes(s)) for s in rows["shingles"]]
         size = np.array([len(s) for s in sets])

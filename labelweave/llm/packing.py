@@ -166,7 +166,7 @@ def _pack_partition(spec, id_col: str, text_col: str, size: int, most: int, max_
 
 def _merge(size: int, id_col: str, schema: pa.Schema):
     """Lay the unfinished pieces of one group end to end and cut at the sequence length."""
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         rows = rows.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
         cols = [rows.column(c).to_pylist() for c in (id_col, "start", "length", "ids", "doc_tokens")]
         out, filled = [], 0
