@@ -137,12 +137,15 @@ def disclosing_words(docs: DataFrame, text_col: str = "text", min_support: int =
     both = (near.join(n_entity, "entity").select("text_key", "entity", "nc", F.explode("words").alias("word")).distinct()
             .groupBy("entity", "nc", "word").agg(F.count(F.lit(1)).alias("ntc")).filter(F.col("ntc") >= min_support))
     both = cut(both, "pii-pairs")
-    wanted = cut(both.select("word").distinct(), "pii-words")
-    n_word = (texts.select(F.xxhash64("text").alias("text_key"), F.explode(F.array_distinct(
-        F.regexp_extract_all(low, F.lit(WORD_RE), F.lit(0)))).alias("word"))
-        .join(wanted, "word", "left_semi").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("nt")))
-    total = texts.agg(F.approx_count_distinct("text", 0.01).cast("double").alias("n")).first()["n"] \
-        if wanted.limit(1).count() else 1.0
+    # n(t) over distinct texts: a row counts as one over the number of rows with its text. Words are
+    # added up before anything is joined, so the joins see one row per word of the corpus.
+    copies = cut(texts.groupBy(F.xxhash64("text").alias("text_key")).agg(F.count(F.lit(1)).alias("m")), "pii-copies")
+    total = float(copies.count())
+    weighed = (texts.withColumn("text_key", F.xxhash64("text")).join(copies.filter("m > 1"), "text_key", "left")
+               .select((1 / F.coalesce("m", F.lit(1))).alias("weight"), low.alias("low")))
+    n_word = (weighed.select("weight", F.explode(F.array_distinct(
+        F.regexp_extract_all("low", F.lit(WORD_RE), F.lit(0)))).alias("word"))
+        .groupBy("word").agg(F.round(F.sum("weight")).alias("nt")))
     ic = -F.log2(F.col("nc") / F.lit(total))
     pmi = F.log2(F.lit(total) * F.col("ntc") / (F.col("nt") * F.col("nc")))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
