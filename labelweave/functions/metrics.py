@@ -50,16 +50,18 @@ def r2(gold: Column, pred: Column, weight: Column | None = None) -> Column:
     mask = gold.isNotNull() & pred.isNotNull() & ~F.isnan(gold) & ~F.isnan(pred)
     if weight is None:
         n = F.count(F.when(mask, F.lit(1)))
+        here = mask
         sst = F.var_pop(F.when(mask, gold)) * n
         ssr = F.sum(F.when(mask, (gold - pred) * (gold - pred)))
     else:
+        here = mask & (weight > 0)
         w = F.when(mask, weight.cast("double"))
         n = F.sum(w)
         sg = F.sum(w * gold)
         sst = F.sum(w * gold * gold) - sg * sg / n
         ssr = F.sum(w * (gold - pred) * (gold - pred))
     return (F.when(F.coalesce(n, F.lit(0)) < 2, F.lit(None).cast("double"))
-            .when(sst == 0, F.when(ssr == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+            .when(F.min(F.when(here, gold)) == F.max(F.when(here, gold)), F.when(ssr == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
             .otherwise(1 - ssr / sst))
 
 

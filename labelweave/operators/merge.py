@@ -11,19 +11,27 @@ Shuffle plan of ``merge_groups``:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.codebook import Codebook, default_codebook
 from labelweave.functions.text import meta_id_str, norm_columns, resolve_column, ID_CANDIDATES
 
 
+def position(pos_col: str, row) -> Column:
+    """Order key of a row: its position, else before all positions by its JSON text."""
+    p = F.col(pos_col).cast("long")
+    return F.struct(F.coalesce(p, F.lit(-(1 << 63))).alias("p"),
+                    F.when(p.isNull(), F.to_json(row)).otherwise("").alias("t"))
+
+
 def last_wins(df: DataFrame, keys: list[str], pos_col: str, cols: list[str] | None = None) -> DataFrame:
     """Keep the row with the largest ``pos_col`` per key (dict-overwrite
-    semantics) via ``max_by`` — partial aggregation, no full-group window."""
+    semantics) via ``max_by`` — partial aggregation, no full-group window. Rows
+    without a position come before all others, among them by their JSON text."""
     cols = cols or [c for c in df.columns if c not in keys]
     s = F.struct(*[F.col(c) for c in cols])
-    return (df.groupBy(*keys).agg(F.max_by(s, F.col(pos_col)).alias("_w"))
+    return (df.groupBy(*keys).agg(F.max_by(s, position(pos_col, s)).alias("_w"))
             .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in cols]))
 
 
@@ -31,22 +39,24 @@ def merge_groups(parsed: DataFrame, cb: Codebook | None = None, group_mode: str
                  require_complete: bool = False, pos_col: str = "idx") -> DataFrame:
     """A3 + A4: per item, last record per group wins; group maps merged in
     first-seen group order (later groups override keys); unparsed or empty
-    answers are skipped. Output: meta_id, parsed, complete, groups_present,
+    answers are skipped. With a ``model`` column each model's answers are merged
+    on their own. Output: model (if given), meta_id, parsed, complete, groups_present,
     missing_groups, json."""
     cb = cb or default_codebook()
     expected = sorted(g.group_id for g in cb.group_configs(group_mode))
     ok = parsed.filter(F.col("parsed") & (F.coalesce(F.size("json"), F.lit(0)) > 0)
                        & F.col("original_meta_id").isNotNull() & (F.col("original_meta_id") != ""))
-    per_group = ok.groupBy("original_meta_id", "group_id").agg(
+    by = (["model"] if "model" in parsed.columns else []) + ["original_meta_id"]
+    per_group = ok.groupBy(*by, "group_id").agg(
         F.min(pos_col).alias("first_pos"),
-        F.max_by(F.map_entries("json"), F.col(pos_col)).alias("entries"))
-    items = per_group.groupBy("original_meta_id").agg(
+        F.max_by(F.map_entries("json"), position(pos_col, F.struct("json"))).alias("entries"))
+    items = per_group.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("first_pos", "group_id", "entries"))).alias("gs"))
     present = F.array_sort(F.filter(F.transform("gs", lambda g: g["group_id"]),
                                     lambda x: x.isNotNull() & (x != "")))
     exp = F.array(*[F.lit(x) for x in expected]).cast("array<string>")
     out = items.select(
-        F.col("original_meta_id").alias("meta_id"),
+        *by[:-1], F.col("original_meta_id").alias("meta_id"),
         F.lit(True).alias("parsed"),
         (F.size(F.array_except(exp, present)) == 0).alias("complete"),
         present.alias("groups_present"),
@@ -87,7 +97,8 @@ def join_predictions(source: DataFrame, preds: DataFrame, keys: list[str] | None
     p = preds.filter(F.col("parsed") & (F.coalesce(F.size("json"), F.lit(0)) > 0)
                      & (F.col("meta_id").cast("string") != ""))
     if "idx" in p.columns:
-        p = last_wins(p.withColumn("meta_id", F.col("meta_id").cast("string")), ["meta_id"], "idx",
+        p = last_wins(p.withColumn("meta_id", F.col("meta_id").cast("string")),
+                      (["model"] if "model" in p.columns else []) + ["meta_id"], "idx",
                       ["json"] + (["complete"] if "complete" in p.columns else []))
     keys = keys if keys is not None else pred_keys(p)
     cols = [F.try_element_at(F.col("_p.json"), F.lit(k)).alias(f"pred_{k}") for k in sorted(keys)]

@@ -285,21 +285,22 @@ def record_user_text(messages: Column) -> Column:
 
 
 def sanitize_records(df: DataFrame) -> DataFrame:
-    """P40 + P41: keep only ``messages`` (else only messages/prompt/completion/
-    text); when any record carries list content, every string content is
-    wrapped as a one-element text-part list (``parts``)."""
-    keep = [c for c in df.columns if c == "messages"] or \
-        [c for c in df.columns if c in ("messages", "prompt", "completion", "text")]
-    if not keep:
+    """P40 + P41, row by row: a row with ``messages`` keeps only those, another
+    row its prompt/completion/text; when any record carries list content,
+    every message of the others becomes a one-element text-part list (``parts``
+    holds those of the whole conversation, in order)."""
+    flat = [c for c in df.columns if c in ("prompt", "completion", "text")]
+    has = "messages" in df.columns
+    if not has and not flat:
         raise ValueError("no trainable field left after sanitising")
-    out = df.select(*keep)
-    if "parts" in df.columns:
-        any_list = df.agg(F.bool_or(F.col("parts").isNotNull()).alias("x")).first()["x"]
-        if any_list:
-            wrap = F.array(F.struct(F.lit("text").alias("type"), F.col("messages")[1]["content"].alias("text"),
-                                    F.lit(None).cast("struct<url:string>").alias("image_url")))
-            out = df.select("messages", F.coalesce("parts", wrap).alias("parts"))
-    return out
+    there = F.col("messages").isNotNull() if has else F.lit(False)
+    keep = ([F.col("messages")] if has else []) + [F.when(~there, F.col(c)).alias(c) for c in flat]
+    if "parts" in df.columns and has and df.filter(F.col("parts").isNotNull()).limit(1).count():
+        wrap = F.transform("messages", lambda m: F.struct(
+            F.lit("text").alias("type"), m["content"].alias("text"),
+            F.lit(None).cast("struct<url:string>").alias("image_url")))
+        keep.append(F.coalesce("parts", wrap).alias("parts"))
+    return df.select(*keep)
 
 
 def skip_limit(df: DataFrame, skip: int = 0, limit: int | None = None, pos_col: str = "idx") -> DataFrame:
@@ -310,7 +311,10 @@ def skip_limit(df: DataFrame, skip: int = 0, limit: int | None = None, pos_col:
         n = df.count()
         if skip >= n:
             raise ValueError(f"skip={skip} but only {n} records")
-    ranked = df.filter(F.col(pos_col) >= F.lit(skip)) if skip else df
-    if limit is not None:
-        ranked = ranked.filter(F.col(pos_col) < F.lit(skip + limit))
+    if limit is not None:                     # positions may have gaps: count rows, not values
+        df = df.orderBy(pos_col).limit(skip + limit)
+    ranked = df
+    if skip:
+        first = df.orderBy(pos_col).limit(skip).select(F.max(pos_col).alias("_last"))
+        ranked = df.join(F.broadcast(first), F.col(pos_col) > F.col("_last")).drop("_last")
     return ranked

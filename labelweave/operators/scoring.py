@@ -5,21 +5,23 @@ generator (``explode`` of the model names — no cross join), left-joined to
 the last-wins predictions on (model, meta_id), and reduced with hash
 aggregates. The comprehensive scorecard reduces first to a confusion table
 (model, dim, gold, pred) -> count (tens of rows), and every F1 is computed
-from that. Bootstrap replicates are weighted aggregates: draw weights are
-generated from ``spark.range`` with an md5 hash (engine-portable), reduced
-to (b, row) counts, joined on the row index and aggregated per (model, b).
+from that. Bootstrap replicates are weighted aggregates: each item's weight in
+a replicate is hashed from its id (engine-portable), so the weighted sums per
+(model, replicate) need no row number, draw table or join.
 """
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.codebook import Codebook, default_codebook, STANCE
 from labelweave.functions import metrics as M
-from labelweave.functions.text import clamp01, clamp11, normalize_cd_label, yesno_label, strip_ws
+from labelweave.functions.text import clamp01, clamp11, compute_once, normalize_cd_label, strip_ws, yesno_label
 from labelweave.operators.merge import last_wins
 from labelweave.operators.records import gold_of
 
@@ -43,19 +45,13 @@ NUMERIC_SUFFIXES = ["", "_score", "_prob", "_yes_prob", "_p"]
 def parse_cd_map(s: str | None) -> dict[str, float]:
     """P38: 'yes=1,no=0,cannot_determine=0.5'; unknown keys ignored, missing
     keys defaulted, malformed text -> all defaults."""
-    if not s:
-        return dict(CD_MAP_DEFAULT)
-    out = {}
+    pairs = re.findall(r"\s*([^=,\s]+)\s*=\s*([^=,]+?)\s*(?:,|$)", s or "")
+    whole = len(pairs) == len((s or "").split(","))
     try:
-        for part in s.split(","):
-            k, v = [t.strip() for t in part.strip().split("=")]
-            if k in CD_MAP_DEFAULT:
-                out[k] = float(v)
-    except Exception:  # noqa: BLE001
-        return dict(CD_MAP_DEFAULT)
-    for k, v in CD_MAP_DEFAULT.items():
-        out.setdefault(k, v)
-    return out
+        given = {k: float(v) for k, v in pairs} if whole else {}
+    except ValueError:
+        given = {}
+    return {k: given.get(k, default) for k, default in CD_MAP_DEFAULT.items()}
 
 
 def _get(m: Column, k: str) -> Column:
@@ -255,94 +251,61 @@ def score_comprehensive(gold: DataFrame, preds: DataFrame, models: list[str] | N
 
 # --- bootstrap (A13) -----------------------------------------------------------------------
 
-def dense_index(df: DataFrame, order_col: str, name: str = "r", with_count: bool = False):
-    """0-based dense row index by ``order_col`` without a single-partition
-    window: range-partition by the key, count rows per partition (one small
-    job, bounded by the partition count), add the partition's offset to the
-    row number inside the partition. ``with_count`` also returns the total."""
-    s = df.repartitionByRange(order_col).withColumn("_pid", F.spark_partition_id())
-    counts = sorted((r["_pid"], r["c"]) for r in
-                    s.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
-    offs, acc = [], 0
-    for pid, c in counts:
-        offs.append((pid, acc))
-        acc += c
-    spark = df.sparkSession
-    off_df = spark.createDataFrame(offs or [(0, 0)], "_pid int, _off long")
-    w = Window.partitionBy("_pid").orderBy(order_col)
-    out = (s.join(F.broadcast(off_df), "_pid")
-           .withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long"))
-           .drop("_pid", "_off"))
-    return (out, acc) if with_count else out
-
-
-def draw_index(seed, b: Column, k: Column, n) -> Column:
-    """Portable draw: md5('<seed>:<b>:<k>') -> first 15 hex digits -> mod n."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), k.cast("string")))
-    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % F.lit(n)
-
-
-def bootstrap_weights(spark, n: int, B: int, seed: int | str) -> DataFrame:
-    """(b, r, w): how many times row r is drawn in replicate b (n draws with
-    replacement each). B*n draw rows come from ``spark.range`` and are
-    reduced by a partial aggregate before any shuffle of note."""
-    parts = max(1, min(4096, (B * n) // 2_000_000 + 1))
-    d = spark.range(0, B * n, numPartitions=parts)
-    b = (F.col("id") / F.lit(n)).cast("long")
-    k = F.col("id") % F.lit(n)
-    return (d.select(b.alias("b"), draw_index(seed, b, k, n).alias("r"))
-            .groupBy("b", "r").agg(F.count(F.lit(1)).alias("w")))
+def _poisson_cdf() -> list[float]:
+    """Distribution function of Poisson(1), up to where it rounds to 1."""
+    import math
+    out, total, p = [], 0.0, math.exp(-1.0)
+    while not out or out[-1] < 1.0 - 2.0 ** -52:
+        total += p
+        out.append(total)
+        p /= len(out)
+    return out
+
+
+POISSON_CDF = _poisson_cdf()
+
+
+def replicate_weights(items: DataFrame, B: int, seed: int | str) -> DataFrame:
+    """Every item (by ``meta_id``) with its weight ``w`` > 0 in each replicate ``b``.
+
+    Poisson bootstrap: independent Poisson(1) weights, from a uniform of 52
+    bits hashed from (seed, replicate, item id). The weight of a row depends on
+    nothing but its id, so rows need no number, no draw table and no join."""
+    rep = items.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("meta_id")))
+    rep = compute_once(rep, u=F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13))
+    w = F.lit(len(POISSON_CDF))
+    for k in range(len(POISSON_CDF) - 1, -1, -1):
+        w = F.when(F.col("u") < POISSON_CDF[k], F.lit(k)).otherwise(w)
+    return rep.withColumn("w", w).drop("u").filter("w > 0")
+
+
+def _intervals(reps: DataFrame, names: list[str], alpha: float) -> DataFrame:
+    return reps.unpivot(["model", "b"], names, "metric", "v").filter(
+        F.col("v").isNotNull() & ~F.isnan("v")).groupBy("model", "metric").agg(
+        F.percentile("v", alpha / 2).alias("ci_low"), F.percentile("v", 1 - alpha / 2).alias("ci_high"))
 
 
 def bootstrap_standard(gold: DataFrame, preds: DataFrame, models: list[str] | None = None,
                        B: int = 1000, alpha: float = 0.05, seed: int | str = 0,
-                       yn_metric: str = "f1", method: str = "multinomial") -> DataFrame:
+                       yn_metric: str = "f1", yn_thresh: float | None = None,
+                       cd_map: dict[str, float] | None = None) -> DataFrame:
     """A13 on the standard scorecard: (model, metric, score, ci_low, ci_high).
 
-    ``multinomial`` is the exact resampling (n draws with replacement per
-    replicate); ``poisson`` uses independent Poisson(1) weights generated
-    per (row, replicate) from a hash — no draw table and no join, the
-    documented approximation for very large n.
-    """
-    from labelweave.session import checkpoint_dir
-    spark = gold.sparkSession
+    The answers of all models for an item share its weights. Replicates are
+    summed per (model, replicate) with partial aggregation; the shuffle holds
+    models x B rows per task."""
     models = models or model_list(preds)
-    idx, n = dense_index(gold.select("meta_id", "gold"), "meta_id", with_count=True)
-    checkpoint_dir(spark)                      # shared folder from spark.checkpoint.dir
-    idx = idx.checkpoint(eager=True)           # cut lineage: gold is reused by every replicate
-    cols = standard_columns(align(idx, preds, models), yn_metric).join(
-        idx.select("meta_id", "r"), "meta_id")
+    cols = standard_columns(align(gold.select("meta_id", "gold"), preds, models), yn_metric, yn_thresh, cd_map)
     names = STANDARD_F1_METRICS if yn_metric == "f1" else STANDARD_R2_METRICS
     point = cols.groupBy("model").agg(*[e.cast("double").alias(k) for k, e in
                                         standard_metric_exprs(yn_metric).items()])
-    if method == "poisson":
-        rep = cols.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-        u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"),
-                                                 F.col("r").cast("string"))), 1, 13), 16, 10).cast("double") / float(16 ** 13)
-        rep = rep.withColumn("w", _poisson1(u))
-    else:
-        wts = bootstrap_weights(spark, n, B, seed)
-        rep = cols.join(wts, "r")
+    per_item = cols.groupBy("meta_id").agg(F.collect_list(F.struct(
+        *[c for c in cols.columns if c != "meta_id"])).alias("rows"))       # one entry per model
+    rep = replicate_weights(per_item, B, seed).select("meta_id", "b", "w", F.inline("rows"))
     ex = standard_metric_exprs(yn_metric, F.col("w"))
     reps = rep.groupBy("model", "b").agg(*[e.cast("double").alias(k) for k, e in ex.items()])
-    ci = reps.unpivot(["model", "b"], names, "metric", "v").filter(
-        F.col("v").isNotNull() & ~F.isnan("v")).groupBy("model", "metric").agg(
-        F.percentile("v", alpha / 2).alias("ci_low"), F.percentile("v", 1 - alpha / 2).alias("ci_high"))
-    return to_long(point, names).join(ci, ["model", "metric"], "left")
-
-
-def _poisson1(u: Column) -> Column:
-    """Inverse-CDF Poisson(1) draw from a uniform u (cut at 8 — P(X>8) < 1e-5)."""
-    import math
-    cdf, acc, p = [], 0.0, math.exp(-1.0)
-    for k in range(9):
-        acc += p
-        cdf.append(acc)
-        p = p / (k + 1)
-    e = None
-    for k, c in enumerate(cdf):
-        e = F.when(u < c, F.lit(k)) if e is None else e.when(u < c, F.lit(k))
-    return e.otherwise(F.lit(9))
+    return to_long(point, names).join(_intervals(reps, names, alpha), ["model", "metric"], "left")
 
 
 def constant_gold(gold_cols: DataFrame, col: str) -> DataFrame:

@@ -119,7 +119,7 @@ def starved_cells(labels: DataFrame, **kw) -> DataFrame:
                      kw.get("yn_thresh", 0.5), kw.get("cut1", -0.33), kw.get("cut2", 0.33))
     c = b.groupBy(*CELLS).agg(F.count(F.lit(1)).alias("c"))
     sp = stratified_split(labels, keep_work_cols=True,
-                          **{k: v for k, v in kw.items() if k not in ("video_col",)})
+                          **kw)
     v = sp.filter(F.col("split") == "val").groupBy(*CELLS).agg(F.count(F.lit(1)).alias("v"))
     return (c.join(v, CELLS, "left")
             .select(*CELLS, "c", F.coalesce(F.col("v"), F.lit(0)).cast("bigint").alias("val_got"))

@@ -57,6 +57,7 @@ def compare_wide(gold: DataFrame, preds: DataFrame, models: list[str], key: str
 
     ``fields``: (json key, short name, kind) with kind 'float' | 'yn' | 'stance'.
     """
+    from labelweave.operators.merge import last_wins
     from labelweave.operators.scoring import latest_predictions
     fields = fields or [("china_stance_score", "stance", "float"),
                         ("china_sensitive", "sensitive", "yn"),
@@ -68,8 +69,12 @@ def compare_wide(gold: DataFrame, preds: DataFrame, models: list[str], key: str
         if kind == "yn":
             return norm_yn_cd(v)
         return stance_label(v)
-    p = latest_predictions(preds)
-    pv = p.select("model", F.col("meta_id").alias(key),
+    if key == "idx":        # by position: the last answer of each position
+        p = last_wins(preds.filter(F.col("parsed") & F.col("json").isNotNull() & F.col("idx").isNotNull()),
+                      ["model", "idx"], "idx", ["json"])
+    else:
+        p = latest_predictions(preds)
+    pv = p.select("model", F.col("idx" if key == "idx" else "meta_id").alias(key),
                   *[norm(F.try_element_at("json", F.lit(k)), kind).alias(n) for k, n, kind in fields])
     wide = pv.groupBy(key).pivot("model", models).agg(*[F.first(n).alias(n) for _, n, _ in fields])
     g = gold.select(key, F.col("gold"), F.col("transcript"))

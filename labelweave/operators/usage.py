@@ -39,13 +39,17 @@ def record_tokens(messages: Column, parts: Column | None = None,
                   chars_per_token: float = CHARS_PER_TOKEN) -> Column:
     """Sum over messages of the string content (or, for multimodal
     messages, the text parts)."""
-    s = F.aggregate(messages, F.lit(0).cast("long"),
-                    lambda acc, m: acc + text_tokens(m["content"], chars_per_token))
+    def total(ms: Column) -> Column:
+        return F.aggregate(ms, F.lit(0).cast("long"), lambda acc, m: acc + text_tokens(m["content"], chars_per_token))
+
+    s = total(messages)
     if parts is None:
         return s
     p = F.aggregate(F.coalesce(parts, F.array().cast("array<struct<type:string,text:string>>")),
                     F.lit(0).cast("long"), lambda acc, x: acc + text_tokens(x["text"], chars_per_token))
-    return s + p
+    # the parts hold the text of the user message: count it there only
+    rest = total(F.filter(messages, lambda m: m["role"] != "user"))
+    return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, rest + p).otherwise(s)
 
 
 def tokenizer_udf(count_fn: Callable[[str], int]):

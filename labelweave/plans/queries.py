@@ -236,7 +236,8 @@ def _sql_r2_w(g: str, p: str, w: str) -> str:
     sg = f"sum(CASE WHEN {m} THEN CAST({w} AS DOUBLE) * {g} END)"
     sst = f"(sum(CASE WHEN {m} THEN CAST({w} AS DOUBLE) * {g} * {g} END) - {sg} * {sg} / {W})"
     ssr = f"sum(CASE WHEN {m} THEN CAST({w} AS DOUBLE) * ({g} - {p}) * ({g} - {p}) END)"
-    return (f"CASE WHEN coalesce({W}, 0) < 2 THEN NULL WHEN {sst} = 0 THEN CASE WHEN {ssr} = 0 THEN 1.0 "
+    low, high = (f"{f}({g}) FILTER (WHERE {m} AND {w} > 0)" for f in ("min", "max"))
+    return (f"CASE WHEN coalesce({W}, 0) < 2 THEN NULL WHEN {low} = {high} THEN CASE WHEN {ssr} = 0 THEN 1.0 "
             f"ELSE 0.0 END ELSE 1 - {ssr} / {sst} END")
 
 
@@ -359,15 +360,12 @@ def _boot_sql() -> str:
     }
     names = SC.STANDARD_F1_METRICS
     body = "WITH " + _STD_PAIRS + f""",
-idx AS (SELECT meta_id, row_number() OVER (ORDER BY meta_id) - 1 AS r FROM std_gold),
-nn AS (SELECT count(*) AS n FROM idx),
-draws AS (SELECT t.range AS b,
-            ('0x' || substr(md5('{_BOOT_SEED}:' || CAST(t.range AS VARCHAR) || ':' || CAST(i.r AS VARCHAR)), 1, 15))::BIGINT % nn.n AS r
-          FROM range(0, {_BOOT_B}) t, idx i, nn),
-wts AS (SELECT b, r, count(*) AS w FROM draws GROUP BY b, r),
-pr AS (SELECT p.*, i.r FROM std_pairs p JOIN idx i USING (meta_id)),
+us AS (SELECT t.range AS b, g.meta_id,
+         ('0x' || substr(md5('{_BOOT_SEED}:' || CAST(t.range AS VARCHAR) || ':' || g.meta_id), 1, 13))::BIGINT::DOUBLE / {16 ** 13}::DOUBLE AS u
+       FROM range(0, {_BOOT_B}) t, std_gold g),
+wts AS (SELECT b, meta_id, CASE {" ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(SC.POISSON_CDF))} ELSE {len(SC.POISSON_CDF)} END AS w FROM us),
 reps AS (SELECT model, b, """ + ",\n".join(f"{e} AS {k}" for k, e in rep.items()) + """
-         FROM pr JOIN wts USING (r) GROUP BY model, b),
+         FROM std_pairs JOIN wts USING (meta_id) WHERE w > 0 GROUP BY model, b),
 rl AS (""" + "\nUNION ALL\n".join(f"SELECT model, '{m}' AS metric, {m} AS v FROM reps" for m in names) + f"""),
 ci AS (SELECT model, metric, round(quantile_cont(v, {_BOOT_ALPHA / 2}), 6) AS ci_low,
               round(quantile_cont(v, {1 - _BOOT_ALPHA / 2}), 6) AS ci_high
@@ -382,7 +380,7 @@ FROM pt LEFT JOIN ci USING (model, metric)"""
 
 @register("bootstrap_ci", _boot_sql())
 def q_bootstrap_ci(spark, sf):
-    """Bootstrap CIs (B=1000, alpha=0.05) of the standard scorecard, exact resampling."""
+    """Bootstrap CIs (B=1000, alpha=0.05) of the standard scorecard, Poisson(1) weights hashed from the item id."""
     s = SC.bootstrap_standard(_val_gold(spark, sf), _parsed(spark, sf), MODELS,
                               B=_BOOT_B, alpha=_BOOT_ALPHA, seed=_BOOT_SEED)
     return s.select("model", "metric", rnd(F.col("score")).alias("score"), F.col("metric_pos").cast("int"),

@@ -85,9 +85,14 @@ def merge_stream(parsed: DataFrame, cb: Codebook | None = None, group_mode: str
         if state.hasTimedOut:
             groups = json.loads(state.get[0])
             state.remove()
-            yield _emit(meta_id, groups, expected, False)
+            if groups is not None:
+                yield _emit(meta_id, groups, expected, False)
             return
         groups = json.loads(state.get[0]) if state.exists else {}
+        if groups is None:                  # done: answers that come later change nothing
+            if timeout_ms is not None:
+                state.setTimeoutDuration(int(timeout_ms))
+            return
         for pdf in pdfs:
             for r in pdf.itertuples(index=False):
                 g = r.group_id or ""
@@ -96,7 +101,9 @@ def merge_stream(parsed: DataFrame, cb: Codebook | None = None, group_mode: str
                 last_pos = cur[1] if cur else -1
                 groups[g] = [first, int(r.idx), r.j] if int(r.idx) >= last_pos else [first, cur[1], cur[2]]
         if set(expected) <= set(groups):
-            state.remove()
+            state.update(("null",))         # a mark that the item is done, kept until the timeout
+            if timeout_ms is not None:
+                state.setTimeoutDuration(int(timeout_ms))
             yield _emit(meta_id, groups, expected, True)
         else:
             state.update((json.dumps(groups),))

@@ -45,6 +45,7 @@ def test_csv_sniff_and_label_read(spark, tmpdir_path):
 def test_model_names():
     assert IO.model_names(["out/preds_a.parsed.jsonl", "x/preds_a.parsed.jsonl", "y/b c.jsonl", "z/.jsonl"]) == \
         ["preds_a", "preds_a_2", "b_c", "model"]
+    assert IO.model_names(["x/a.jsonl", "y/a.jsonl", "z/a_2.jsonl"]) == ["a", "a_3", "a_2"]
 
 
 def test_table_sinks(spark, tmpdir_path):
@@ -73,6 +74,7 @@ def test_stream_merge_state(spark, tmpdir_path):
     # duplicated group answer equal the batch fold (with duplicates the stream emits
     # as soon as the item is complete, so a later duplicate cannot be folded in)
     assert got.filter("complete").select("meta_id").distinct().count() == batch.count()
+    assert got.filter("complete").count() == batch.count() and got.filter("NOT complete").count() == 0
     b = {r.meta_id: dict(r.json) for r in batch.collect()}
     for r in got.filter("complete").collect():
         if int(r.meta_id) % 13 != 0:
