@@ -8,11 +8,11 @@ features, added to tables over pairs of coarser bins. The model is a handful of
 small tables, and a score is the logistic of the sum of the looked-up bins.
 
 Training uses a bounded sample: at most ``TRAIN_ROWS`` labelled texts, those with
-the smallest hash of their id; only their features travel, never the texts.
+the smallest hash of their text; their features travel, not the texts.
 Scoring is one pass over all texts.
 
 Defined cases: a null or empty text has features 0 and a score like any other;
-ties of the sample's hash are broken by the id; without labels of both kinds the
+ties of the sample's hash are broken by the label; without labels of both kinds the
 score is the (smoothed) share of label 1; repeated rows are treated alike; an
 empty table gives an empty result; input columns named like a result column are
 replaced by it.
@@ -172,14 +172,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", limit: int = TRAIN_ROWS) -> Model:
     """Model from at most ``limit`` labelled rows."""
     rows = (labelled.filter(F.col(label_col).isNotNull())
-            .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-            .orderBy(F.xxhash64("text"), "text", "label").limit(limit))
+            .select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(text_col).alias("key")))
 
     def encode(b: pa.RecordBatch) -> dict[str, pa.Array]:
         x = features(b.column(b.schema.get_field_index("text")))
         return {"x": T.lists(x.ravel(), np.full(len(x), len(FEATURES)), pa.float64())}
 
-    got = add_columns(rows, "x array<double>", "text", encode, ["label"]).collect()    # at most limit x FEATURES numbers
+    coded = add_columns(rows, "x array<double>", "text", encode, ["label", "key"])
+    got = coded.orderBy("key", "label").limit(limit).select("x", "label").collect()    # at most limit x FEATURES numbers
     got.sort(key=lambda r: (r["x"], r["label"]))
     return fit(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in got], float))
 
