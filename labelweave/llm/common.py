@@ -70,6 +70,7 @@ def add_columns(df: DataFrame, new: str, text_col: str,
     cut_up = slicer or textkit.slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("columns")
         for whole in batches:
             for b in cut_up(whole, text_col):
                 got = fn(b)
@@ -80,9 +81,13 @@ def add_columns(df: DataFrame, new: str, text_col: str,
     return df.mapInArrow(run, out)
 
 
-def worker_store() -> dict:
-    """Objects kept for the life of a Python worker."""
+def worker_store(owner: str) -> dict:
+    """Objects that one operator keeps in a Python worker; another owner's are dropped."""
     import sys
     import types
 
-    return sys.modules.setdefault("_labelweave_worker", types.ModuleType("_labelweave_worker")).__dict__
+    kept = sys.modules.setdefault("_labelweave_worker", types.ModuleType("_labelweave_worker")).__dict__
+    if kept.get("owner") != owner:
+        kept.clear()
+        kept["owner"] = owner
+    return kept

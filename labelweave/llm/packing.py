@@ -45,11 +45,12 @@ END_ID = 1
 OPEN_WINDOWS = 64
 MAX_GAP = 16
 MERGE = 16
-CACHE = 500_000
+CACHE = 200_000       # chunks of one generation
 
 
 class ChunkIds(dict):
-    """Ids of blank-separated chunks, as bytes; filled on demand."""
+    """Ids of blank-separated chunks, as bytes; filled on demand. Two generations: when the younger is
+    full it replaces the older, and chunks met again move back."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -57,10 +58,15 @@ class ChunkIds(dict):
         super().__init__()
         self.tok = Tokenizer.from_str(spec)
         self.model = self.tok.model
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE:
+        if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
+        if (ids := self.older.get(chunk)) is not None:
+            self[chunk] = ids
+            return ids
         low = chunk.lower() if chunk.isascii() else ""
         if low.isalpha():       # one run of letters: a single word of the model
             ids = self[low] if low != chunk else self._pack([t.id for t in self.model.tokenize(low)])
@@ -127,7 +133,7 @@ _PIECE = "start long, length long, ids binary, doc_tokens long, sequence_id long
 def _pack_partition(spec, id_col: str, text_col: str, size: int, most: int, max_gap: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        store = worker_store()
+        store = worker_store("packing")
         if store.get("chunk_spec") != len(spec.value):
             store["chunk_ids"], store["chunk_spec"] = ChunkIds(spec.value), len(spec.value)
         chunk_ids = store["chunk_ids"]
