@@ -31,7 +31,7 @@ JSON_OPTS = {"allowSingleQuotes": "false", "allowUnquotedFieldNames": "false",
              "allowComments": "false", "allowNumericLeadingZeros": "false",
              "allowBackslashEscapingAnyCharacter": "false", "mode": "PERMISSIVE"}
 
-MODES = ("strict", "codefence_stripped", "balanced_block", "pattern_match", "none")
+END_MARK = "$labelweave-end$"     # key of the object that follows a text in ``strict_parse``
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — repair patterns (Java regex syntax), applied in this order.
@@ -165,19 +165,15 @@ def strict_parse(s: Column) -> Column:
     standard JSON loader: the whole (whitespace-trimmed) text must be exactly
     one object. Returns null otherwise.
 
-    Spark's reader ignores trailing text after the first value, so we parse
-    ``[`` + text + ``]`` as an array and require exactly one element; a ']'
-    in the text could close that array early, and only then the exact brace
-    fold decides.
+    Spark's reader ignores trailing text after the first value, so the text is
+    parsed as the first element of an array whose second element is a mark:
+    only if the text is exactly one value does the mark come second.
     """
     def body(t):
-        arr = F.from_json(F.concat(F.lit("["), t, F.lit("]")), ARR_T, JSON_OPTS)
-        shaped = t.startswith("{") & t.endswith("}")
-        one = F.coalesce(F.size(arr) == 1, F.lit(False))
-        exact = F.when(~t.contains("]"), F.lit(True)).otherwise(
-            let(brace_scan(t), lambda st: F.coalesce(
-                (st["first_s"] == 1) & (st["first_e"] == F.length(t)), F.lit(False))))
-        return F.when(shaped & one & exact, arr[0])
+        arr = F.from_json(F.concat(F.lit("["), t, F.lit(',{"%s":""}]' % END_MARK)), ARR_T, JSON_OPTS)
+        return F.when(t.startswith("{") & t.endswith("}"), let(arr, lambda a: F.when(
+            (F.size(a) == 2) & F.coalesce(F.map_contains_key(F.get(a, F.lit(1)), F.lit(END_MARK)), F.lit(False)),
+            F.get(a, F.lit(0)))))
     return let(strip_ws(s), body)
 
 

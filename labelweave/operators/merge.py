@@ -3,8 +3,8 @@ the source table (A3–A5, A15, A22, JN3, U1–U3, W5).
 
 Shuffle plan of ``merge_groups``:
   1. groupBy(item, group): min(pos) (first seen) and max_by(answer, pos)
-     (last wins) — a hash aggregate with map-side partials, so a hot item
-     repeated a million times is combined before the shuffle;
+     (last wins) — map-side partials, so a hot item repeated a million times
+     is combined before the shuffle;
   2. groupBy(item): collect the <= #groups partial rows (bounded by the
      codebook, not by the data) and merge the maps in first-seen order.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from labelweave.codebook import Codebook, default_codebook
 from labelweave.functions.text import meta_id_str, norm_columns, resolve_column, ID_CANDIDATES
+from labelweave.session import checkpoint_dir
 
 
 def position(pos_col: str, row) -> Column:
@@ -100,7 +101,10 @@ def join_predictions(source: DataFrame, preds: DataFrame, keys: list[str] | None
         p = last_wins(p.withColumn("meta_id", F.col("meta_id").cast("string")),
                       (["model"] if "model" in p.columns else []) + ["meta_id"], "idx",
                       ["json"] + (["complete"] if "complete" in p.columns else []))
-    keys = keys if keys is not None else pred_keys(p)
+    if keys is None:            # found in the data: write the predictions once instead of computing them twice
+        checkpoint_dir(source.sparkSession)
+        p = p.checkpoint()
+        keys = pred_keys(p)
     cols = [F.try_element_at(F.col("_p.json"), F.lit(k)).alias(f"pred_{k}") for k in sorted(keys)]
     extra = []
     if with_complete:

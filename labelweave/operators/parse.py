@@ -9,10 +9,8 @@ no shuffle, no Python worker. The extraction ladder is
   pattern_match     last brace-free object holding a search key, same steps
   none              nothing validated -> quarantined
 
-Answers that are already one clean JSON object take the fast path (one
-``from_json``); the later rungs are evaluated lazily only for rows that
-fail it (``coalesce`` / ``CASE`` short-circuit), so the expensive brace
-fold runs on the failures only.
+The rungs are steps of one fold; a later rung is evaluated only for rows on
+which every earlier one failed, so the brace fold runs on the failures only.
 """
 
 from __future__ import annotations

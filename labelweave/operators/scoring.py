@@ -308,6 +308,26 @@ def bootstrap_standard(gold: DataFrame, preds: DataFrame, models: list[str] | No
     return to_long(point, names).join(_intervals(reps, names, alpha), ["model", "metric"], "left")
 
 
+def bootstrap_comprehensive(gold: DataFrame, preds: DataFrame, models: list[str] | None = None,
+                            B: int = 1000, alpha: float = 0.05, seed: int | str = 0,
+                            cb: Codebook | None = None, yn_thresh: float | None = None) -> DataFrame:
+    """A13 on the 20-metric scorecard: (model, metric, score, metric_pos, ci_low, ci_high).
+
+    The answers of an item are gathered (one entry per dimension), so its weight is
+    hashed once per replicate, and a replicate is reduced to its weighted confusion table: the shuffle
+    holds models x B x dimensions x label pairs per task, whatever the rows."""
+    models = models or model_list(preds)
+    point = score_comprehensive(gold, preds, models, cb, yn_thresh)
+    answers = (comprehensive_long(align(gold.select("meta_id", "gold"), preds, models), cb, yn_thresh)
+               .groupBy("model", "meta_id").agg(F.collect_list(F.struct("dim", "kind", "g", "p")).alias("answers")))
+    conf = (replicate_weights(answers, B, seed).select("model", "b", "w", F.inline("answers"))
+            .groupBy("model", "b", "dim", "kind", "g", "p").agg(F.sum("w").alias("w")))
+    reps = metrics_from_confusion(conf, "w", ("model", "b"))
+    ci = reps.filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("model", "metric").agg(
+        F.percentile("score", alpha / 2).alias("ci_low"), F.percentile("score", 1 - alpha / 2).alias("ci_high"))
+    return point.join(ci, ["model", "metric"], "left")
+
+
 def constant_gold(gold_cols: DataFrame, col: str) -> DataFrame:
     """A one-row notice when the gold column has a single value."""
     return gold_cols.agg(F.count_distinct(col).alias("n_values"),

@@ -5,11 +5,12 @@ Plan shape (one lazy plan, no intermediate tables):
 
   scan -> project/filter (P6–P8) -> bucket columns (P19)
        -> cell counts: groupBy(cells).count()          partial agg, <= 12 rows
-       -> rank: row_number() over (partition by cells order by md5 key)
+       -> rank 1: row_number() over (partition by cells, salt order by md5 key)
                 filtered to rn <= train_cap + val_cap  -> WindowGroupLimit:
-                each map task keeps only its top-k per cell before the
-                shuffle, so a cell holding a third of all rows still ships
-                at most k rows per task
+                each map task keeps only its top-k before the shuffle (for
+                caps within the session's limit), and a cell holding a third
+                of all rows is spread over RANK_SALTS tasks either way
+       -> rank 2: the same over the cells alone, on at most RANK_SALTS x k rows
        -> broadcast join of the (bounded) cell counts -> allocation (W3)
        -> slice (W4)
 
@@ -31,8 +32,8 @@ OUT_COLS = ["meta_id", "china_stance_score", "sensitive", "collective_action",
             "english", "mandarin", "spanish", "other_lang", "no_language"]
 LABEL_COLS = OUT_COLS[2:]
 CELLS = ["stance_bucket", "sensitive_bucket", "collective_bucket"]
-# maximum number of distinct cells: 3 stance buckets x 2 x 2 (bounded broadcast)
-MAX_CELLS = 12
+# parts of a cell that are ranked apart before the cell is
+RANK_SALTS = 256
 ID_PATTERN = r"([0-9]{10,})\.mp4"
 
 
@@ -82,19 +83,21 @@ def allocate(c, train_cap: int, val_cap: int, train_frac: float):
 def stratified_split(labels: DataFrame, video_col: str = "video", stance_col: str | None = None,
                      train_frac: float = 0.7, train_cap: int = 100, val_cap: int = 50,
                      yn_thresh: float = 0.5, cut1: float = -0.33, cut2: float = 0.33,
-                     seed: int = 7, keep_work_cols: bool = False) -> DataFrame:
-    """Rows that land in a split, with a ``split`` column ('train'/'val')."""
-    spark = labels.sparkSession
+                     seed: int = 7, keep_work_cols: bool = False, dedupe: bool = False) -> DataFrame:
+    """Rows that land in a split, with a ``split`` column ('train'/'val').
+    ``dedupe``: one row per id first, so that no id can be in both."""
     k = int(train_cap) + int(val_cap)
-    cur = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k > cur:  # keep the pre-shuffle top-k rule applicable
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
-    b = with_buckets(prepare_labels(labels, video_col, stance_col), yn_thresh, cut1, cut2)
+    rows = prepare_labels(labels, video_col, stance_col)
+    b = with_buckets(dedupe_ids(rows) if dedupe else rows, yn_thresh, cut1, cut2)
     counts = b.groupBy(*CELLS).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*CELLS).orderBy(split_key(F.col("meta_id"), seed), F.col("meta_id"))
-    ranked = b.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.lit(k))
+    order = [split_key(F.col("meta_id"), seed), F.col("meta_id")]
+    salted = b.withColumn("_salt", F.pmod(F.xxhash64("meta_id"), F.lit(RANK_SALTS)))
+    first = Window.partitionBy(*CELLS, "_salt").orderBy(*order)
+    some = salted.withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= F.lit(k)).drop("rn", "_salt")
+    ranked = some.withColumn("rn", F.row_number().over(Window.partitionBy(*CELLS).orderBy(*order))
+                             ).filter(F.col("rn") <= F.lit(k))
     train_n, val_n = allocate(F.col("c"), train_cap, val_cap, train_frac)
-    alloc = (ranked.join(F.broadcast(counts), CELLS)
+    alloc = (ranked.join(F.broadcast(counts), CELLS)       # 3 x 2 x 2 cells at most
              .withColumn("train_n", train_n).withColumn("val_n", val_n))
     out = (alloc.filter(F.col("rn") <= F.col("train_n") + F.col("val_n"))
            .withColumn("split", F.when(F.col("rn") <= F.col("train_n"), F.lit("train"))
@@ -104,6 +107,21 @@ def stratified_split(labels: DataFrame, video_col: str = "video", stance_col: st
     return out.select(*OUT_COLS, "split")
 
 
+def dedupe_ids(labels: DataFrame, id_col: str = "meta_id") -> DataFrame:
+    """One row per id: the smallest by its other columns (nulls first), in column order.
+    A partial aggregate, so a repeated id never gathers in one task."""
+    rest = [c for c in labels.columns if c != id_col]
+    return (labels.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_r"))
+            .select(*[F.col(id_col) if c == id_col else F.col(f"_r.{c}").alias(c) for c in labels.columns]))
+
+
+def leak_audit(split_df: DataFrame) -> DataFrame:
+    """Ids that are in train and in val, with their numbers of rows there."""
+    return (split_df.groupBy("meta_id").agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"))
+        .filter("n_train > 0 AND n_val > 0"))
+
+
 def split_summary(split_df: DataFrame) -> DataFrame:
     """A1: per split: rows, stance range, label means."""
     return split_df.groupBy("split").agg(
@@ -115,7 +133,8 @@ def split_summary(split_df: DataFrame) -> DataFrame:
 
 def starved_cells(labels: DataFrame, **kw) -> DataFrame:
     """A2 + JN5: cells with c >= 2 whose val share came out empty, largest first."""
-    b = with_buckets(prepare_labels(labels, kw.get("video_col", "video"), kw.get("stance_col")),
+    rows = prepare_labels(labels, kw.get("video_col", "video"), kw.get("stance_col"))
+    b = with_buckets(dedupe_ids(rows) if kw.get("dedupe") else rows,
                      kw.get("yn_thresh", 0.5), kw.get("cut1", -0.33), kw.get("cut2", 0.33))
     c = b.groupBy(*CELLS).agg(F.count(F.lit(1)).alias("c"))
     sp = stratified_split(labels, keep_work_cols=True,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.text import clamp11, stance_label, strip_ws, to_double
+from labelweave.session import checkpoint_dir
 
 NEUTRAL_BAND = 0.1
 
@@ -34,11 +35,13 @@ def final_summary(joined: DataFrame, score_col: str = "pred_china_stance_score")
 def value_counts(joined: DataFrame, col: str = "pred_china_sensitive") -> DataFrame:
     """Value counts of a categorical prediction over predicted rows,
     with % of predicted rows, most frequent first (null values excluded)."""
-    p = joined.filter(F.col("pred_parsed"))
-    n = p.count()                                        # one scalar
-    vc = p.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(
-        F.count(F.lit(1)).alias("count"))
-    return (vc.select("value", "count", (100.0 * F.col("count") / F.lit(max(n, 1))).alias("pct"))
+    # the counts, null included, are written once: the total comes from them, not from a second run
+    checkpoint_dir(joined.sparkSession)
+    vc = (joined.filter(F.col("pred_parsed")).groupBy(F.col(col).alias("value"))
+          .agg(F.count(F.lit(1)).alias("count")).checkpoint())
+    n = vc.agg(F.sum("count")).first()[0] or 0           # one scalar
+    return (vc.filter("value IS NOT NULL").select(
+        "value", "count", (100.0 * F.col("count") / F.lit(max(n, 1))).alias("pct"))
             .orderBy(F.col("count").desc(), F.col("value")))
 
 

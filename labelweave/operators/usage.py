@@ -73,16 +73,18 @@ def cost_estimate(train_tally: DataFrame, val_tally: DataFrame | None = None, ep
                   include_val: bool = False, train_rate: float = TRAIN_PRICE_PER_M,
                   infer_calls: int | None = None, in_tokens: int = AVG_INPUT_TOKENS,
                   out_tokens: int = AVG_OUTPUT_TOKENS, in_rate: float = INFER_IN_PRICE_PER_M,
-                  out_rate: float = INFER_OUT_PRICE_PER_M) -> DataFrame:
+                  out_rate: float = INFER_OUT_PRICE_PER_M, keep: bool = False) -> DataFrame:
     """Charged training tokens = (train + optional val) x max(epochs, 1);
-    training cost; optional inference cost in / out."""
+    training cost; optional inference cost in / out. ``keep``: the tally's other
+    columns stay in the row."""
     val = 0
     if val_tally is not None and include_val:
         val = val_tally.first()["tokens_total"] or 0     # one scalar
-    t = train_tally.select(F.col("tokens_total").alias("train_tokens"),
+    more = [c for c in train_tally.columns if c != "tokens_total"] if keep else []
+    t = train_tally.select(*more, F.col("tokens_total").alias("train_tokens"),
                            F.lit(val).cast("long").alias("val_tokens"))
     charged = (F.col("train_tokens") + F.col("val_tokens")) * F.lit(max(epochs, 1))
-    out = t.select("train_tokens", "val_tokens", charged.alias("charged_training_tokens"),
+    out = t.select(*more, "train_tokens", "val_tokens", charged.alias("charged_training_tokens"),
                    (charged / 1e6 * train_rate).alias("training_cost"))
     if infer_calls is not None:
         ci = in_tokens * infer_calls / 1e6 * in_rate

@@ -503,19 +503,19 @@ SELECT CAST(count(*) AS BIGINT) AS examples, CAST(sum(tokens) AS BIGINT) AS toke
        CAST(min(tokens) AS BIGINT) AS min_per_example, CAST(max(tokens) AS BIGINT) AS max_per_example,
        CAST(sum(tokens) AS BIGINT) AS charged_training_tokens,
        round(sum(tokens) / 1e6 * 25.0, 6) AS training_cost,
-       round(932 * 441902 / 1e6 * 0.15 + 308 * 441902 / 1e6 * 0.60, 6) AS infer_cost_total
+       round((SELECT 932 * count(*) / 1e6 * 0.15 + 308 * count(*) / 1e6 * 0.60 FROM labels), 6) AS infer_cost_total
 FROM r""")
 def q_token_tally(spark, sf):
     """Heuristic token counts of chat records, tally and cost estimate."""
     r = S.d_records(spark, sf).select(US.record_tokens(F.col("messages")).alias("tokens"))
-    t = US.tally(r)
-    c = US.cost_estimate(t, infer_calls=441902)
-    tt = t.select("examples", "tokens_total", rnd(F.col("avg_per_example")).alias("avg_per_example"),
-                  F.col("min_per_example").cast("bigint").alias("min_per_example"),
-                  F.col("max_per_example").cast("bigint").alias("max_per_example"))
-    return tt.join(c.select(F.col("train_tokens").alias("tokens_total"), "charged_training_tokens",
-                            rnd(F.col("training_cost")).alias("training_cost"),
-                            rnd(F.col("infer_cost_total")).alias("infer_cost_total")), "tokens_total")
+    calls = S.table(spark, sf, "labels").count()        # one call per labelled item
+    c = US.cost_estimate(US.tally(r), infer_calls=calls, keep=True)
+    return c.select("examples", F.col("train_tokens").alias("tokens_total"),
+                    rnd(F.col("avg_per_example")).alias("avg_per_example"),
+                    F.col("min_per_example").cast("bigint").alias("min_per_example"),
+                    F.col("max_per_example").cast("bigint").alias("max_per_example"), "charged_training_tokens",
+                    rnd(F.col("training_cost")).alias("training_cost"),
+                    rnd(F.col("infer_cost_total")).alias("infer_cost_total"))
 
 
 def _usage_sql():
@@ -691,3 +691,261 @@ def q_truncation_flags(spark, sf):
     after the fence is stripped, dangling '{ [ : ,') over every raw answer."""
     r = S.d_raw(spark, sf)
     return r.select("model", "idx", looks_truncated(F.col("raw"), F.col("finish_reason")).alias("truncated"))
+
+
+# --- checks of single rules and of files, streams and resampling -------------------------------
+
+from labelweave.functions import text as TX  # noqa: E402
+from labelweave.plans.oracle_views import VIEWS  # noqa: E402
+from labelweave.sources import files as IO  # noqa: E402
+
+
+def _fresh(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("score_merged_files", with_views(["std_gold", "parse_expect"], "WITH " + _STD_PAIRS + """,
+wide AS (SELECT model, """ + ",\n".join(f"{e} AS {k}" for k, e in _STD_METRIC_SQL.items()) + """
+         FROM std_pairs GROUP BY model)
+""" + _sql_long("wide", SC.STANDARD_F1_METRICS)))
+def q_score_merged_files(spark, sf):
+    """One JSONL file of answers per model (one without positions), written, read back and scored."""
+    base = _fresh(spark, "files")
+    _parsed(spark, sf).drop("mode").write.parquet(f"{base}/all")
+    rows = spark.read.parquet(f"{base}/all")
+    for m in MODELS:
+        mine = rows.filter(F.col("model") == m).drop("model")
+        if m == MODELS[-1]:
+            mine = mine.withColumn("idx", F.lit(None).cast("long"))
+        IO.write_jsonl(mine, f"{base}/{m}.parsed.jsonl")
+    preds = IO.read_predictions(spark, [f"{base}/{m}.parsed.jsonl" for m in MODELS])
+    s = SC.score_standard(_val_gold(spark, sf), preds, MODELS)
+    return s.select("model", "metric", rnd(F.col("score")).alias("score"), F.col("metric_pos").cast("int"))
+
+
+def _r2_sql() -> str:
+    def num(x):
+        return (f"CASE lower(trim({x})) WHEN 'yes' THEN 1.0::DOUBLE WHEN '1' THEN 1.0::DOUBLE WHEN 'no' THEN 0.0::DOUBLE "
+                f"WHEN '0' THEN 0.0::DOUBLE WHEN 'cannot_determine' THEN 0.5::DOUBLE END")
+    pairs = _STD_PAIRS.strip().removeprefix("std_pairs AS (").removesuffix(")")
+    ex = {"stance_R2": _sql_r2("g_stance", "p_stance"), "stance_pos_F1": _STD_METRIC_SQL["stance_pos_F1"],
+          "stance_neg_F1": _STD_METRIC_SQL["stance_neg_F1"], "ch_sensitive_R2": _sql_r2("gs", "ps"),
+          "col_action_R2": _sql_r2("gc", "pc")}
+    raw = pairs.replace("SELECT m.model", f"SELECT {num('g.g_sens')} AS gs, {num('p.sensitive')} AS ps, "
+                        f"{num('g.g_coll')} AS gc, {num('p.collective')} AS pc, m.model")
+    return with_views(["std_gold", "parse_expect"], f"WITH std_pairs AS ({raw}), wide AS (SELECT model, "
+                      + ", ".join(f"{e} AS {k}" for k, e in ex.items()) + " FROM std_pairs GROUP BY model)\n"
+                      + _sql_long("wide", SC.STANDARD_R2_METRICS))
+
+
+@register("score_standard_r2", _r2_sql())
+def q_score_standard_r2(spark, sf):
+    """A12 in R2 mode, P37, P38: labels and numbers mapped to [0, 1] and compared by R2."""
+    s = SC.score_standard(_val_gold(spark, sf), _parsed(spark, sf), MODELS, yn_metric="r2",
+                          cd_map=SC.parse_cd_map("yes=1,no=0,cannot_determine=0.5"))
+    return s.select("model", "metric", rnd(F.col("score")).alias("score"), F.col("metric_pos").cast("int"))
+
+
+_COMP_B, _COMP_SEED = 200, 3
+
+
+def _comp_boot_sql() -> str:
+    """The point scores of score_comprehensive, and the same sums weighted per replicate."""
+    plain = _comp_sql()
+    head, tail = plain.rsplit("wide AS (", 1)
+    wide = tail[:tail.index("FROM comp_pairs GROUP BY model)")]
+    order = SC.comprehensive_metric_order()
+    weighted = wide.replace("THEN 1 ELSE 0 END ELSE 0 END", "THEN w ELSE 0 END ELSE 0 END")
+    for m in ("THEN 1 ELSE 0 END", "sum(1)"):
+        weighted = weighted.replace(m, {"sum(1)": "sum(w)"}.get(m, "THEN w ELSE 0 END"))
+    cdf = " ".join(f"WHEN u < {c!r}::DOUBLE THEN {k}" for k, c in enumerate(SC.POISSON_CDF))
+    return head + f"""us AS (SELECT t.range AS b, g.meta_id,
+         ('0x' || substr(md5('{_COMP_SEED}:' || CAST(t.range AS VARCHAR) || ':' || g.meta_id), 1, 13))::BIGINT::DOUBLE / {16 ** 13}::DOUBLE AS u
+       FROM range(0, {_COMP_B}) t, comp_pairs g),
+wts AS (SELECT b, meta_id, CASE {cdf} ELSE {len(SC.POISSON_CDF)} END AS w FROM us),
+wide AS ({wide} FROM comp_pairs GROUP BY model),
+reps AS ({weighted.replace("SELECT model,", "SELECT model, b,", 1)} FROM comp_pairs JOIN wts USING (meta_id) WHERE w > 0 GROUP BY model, b),
+rl AS ({" UNION ALL ".join(f"SELECT model, '{m}' AS metric, {m} AS v FROM reps" for m in order)}),
+ci AS (SELECT model, metric, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high
+       FROM rl WHERE v IS NOT NULL GROUP BY model, metric),
+pt AS ({_sql_long("wide", order)})
+SELECT pt.model, pt.metric, pt.score, pt.metric_pos, ci.ci_low, ci.ci_high FROM pt LEFT JOIN ci USING (model, metric)"""
+
+
+@register("bootstrap_comprehensive", _comp_boot_sql())
+def q_bootstrap_comprehensive(spark, sf):
+    """A13 on the 20 metrics: bootstrap CIs from weighted confusion tables."""
+    preds = _merged(spark, sf).withColumn("model", F.lit("m_alpha"))
+    s = SC.bootstrap_comprehensive(_comp_gold(spark, sf), preds, ["m_alpha"], B=_COMP_B, seed=_COMP_SEED)
+    return s.select("model", "metric", rnd(F.col("score")).alias("score"), F.col("metric_pos").cast("int"),
+                    rnd(F.col("ci_low")).alias("ci_low"), rnd(F.col("ci_high")).alias("ci_high"))
+
+
+@register("parse_simple", with_views(["raw_expect"], """
+SELECT model, meta_id, cls IN (0, 1, 2, 3, 8, 9) AS parsed,
+       CASE WHEN cls IN (0, 8, 9) THEN 'strict' WHEN cls IN (1, 2) THEN 'tail' WHEN cls = 3 THEN 'balanced_block' ELSE 'none' END AS mode,
+       CASE WHEN cls IN (0, 1, 2, 3, 8, 9) THEN y END AS sensitive,
+       CASE WHEN cls IN (0, 1, 2, 3, 8) THEN c END AS collective,
+       CASE WHEN cls IN (0, 1, 2, 3, 8) THEN 3 WHEN cls = 9 THEN 4 END AS n_keys
+FROM raw_expect"""))
+def q_parse_simple(spark, sf):
+    """The ladder without repairs (whole text, tail, last valid block)."""
+    p = PA.parse_predictions(S.d_raw(spark, sf), strategy="simple")
+    j = F.col("json")
+    return p.select("model", "meta_id", "parsed", "mode", F.try_element_at(j, F.lit("china_sensitive")).alias("sensitive"),
+                    F.try_element_at(j, F.lit("collective_action")).alias("collective"),
+                    F.when(F.col("parsed"), F.size(j)).alias("n_keys"))
+
+
+@register("split_dedupe", with_views(["split_l0"], """
+SELECT meta_id, min(least(china_stance_score, CASE WHEN CAST(meta_id AS BIGINT) % 5 = 0 THEN -china_stance_score ELSE china_stance_score END)) AS china_stance_score,
+       CAST(count(*) AS BIGINT) AS n
+FROM split_l0 GROUP BY meta_id"""))
+def q_split_dedupe(spark, sf):
+    """Q13: one row per id before the split; a fifth of the ids are labelled twice."""
+    d = SP.dedupe_ids(SP.prepare_labels(_twice(spark, sf)))
+    return d.groupBy("meta_id").agg(F.min("china_stance_score").alias("china_stance_score"), F.count(F.lit(1)).alias("n"))
+
+
+def _twice(spark, sf):
+    lab = S.d_labels(spark, sf)
+    again = lab.filter("doc_id % 5 = 0").withColumn("china_stance_score", -F.col("china_stance_score"))
+    return lab.unionByName(again)
+
+
+def _leaks_sql() -> str:
+    d = VIEWS["d_labels"]
+    ctes = [("d_once", d), ("d_labels", "SELECT * FROM d_once UNION ALL SELECT * REPLACE (-china_stance_score AS china_stance_score) "
+                                        "FROM d_once WHERE doc_id % 5 = 0")]
+    ctes += [(v, VIEWS[v]) for v in ("split_l0", "split_b", "split_r", "split_a", "split_out")]
+    return "WITH " + ",\n".join(f"{n} AS ({b})" for n, b in ctes) + """
+SELECT meta_id, CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train,
+       CAST(count(*) FILTER (WHERE split = 'val') AS BIGINT) AS n_val
+FROM split_out GROUP BY meta_id HAVING n_train > 0 AND n_val > 0"""
+
+
+@register("split_leaks", _leaks_sql())
+def q_split_leaks(spark, sf):
+    """Q13: ids that a split without deduplication puts on both sides."""
+    return SP.leak_audit(SP.stratified_split(_twice(spark, sf)))
+
+
+@register("split_starved", with_views(["split_b"], """
+SELECT stance_bucket, sensitive_bucket, collective_bucket, CAST(count(*) AS BIGINT) AS c, CAST(0 AS BIGINT) AS val_got
+FROM split_b GROUP BY ALL HAVING count(*) >= 2"""))
+def q_split_starved(spark, sf):
+    """JN5 with a validation cap of 0 and a renamed path column: every cell of two or more rows is starved."""
+    lab = S.d_labels(spark, sf).withColumnRenamed("video", "clip")
+    return SP.starved_cells(lab, video_col="clip", val_cap=0)
+
+
+@register("value_rules", """
+WITH v AS (SELECT doc_id, doc_id % 10 AS k FROM labels)
+SELECT doc_id,
+       CASE k WHEN 0 THEN 0.85 WHEN 1 THEN 0.4 WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 WHEN 4 THEN 1.0 WHEN 9 THEN 0.5 END::DOUBLE AS unit,
+       CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 WHEN 2 THEN 1.0 WHEN 3 THEN -1.0 WHEN 4 THEN 1.0 WHEN 9 THEN 0.5 END::DOUBLE AS signed,
+       CASE k WHEN 0 THEN 'pro' WHEN 1 THEN 'anti' WHEN 2 THEN 'neutral' WHEN 3 THEN 'neutral/unclear' ELSE '' END AS stance,
+       CASE k WHEN 0 THEN 'yes' WHEN 1 THEN 'no' WHEN 2 THEN 'cannot_determine' ELSE '' END AS label,
+       CAST(20000000 + doc_id AS VARCHAR) AS id_text,
+       CASE WHEN k = 7 THEN '' ELSE CAST(doc_id AS VARCHAR) || '.5' END AS number_text,
+       k IN (0, 1, 2) AS valid_text,
+       LEAST(2, GREATEST(1, (100 + doc_id % 1500) // 560)) * LEAST(2, GREATEST(1, (300 + doc_id % 1100) // 560)) * 1601 AS image_tokens
+FROM v""")
+def q_value_rules(spark, sf):
+    """Tolerant number, label, id and text rules on derived values."""
+    d = F.col("doc_id")
+    k = d % 10
+
+    def pick(values: list[str | None]):
+        return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (k + 1).cast("int"))
+
+    number = pick(["85", " 0.4 ", "1", "-3", "100", "nan", "abc", "", None, "5e-1"])
+    stance = pick(["Pro", " anti ", "NEUTRAL", "neutral/unclear", "both", "", None, "0", "proo", "n/a"])
+    label = pick(["Yes", " NO", "cannot_determine", "maybe", "", None, "1", "true", "y", "nope"])
+    text = pick(["long enough words", "  just ten c  ", "undefined values", "short", "   ", "", None, "nan", "None", "123456789"])
+    return S.table(spark, sf, "labels").select(
+        "doc_id", TX.clamp01(number).alias("unit"), TX.clamp11(number).alias("signed"), TX.stance_label(stance).alias("stance"),
+        TX.yesno_label(label).alias("label"), TX.meta_id_str((d + 20000000).cast("double")).alias("id_text"),
+        TX.safe_text(F.when(k == 7, F.lit(float("nan"))).otherwise(d + 0.5)).alias("number_text"),
+        TX.is_valid_text(text).alias("valid_text"),
+        US.image_tokens(100 + d % 1500, 300 + d % 1100).alias("image_tokens"))
+
+
+@register("gold_checks", with_views(["std_gold"], """
+SELECT 'standard' AS format, CAST(0 AS BIGINT) AS n_missing, CAST(count(DISTINCT g_stance) AS BIGINT) AS n_values,
+       count(DISTINCT g_stance) = 1 AS constant FROM std_gold"""))
+def q_gold_checks(spark, sf):
+    """Format of the gold records, records without a required key, constant gold."""
+    gold = _val_gold(spark, sf)
+    fmt = SC.detect_format(gold)
+    missing = SC.missing_gold_keys(gold, fmt).agg(F.count(F.lit(1)).alias("n_missing"))
+    values = SC.constant_gold(gold.select(TX.clamp11(F.try_element_at("gold", F.lit("china_stance_score"))).alias("s")), "s")
+    return missing.join(values.select("n_values", "constant")).select(F.lit(fmt).alias("format"), "n_missing", "n_values", "constant")
+
+
+@register("jsonl_parts", """
+SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 3) THEN NULL ELSE quality END AS quality, doc_id % 7 IN (1, 2, 3) AS bad FROM labels""")
+def q_jsonl_parts(spark, sf):
+    """JSON lines with cut lines, trailing text and two objects in a line; bad lines are kept apart."""
+    path = _fresh(spark, "jsonl")
+    good = F.format_string('{"doc_id":%d,"quality":%d,"tags":["a]","}"]}', "doc_id", "quality")
+    k = F.col("doc_id") % 7
+    line = (F.when(k == 1, F.concat(good, F.lit(" garbage"))).when(k == 2, F.concat(good, good))
+            .when(k == 3, F.substring(good, 1, 18)).otherwise(good))
+    S.table(spark, sf, "labels").select(line.alias("value")).write.text(path)
+    rows, bad = IO.read_jsonl_parts(spark, path)
+    left = bad.select(F.regexp_extract("line", '^."doc_id":([0-9]+)', 1).cast("long").alias("doc_id"),
+                      F.lit(None).cast("long").alias("quality"), F.lit(True).alias("bad"))
+    return rows.select("doc_id", "quality", F.lit(False).alias("bad")).unionByName(left)
+
+
+@register("csv_parts", """
+SELECT doc_id, CASE WHEN doc_id % 11 = 4 THEN NULL ELSE quality END AS quality, doc_id % 11 = 4 AS bad FROM labels""")
+def q_csv_parts(spark, sf):
+    """Rows with too many fields are found wherever they stand and kept apart."""
+    path = _fresh(spark, "csv")
+    line = F.concat_ws(",", "doc_id", "quality", F.when(F.col("doc_id") % 11 == 4, F.lit("more")))
+    S.table(spark, sf, "labels").select(line.alias("value")).write.text(path)
+    rows, bad = IO.read_csv_parts(spark, path, infer=True, names=["doc_id", "quality"])
+    left = bad.select(F.split("line", ",")[0].cast("long").alias("doc_id"), F.lit(None).cast("long").alias("quality"),
+                      F.lit(True).alias("bad"))
+    return rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("long"), F.lit(False).alias("bad")).unionByName(left)
+
+
+@register("stream_merge", with_views(["grouped_expect"], """
+SELECT meta_id, true AS complete, 'china,content' AS groups_present, related, sensitive, collective, hate
+FROM grouped_expect WHERE has_content"""))
+def q_stream_merge(spark, sf):
+    """ST3: answers per group merged by a stateful stream; an item comes out once, when its last group arrives."""
+    base = _fresh(spark, "merge")
+    PA.parse_predictions(S.d_grouped(spark, sf), group_mode="binary").select(
+        "original_meta_id", "group_id", "idx", "parsed", "json").write.parquet(f"{base}/landing")
+    landed = spark.readStream.schema(spark.read.parquet(f"{base}/landing").schema).parquet(f"{base}/landing")
+    merged = ST.merge_stream(landed, group_mode="binary", timeout_ms=None)
+    (merged.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+     .trigger(availableNow=True).start().awaitTermination())
+    j = F.from_json("json", "map<string,string>")
+    g = lambda k: F.try_element_at(j, F.lit(k))
+    return spark.read.schema(ST.MERGE_OUT).parquet(f"{base}/out").select(
+        "meta_id", "complete", "groups_present", g("china_related").alias("related"),
+        g("china_sensitive").alias("sensitive"), g("collective_action").alias("collective"), g("hate_speech").alias("hate"))
+
+
+@register("stream_progress", """
+SELECT CAST(2 * count(*) AS BIGINT) AS landed, CAST(4 * count(*) AS BIGINT) AS expected, 50.0::DOUBLE AS progress_pct, false AS done
+FROM labels""")
+def q_stream_progress(spark, sf):
+    """ST1: landed against expected answers, as a running aggregate over a stream; the last state."""
+    base = _fresh(spark, "progress")
+    S.d_raw(spark, sf).repartition(4).write.json(f"{base}/landing")
+    expected = 4 * S.table(spark, sf, "labels").count()
+    seen = ST.progress_query(ST.raw_stream(spark, f"{base}/landing", max_files_per_trigger=1), expected)
+
+    def keep(batch, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    (seen.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/ckpt")
+     .trigger(availableNow=True).start().awaitTermination())
+    out = spark.read.parquet(f"{base}/out")
+    return out.agg(F.max_by(F.struct("landed", "expected", "progress_pct", "done"), "batch_id").alias("r")).select(
+        "r.landed", F.col("r.expected").cast("bigint").alias("expected"), "r.progress_pct", "r.done")

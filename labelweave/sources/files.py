@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelweave.functions.jsonfix import strict_parse
 from labelweave.functions.text import norm_columns
 
 RAW_SCHEMA = T.StructType([
@@ -49,24 +50,35 @@ class JsonlError(ValueError):
     pass
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               strict: bool = True) -> DataFrame:
-    """JSON lines; U+2028/U+2029 removed, blank lines skipped; with
-    ``strict`` a bad line raises with its file and text (first offenders
-    only — the check is one filtered job, nothing whole goes to the driver)."""
+def _json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank lines without U+2028/U+2029, with their file."""
     txt = spark.read.text(path).select(
         F.input_file_name().alias("_file"),
         F.regexp_replace(F.col("value"), "[\u2028\u2029]", "").alias("_line"))
-    txt = txt.filter(F.regexp_replace("_line", r"[\r\n]+$", "") != "")
-    if schema is None:
-        schema = spark.read.json(txt.select("_line").rdd.map(lambda r: r[0])).schema
-    parsed = txt.select("_file", "_line", F.from_json("_line", schema, {"mode": "PERMISSIVE"}).alias("_r"))
+    return txt.filter(F.regexp_replace("_line", r"[\r\n]+$", "") != "")
+
+
+def read_jsonl_parts(spark: SparkSession, path: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, bad lines with their file). A line is good if it is exactly one JSON object."""
+    txt = _json_lines(spark, path)
+    schema = schema or spark.read.json(path).schema
+    whole = txt.withColumn("_ok", strict_parse(F.col("_line")).isNotNull())
+    good = whole.filter("_ok").select(F.from_json("_line", schema, {"mode": "PERMISSIVE"}).alias("_r")).select("_r.*")
+    return good, whole.filter("NOT _ok").select(F.col("_file").alias("file"), F.col("_line").alias("line"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None,
+               strict: bool = True) -> DataFrame:
+    """JSON lines; U+2028/U+2029 removed, blank lines skipped. With ``strict``
+    a line that is not exactly one JSON object raises with its file and text
+    (first offenders only — the check is one filtered job); without, such
+    lines are left out (``read_jsonl_parts`` returns them)."""
+    good, bad = read_jsonl_parts(spark, path, schema)
     if strict:
-        probe = F.from_json("_line", "map<string,string>", {"allowSingleQuotes": "false"})
-        bad = parsed.filter(probe.isNull()).select("_file", "_line").limit(3).collect()
-        if bad:
-            raise JsonlError("invalid JSON: " + "; ".join(f"{r['_file']}: {r['_line'][:200]!r}" for r in bad))
-    return parsed.select("_r.*")
+        first = bad.limit(3).collect()
+        if first:
+            raise JsonlError("invalid JSON: " + "; ".join(f"{r['file']}: {r['line'][:200]!r}" for r in first))
+    return good
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -78,8 +90,8 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_chars: int = 2048) ->
     """Pick among , TAB ; | from the first ``sample_chars`` characters:
     the candidate present with the same count on every sampled line (most
     occurrences first); default ','."""
-    head = spark.read.text(path, wholetext=False).limit(64).collect()   # bounded sample
-    text = "\n".join(r["value"] for r in head)[:sample_chars]
+    head = spark.read.text(path).select(F.substring("value", 1, sample_chars + 1).alias("value")).limit(sample_chars).collect()
+    text = "\n".join(r["value"] for r in head)[:sample_chars]           # that many characters need no more lines
     lines = [ln for ln in text.split("\n") if ln.strip()]
     if len(lines) > 1 and not text.endswith("\n"):
         lines = lines[:-1]
@@ -91,29 +103,56 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_chars: int = 2048) ->
     return best
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = False) -> DataFrame:
-    """Header CSV; tolerance ladder: strict -> no quoting with '\\'
-    escape, bad rows dropped -> permissive with bad rows dropped. Columns stay
-    strings unless ``infer`` (full-file inference, samplingRatio 1)."""
-    def attempt(**opts):
-        r = spark.read.option("header", True).option("multiLine", True)
-        if sep:
-            r = r.option("sep", sep)
-        if infer:
-            r = r.option("inferSchema", True).option("samplingRatio", 1.0)
-        for k, v in opts.items():
-            r = r.option(k, v)
-        df = r.csv(path)
-        df.limit(1).collect()       # surface parse errors here, not later
-        return df
-    for opts in ({"mode": "FAILFAST"},
-                 {"mode": "DROPMALFORMED", "quote": "", "escape": "\\"},
-                 {"mode": "DROPMALFORMED"}):
-        try:
-            return attempt(**opts)
-        except Exception:  # noqa: BLE001
-            continue
-    raise ValueError(f"cannot read CSV {path}")
+_BAD = "_corrupt_row"
+
+
+def read_csv_parts(spark: SparkSession, path: str, sep: str | None = None, infer: bool = False,
+                   multi_line: bool = False, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad rows as ``line``) of a header CSV.
+
+    Tolerance ladder over whole files, not over their first row: quoted
+    reading if no row has too few or too many fields, else without quoting and
+    with '\\' as escape, else, if nothing fits then, quoted reading again. Rows
+    that do not fit the rung taken are returned, never dropped. Columns stay
+    strings unless ``infer`` (types from all rows). Files are split among
+    tasks unless ``multi_line`` (line breaks inside quotes) is asked for.
+    ``names``: column names of files without a header."""
+    def reader(**opts):
+        r = spark.read.option("header", names is None).option("multiLine", multi_line)
+        for k, v in {"sep": sep, **opts}.items():
+            r = r if v is None else r.option(k, v)
+        return r
+
+    def rung(**opts):
+        cols = names or reader(**opts).csv(path).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cols, _BAD]])
+        # without pruning: a reader of some columns would not notice that a row has too many
+        df = reader(**opts, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, columnPruning=False).schema(schema).csv(path)
+        # the reader wants another column next to that of bad rows: every use reads the first one too
+        read = F.coalesce(F.length(F.col(f"`{cols[0]}`")) >= 0, F.lit(True))
+        bad = read & F.col(_BAD).isNotNull()
+        n = df.agg(F.count_if(bad).alias("bad"), F.count_if(read & ~bad).alias("good")).first()
+        return cols, df, read, bad, n, opts
+
+    quoted = rung()
+    chosen = quoted
+    if quoted[4]["bad"]:
+        plain = rung(quote="", escape="\\")
+        chosen = plain if plain[4]["good"] else quoted
+    cols, df, read, bad, _, opts = chosen
+    types = {}
+    if infer:
+        found = reader(**opts, inferSchema=True, samplingRatio=1.0).csv(path).schema
+        types = {c: f.dataType for c, f in zip(cols, found, strict=False)}
+    good = df.filter(read & ~bad).select(*[
+        F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in cols])
+    return good, df.filter(bad).select(F.col(_BAD).alias("line"))
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = False,
+             multi_line: bool = False) -> DataFrame:
+    """The rows of ``read_csv_parts``."""
+    return read_csv_parts(spark, path, sep, infer, multi_line)[0]
 
 
 def read_label_csv(spark: SparkSession, path: str, video_col: str = "video",
@@ -129,10 +168,11 @@ def read_label_csv(spark: SparkSession, path: str, video_col: str = "video",
     return df
 
 
-def load_table(spark: SparkSession, path: str) -> DataFrame:
-    """S3: by extension; column names normalised."""
+def load_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """S3: by extension; column names normalised (P1). Texts may hold line
+    breaks, so a CSV file is read as multi-line unless told otherwise."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
-    df = spark.read.parquet(path) if ext == ".parquet" else read_csv(spark, path)
+    df = spark.read.parquet(path) if ext == ".parquet" else read_csv(spark, path, multi_line=multi_line)
     return norm_columns(df)
 
 

@@ -4,7 +4,7 @@ The reference reads coder-label CSVs, source tables, chat records, raw model
 answers and usage logs. The driver ships ``labels``, ``documents`` and
 ``conversations`` instead; these functions derive the reference shapes from
 them with plain DataFrame expressions, so every query's work grows with the
-tables. ``labelweave.plans.oracle`` holds the same definitions in SQL.
+tables. ``labelweave.plans.oracle_views`` holds the same definitions in SQL.
 """
 
 from __future__ import annotations

@@ -109,3 +109,38 @@ def test_file_roundtrip_scoring(spark, tmpdir_path):
     a = {(r.model, r.metric): r.score for r in SC.score_standard(gold, back, ["preds_m_alpha", "preds_m_beta"]).collect()}
     b = {(f"preds_{r.model}", r.metric): r.score for r in SC.score_standard(gold, parsed, ["m_alpha", "m_beta"]).collect()}
     assert a == b
+
+
+def test_csv_ladder_keeps_bad_rows(spark, tmpdir_path):
+    """A bad row far down the file is returned, not fatal and not dropped."""
+    import os
+    p = os.path.join(tmpdir_path, "t.csv")
+    lines = ["id,text"] + [f"{i},word{i}" for i in range(300)]
+    lines[201] = "200,too,many,fields"
+    with open(p, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    good, bad = IO.read_csv_parts(spark, p, infer=True)
+    assert good.count() == 299 and good.select("id").distinct().count() == 299
+    assert [r["line"] for r in bad.collect()] == ["200,too,many,fields"]
+    assert dict(good.dtypes)["id"] == "int"
+
+
+def test_csv_line_breaks_in_quotes(spark, tmpdir_path):
+    import os
+    p = os.path.join(tmpdir_path, "q.csv")
+    with open(p, "w") as f:
+        f.write('id,text\n1,"a\nb"\n2,"c, d"\n')
+    good, bad = IO.read_csv_parts(spark, p, multi_line=True)
+    assert sorted((r["id"], r["text"]) for r in good.collect()) == [("1", "a\nb"), ("2", "c, d")]
+    assert bad.count() == 0
+
+
+def test_jsonl_one_object_per_line(spark, tmpdir_path):
+    import os
+    p = os.path.join(tmpdir_path, "x.jsonl")
+    bad_lines = ['{"idx":1} garbage', '{"idx":2}{"idx":3}', '{"idx":4}],[{"idx":5}', '{"idx":6},{"idx":7}', '[{"idx":8}]', '{"idx":']
+    with open(p, "w") as f:
+        f.write("\n".join(['{"idx":0,"s":"]}"}', "", *bad_lines, ' {"idx":9,"s":null} ']) + "\n")
+    good, bad = IO.read_jsonl_parts(spark, p, "idx long, s string")
+    assert sorted(r["idx"] for r in good.collect()) == [0, 9]
+    assert sorted(r["line"] for r in bad.collect()) == sorted(bad_lines)

@@ -234,3 +234,47 @@ def test_tokenizer_udf_and_skip_limit(spark):
     import pytest
     with pytest.raises(ValueError):
         RC.skip_limit(df, 4)
+
+
+def test_split_two_level_rank(spark):
+    """A large cap keeps every row of a single cell, and ranks as one sort would."""
+    from labelweave.operators import split as SP
+    n = 5000
+    lab = spark.range(n).selectExpr(
+        "concat('v/', lpad(id, 12, '0'), '.mp4') AS video", "0.0D AS china_stance_score",
+        *[f"0.0D AS {c}" for c in SP.LABEL_COLS])
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", None)
+    sp = SP.stratified_split(lab, train_cap=3000, val_cap=1500, train_frac=0.6, keep_work_cols=True)
+    got = sp.select("meta_id", "rn", "split").toPandas()
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", None) == before
+    import hashlib
+    ids = sorted((f"{i:012d}" for i in range(n)), key=lambda x: (hashlib.md5(f"{x}-SPLIT-7".encode()).hexdigest(), x))
+    assert got.sort_values("rn").meta_id.tolist() == ids[:4500]
+    assert (got.split == "train").sum() == 3000 and (got.split == "val").sum() == 1500
+
+
+def test_dedupe_removes_leaks(spark):
+    from labelweave.operators import split as SP
+    one = spark.range(400).selectExpr(
+        "concat('v/', lpad(id, 12, '0'), '.mp4') AS video", "1.0D AS china_stance_score",
+        *[f"0.0D AS {c}" for c in SP.LABEL_COLS])
+    both = one.unionByName(one.selectExpr("video", "-china_stance_score AS china_stance_score", *SP.LABEL_COLS))
+    assert SP.leak_audit(SP.stratified_split(both)).count() > 0
+    clean = SP.stratified_split(both, dedupe=True)
+    assert SP.leak_audit(clean).count() == 0
+    assert {r[0] for r in clean.select("china_stance_score").distinct().collect()} == {-1.0}
+
+
+def test_bootstrap_comprehensive_contains_point(spark):
+    """Perfect answers score 1 in every replicate that holds the class; the interval is within [0, 1]."""
+    from labelweave.codebook import default_codebook
+    from labelweave.operators import scoring as SC
+    cb = default_codebook()
+    rows = [(str(i), {d.key: ("pro", "anti", "neutral/unclear")[i % 3] if d.categorical == "stance" else ("yes", "no")[i % 2]
+                      for d in cb.dimensions}) for i in range(60)]
+    gold = spark.createDataFrame(rows, "meta_id string, gold map<string,string>")
+    preds = gold.selectExpr("'m' AS model", "meta_id", "true AS parsed", "gold AS json")
+    out = SC.bootstrap_comprehensive(gold, preds, ["m"], B=20).collect()
+    assert len(out) == 20
+    assert all(0 <= r["ci_low"] <= r["ci_high"] <= 1 for r in out)
+    assert all(r["score"] == 1 and r["ci_high"] == 1 for r in out if "f1" in r["metric"].lower() and "stance" not in r["metric"])
