@@ -258,11 +258,12 @@ def test_dedupe_removes_leaks(spark):
     one = spark.range(400).selectExpr(
         "concat('v/', lpad(id, 12, '0'), '.mp4') AS video", "1.0D AS china_stance_score",
         *[f"0.0D AS {c}" for c in SP.LABEL_COLS])
-    both = one.unionByName(one.selectExpr("video", "-china_stance_score AS china_stance_score", *SP.LABEL_COLS))
+    some = one.filter("CAST(substr(video, 3, 12) AS INT) % 3 = 0")       # labelled twice, in another cell
+    both = one.unionByName(some.withColumn("china_stance_score", -some["china_stance_score"]))
     assert SP.leak_audit(SP.stratified_split(both)).count() > 0
     clean = SP.stratified_split(both, dedupe=True)
     assert SP.leak_audit(clean).count() == 0
-    assert {r[0] for r in clean.select("china_stance_score").distinct().collect()} == {-1.0}
+    assert clean.filter("CAST(meta_id AS INT) % 3 = 0 AND china_stance_score > 0").count() == 0
 
 
 def test_bootstrap_comprehensive_contains_point(spark):
