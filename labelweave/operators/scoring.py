@@ -72,11 +72,13 @@ def numeric_from_pred(pred: Column, key: str, cd_map: dict[str, float]) -> Colum
     """First of key, key_score, key_prob, key_yes_prob, key_p that parses
     as a number (percent-aware clamp), else the label mapped through cd_map."""
     nums = [clamp01(_get(pred, key + s)) for s in NUMERIC_SUFFIXES]
-    lab = yesno_label(_get(pred, key))
-    mapped = None
-    for k, v in cd_map.items():
-        mapped = F.when(lab == k, F.lit(float(v))) if mapped is None else mapped.when(lab == k, F.lit(float(v)))
-    return F.coalesce(*nums, mapped)
+    return F.coalesce(*nums, label_value(_get(pred, key), cd_map))
+
+
+def label_value(answer: Column, cd_map: dict[str, float]) -> Column:
+    """The number that ``cd_map`` gives a yes/no/cannot_determine answer, else null."""
+    values = F.create_map(*[F.lit(x) for k, v in cd_map.items() for x in (k, float(v))])
+    return F.try_element_at(values, yesno_label(answer))
 
 
 def gold_table(val_records: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def standard_columns(aligned: DataFrame, yn_metric: str = "f1", yn_thresh: float
     else:
         def gnum(k):
             v = _get(g, k)
-            return F.coalesce(clamp01(v), numeric_from_pred(F.create_map(F.lit(k), v), k, cd))
+            return F.coalesce(clamp01(v), label_value(v, cd))
         cols += [gnum("china_sensitive").alias("g_sens"),
                  numeric_from_pred(p, "china_sensitive", cd).alias("p_sens"),
                  gnum("collective_action").alias("g_coll"),

@@ -878,9 +878,9 @@ def q_gold_checks(spark, sf):
     """Format of the gold records, records without a required key, constant gold."""
     gold = _val_gold(spark, sf)
     fmt = SC.detect_format(gold)
-    missing = SC.missing_gold_keys(gold, fmt).agg(F.count(F.lit(1)).alias("n_missing"))
+    missing = SC.missing_gold_keys(gold, fmt).count()
     values = SC.constant_gold(gold.select(TX.clamp11(F.try_element_at("gold", F.lit("china_stance_score"))).alias("s")), "s")
-    return missing.join(values.select("n_values", "constant")).select(F.lit(fmt).alias("format"), "n_missing", "n_values", "constant")
+    return values.select(F.lit(fmt).alias("format"), F.lit(missing).cast("bigint").alias("n_missing"), "n_values", "constant")
 
 
 @register("jsonl_parts", """
