@@ -9,8 +9,9 @@
    ``PMI = log2(N n(t,c) / (n(t) n(c)))`` and ``IC = -log2(n(c) / N)``.
 3. In texts that hold c, words with at least ``REMOVE_AT`` of its information
    are removed and words with at least ``GENERALISE_AT`` generalised, wherever
-   they stand outside the identifiers. A share is estimated only from
-   ``MIN_SUPPORT`` or more distinct texts; copies of a text count once.
+   they stand outside the identifiers. Every entity and pair counts, also those
+   of a single text: there the share falls with n(t) alone, so a word of no
+   other text discloses all. Copies of a text count once.
 
 All steps are DataFrame expressions, joins and pre-aggregated counts: no Python
 runs on the executors. The tables of candidate words, disclosing words and
@@ -46,7 +47,6 @@ ORDER = [*KINDS, REMOVED, GENERALISED]
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", REMOVED: "", GENERALISED: "[WORD]"}
 CONTEXT_WORDS = 5
 CONTEXT_CHARS = 80
-MIN_SUPPORT = 3
 REMOVE_AT = 0.95
 GENERALISE_AT = 0.8
 _SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>"
@@ -123,7 +123,7 @@ def _context(low: Column, s: Column) -> Column:
     return F.filter(F.array_union(left, F.slice(right, 1, CONTEXT_WORDS)), lambda w: ~w.rlike("^[0-9]+$"))
 
 
-def disclosing_words(docs: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT) -> tuple[DataFrame, DataFrame]:
+def disclosing_words(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(entity, word, action) of the words that disclose an entity, and (text_key, entity) of the texts."""
     texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
     low = ascii_lower(F.col("text"))
@@ -133,9 +133,9 @@ def disclosing_words(docs: DataFrame, text_col: str = "text", min_support: int =
             .select("text_key", F.concat_ws(":", "s.kind", value).alias("entity"), _context(F.col("low"), F.col("s")).alias("words")))
     near = cut(near, "pii-context")
     held = near.select("text_key", "entity").distinct()
-    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("nc")).filter(F.col("nc") >= min_support)
+    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
     both = (near.join(n_entity, "entity").select("text_key", "entity", "nc", F.explode("words").alias("word")).distinct()
-            .groupBy("entity", "nc", "word").agg(F.count(F.lit(1)).alias("ntc")).filter(F.col("ntc") >= min_support))
+            .groupBy("entity", "nc", "word").agg(F.count(F.lit(1)).alias("ntc")))
     both = cut(both, "pii-pairs")
     # n(t) over distinct texts: a row counts as one over the number of rows with its text. Words are
     # added up before anything is joined, so the joins see one row per word of the corpus.
@@ -154,13 +154,12 @@ def disclosing_words(docs: DataFrame, text_col: str = "text", min_support: int =
     return cut(told, "pii-disclosing"), held
 
 
-def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
-         min_support: int = MIN_SUPPORT) -> DataFrame:
+def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows with ``base`` and ``spans``: arrays of (start, kind_no, end, kind, value), by start, then kind."""
     cols = keep if keep is not None else docs.columns
     docs = without(docs, ["base", "spans"], [text_col])
     cols = [c for c in cols if c in docs.columns]
-    told, held = disclosing_words(docs, text_col, min_support)
+    told, held = disclosing_words(docs, text_col)
     per_text = cut(held.join(told, "entity").groupBy("text_key").agg(
         F.collect_set(F.when(F.col("action") == REMOVED, F.col("word"))).alias("_removed"),
         F.collect_set(F.when(F.col("action") == GENERALISED, F.col("word"))).alias("_generalised")), "pii-texts")
@@ -179,10 +178,10 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
     return rows.withColumn("spans", F.array_sort(F.concat("base", *[f"_at_{k}" for k in words]))).select(*cols, "base", "spans")
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with identifiers masked and disclosing words generalised or removed."""
     cols = docs.columns
-    found = find(docs, text_col, None, **options)
+    found = find(docs, text_col)
     text = F.col(text_col)
     masks = F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])
 

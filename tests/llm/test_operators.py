@@ -180,6 +180,17 @@ def test_pii_discloses(spark):
     assert all(out[i] == t for i, t in text if i >= 100)
 
 
+def test_pii_discloses_from_one_text(spark):
+    """A word of no other text is removed beside an identifier of one text, a word of few others generalised."""
+    text = [(0, "the agent zorblax blix wrote from jo@ex.org about the list")]
+    text += [(1, "the agent blix wrote about the list")]
+    text += [(100 + i, f"the agent {i} wrote from home about the list") for i in range(60)]
+    d = spark.createDataFrame(text, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert out[0] == "the agent  [WORD] wrote from [EMAIL] about the list"
+    assert all(out[i] == t for i, t in text if i)
+
+
 def brute_links(docs, k=5, least=0.8):
     sets = []
     for _, t in docs:
