@@ -3,9 +3,9 @@
 1. Direct identifiers (e-mail, IP, card and phone numbers) are found by their
    patterns, as code-point spans.
 2. Each distinct identifier is a protected entity ``c``. From the whole corpus
-   come, counted over distinct texts, n(c), n(t, c) (texts where word ``t``
-   stands within ``CONTEXT_WORDS`` words of c), n(t) and N. The share of c's
-   information that t discloses is ``PMI(t, c) / IC(c)`` with
+   come, counted over distinct texts, n(c), n(t), n(t, c) (texts that hold word
+   ``t`` and c, however far apart) and N. The share of c's information that t
+   discloses is ``PMI(t, c) / IC(c)`` with
    ``PMI = log2(N n(t,c) / (n(t) n(c)))`` and ``IC = -log2(n(c) / N)``.
 3. In texts that hold c, words with at least ``REMOVE_AT`` of its information
    are removed and words with at least ``GENERALISE_AT`` generalised, wherever
@@ -45,8 +45,7 @@ KINDS = {
 REMOVED, GENERALISED = "removed", "generalised"
 ORDER = [*KINDS, REMOVED, GENERALISED]
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", REMOVED: "", GENERALISED: "[WORD]"}
-CONTEXT_WORDS = 5
-CONTEXT_CHARS = 80
+COMMON = 1000             # words of more than one in so many texts are joined by broadcast
 REMOVE_AT = 0.95
 GENERALISE_AT = 0.8
 _SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>"
@@ -111,46 +110,55 @@ def with_identifiers(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("base", F.array_sort(F.concat(*[f"_{k}" for k in KINDS]))).drop(*[f"_{k}" for k in KINDS])
 
 
-def _context(low: Column, s: Column) -> Column:
-    """Words next to a span, without words that the window cuts."""
-    left = F.regexp_extract_all(F.substring(low, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1,
-                                            F.least(s["start"], F.lit(CONTEXT_CHARS))), F.lit(WORD_RE), F.lit(0))
-    left = F.when(s["start"] > CONTEXT_CHARS, F.slice(left, 2, F.greatest(F.size(left), F.lit(1)))).otherwise(left)
-    left = F.slice(F.reverse(left), 1, CONTEXT_WORDS)
-    right = F.regexp_extract_all(F.substring(low, s["end"] + 1, F.lit(CONTEXT_CHARS)), F.lit(WORD_RE), F.lit(0))
-    right = F.when(s["end"] + CONTEXT_CHARS < F.length(low),
-                   F.slice(right, 1, F.greatest(F.size(right) - 1, F.lit(0)))).otherwise(right)
-    return F.filter(F.array_union(left, F.slice(right, 1, CONTEXT_WORDS)), lambda w: ~w.rlike("^[0-9]+$"))
-
-
 def disclosing_words(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(entity, word, action) of the words that disclose an entity, and (text_key, entity) of the texts."""
+    """(group, word, action) of the words that disclose an entity, and (text_key, group) of the texts.
+
+    Entities of the very same texts share all their counts and form one ``group``."""
     texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
     low = ascii_lower(F.col("text"))
+    key = F.xxhash64("text").alias("text_key")
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(WORD_RE), F.lit(0)))
     value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    near = (with_identifiers(texts, "text").filter(F.size("base") > 0)
-            .select(F.xxhash64("text").alias("text_key"), low.alias("low"), F.explode("base").alias("s"))
-            .select("text_key", F.concat_ws(":", "s.kind", value).alias("entity"), _context(F.col("low"), F.col("s")).alias("words")))
-    near = cut(near, "pii-context")
-    held = near.select("text_key", "entity").distinct()
-    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("nc"))
-    both = (near.join(n_entity, "entity").select("text_key", "entity", "nc", F.explode("words").alias("word")).distinct()
-            .groupBy("entity", "nc", "word").agg(F.count(F.lit(1)).alias("ntc")))
-    both = cut(both, "pii-pairs")
     # n(t) over distinct texts: a row counts as one over the number of rows with its text. Words are
     # added up before anything is joined, so the joins see one row per word of the corpus.
-    copies = cut(texts.groupBy(F.xxhash64("text").alias("text_key")).agg(F.count(F.lit(1)).alias("m")), "pii-copies")
+    copies = cut(texts.groupBy(key).agg(F.count(F.lit(1)).alias("m")), "pii-copies")
     total = float(copies.count())
+    found = cut(with_identifiers(texts, "text").filter(F.size("base") > 0).select(
+        key, F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))).alias("base"),
+        F.filter(words, lambda w: ~w.rlike("^[0-9]+$")).alias("words")), "pii-found")
+    each = (found.select("text_key", F.explode("base").alias("s"))
+            .select("text_key", F.concat_ws(":", "s.kind", value).alias("entity")).distinct())
+    each = cut(each, "pii-entities")
+    # a set of texts is known by its size and two sums of hashes, which merge in the shuffle
+    n_entity = each.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("nc"), F.bit_xor("text_key").alias("x"), F.bit_xor(F.xxhash64("text_key")).alias("y"))
+    n_entity = n_entity.select("entity", "nc", F.concat_ws(":", "nc", "x", "y").alias("group"))
+    held = cut(each.join(n_entity, "entity").select("text_key", "group", "nc").distinct(), "pii-held")
+    top = float(held.agg(F.max("nc")).first()[0] or 0)
+
+    # as n(t,c) <= n(c), the share of a word of more texts than this stays below GENERALISE_AT
+    def most(nc):
+        return 1.000001 * total * F.pow(nc / F.lit(max(total, 1.0)), F.lit(GENERALISE_AT))
+
     weighed = (texts.withColumn("text_key", F.xxhash64("text")).join(copies.filter("m > 1"), "text_key", "left")
                .select((1 / F.coalesce("m", F.lit(1))).alias("weight"), low.alias("low")))
     n_word = (weighed.select("weight", F.explode(F.array_distinct(
         F.regexp_extract_all("low", F.lit(WORD_RE), F.lit(0)))).alias("word"))
         .groupBy("word").agg(F.round(F.sum("weight")).alias("nt")))
+    here = cut(found.select(F.explode("words").alias("word")).distinct(), "pii-vocabulary")
+    n_word = cut(n_word.join(here, "word", "left_semi"), "pii-words")
+    # words of many texts (at most COMMON times the words of a text) go first, so that no key is hot in the next join
+    common = n_word.filter((F.col("nt") > most(F.lit(top))) & (F.col("nt") > total / COMMON)).select("word")
+    rare = n_word.filter(F.col("nt") <= most(F.lit(top)))
+    pairs = (found.select("text_key", F.explode("words").alias("word")).distinct()
+             .join(F.broadcast(common), "word", "left_anti").join(rare, "word")
+             .join(held, "text_key").filter(F.col("nt") <= most(F.col("nc"))))
+    both = pairs.groupBy("group", "nc", "word", "nt").agg(F.count(F.lit(1)).alias("ntc"))
     ic = -F.log2(F.col("nc") / F.lit(total))
     pmi = F.log2(F.lit(total) * F.col("ntc") / (F.col("nt") * F.col("nc")))
     share = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    told = (both.join(n_word, "word").withColumn("share", share).filter(F.col("share") >= GENERALISE_AT)
-            .select("entity", "word", F.when(F.col("share") >= REMOVE_AT, REMOVED).otherwise(GENERALISED).alias("action")))
+    told = (both.withColumn("share", share).filter(F.col("share") >= GENERALISE_AT)
+            .select("group", "word", F.when(F.col("share") >= REMOVE_AT, REMOVED).otherwise(GENERALISED).alias("action")))
     return cut(told, "pii-disclosing"), held
 
 
@@ -160,7 +168,7 @@ def find(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None)
     docs = without(docs, ["base", "spans"], [text_col])
     cols = [c for c in cols if c in docs.columns]
     told, held = disclosing_words(docs, text_col)
-    per_text = cut(held.join(told, "entity").groupBy("text_key").agg(
+    per_text = cut(held.join(told, "group").groupBy("text_key").agg(
         F.collect_set(F.when(F.col("action") == REMOVED, F.col("word"))).alias("_removed"),
         F.collect_set(F.when(F.col("action") == GENERALISED, F.col("word"))).alias("_generalised")), "pii-texts")
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -191,6 +191,17 @@ def test_pii_discloses_from_one_text(spark):
     assert all(out[i] == t for i, t in text if i)
 
 
+def test_pii_discloses_over_whole_texts(spark):
+    """A word far from the identifier, behind long words, is a candidate; texts are counted alike for n(t) and n(t, c)."""
+    far = " ".join(["wrote", "x" * 200, "about the list"] * 10)
+    text = [(i, f"zorblax {far} and asked jo@ex.org or 4.4.4.4") for i in range(2)]
+    text += [(100 + i, f"the agent {i} asked and {far} or {i} more") for i in range(60)]
+    d = spark.createDataFrame(text, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert out[0] == out[1] == f" {far} and asked [EMAIL] or [IP]"
+    assert all(out[i] == t for i, t in text if i >= 100)
+
+
 def brute_links(docs, k=5, least=0.8):
     sets = []
     for _, t in docs:
