@@ -4,8 +4,9 @@ Counts of character 1- to 3-grams, hashed into ``BUCKETS`` columns, are gathered
 per language over all labelled texts: each task adds up its own counts, and the
 shuffle adds up the tasks' (at most languages x buckets rows each). Texts with
 the same content count once per copy. The smoothed log-probability matrix,
-languages x buckets, is broadcast, and a slice of texts is scored at once: per
-n-gram the matrix row is fetched, per text the rows are summed. ``score`` is
+languages x buckets, is broadcast with the log prior of each language (its
+smoothed share of the labelled texts), and a slice of texts is scored at once:
+per n-gram the matrix row is fetched, per text the rows and the prior are summed. ``score`` is
 the posterior of the predicted language, tempered by the number of n-grams so
 that long texts do not all saturate at 1.
 
@@ -63,18 +64,19 @@ def _has_letter(text: str | None) -> bool:
 
 
 def count_ngrams(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, counts): one row per language, counts an array of BUCKETS numbers."""
+    """(lang, bucket, n): counts of n-grams; bucket BUCKETS counts the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for whole in batches:
             for b in T.slices(whole, text_col):
                 lang = np.array(b.column(b.schema.get_field_index(lang_col)).to_pylist(), object)
-                codes, names = np.unique(lang.astype(str), return_inverse=True)
+                codes, names, texts = np.unique(lang.astype(str), return_inverse=True, return_counts=True)
+                for code, k in zip(codes.tolist(), texts.tolist(), strict=True):
+                    total.setdefault(code, np.zeros(BUCKETS + 1, np.int64))[BUCKETS] += k
                 for doc, bucket in features(b.column(b.schema.get_field_index(text_col))):
                     n = np.bincount(names[doc] * BUCKETS + bucket, minlength=len(codes) * BUCKETS)
                     for k, code in enumerate(codes.tolist()):
-                        add = n[k * BUCKETS: (k + 1) * BUCKETS]
-                        total[code] = total[code] + add if code in total else add
+                        total[code][:BUCKETS] += n[k * BUCKETS: (k + 1) * BUCKETS]
         for code, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
@@ -86,18 +88,21 @@ def count_ngrams(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in alphabetical order and the log-probability matrix."""
+    """Languages in alphabetical order and the log-probability matrix; its last column is the smoothed log prior."""
     labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = cut(count_ngrams(labelled, text_col, lang_col), "langid-counts")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: raise MAX_LANGUAGES with the memory of the executors")
     place = {x: i for i, x in enumerate(langs)}
-    n = np.zeros((len(langs), BUCKETS))
-    for r in counts.toLocalIterator():                        # at most languages x buckets rows
+    n = np.zeros((len(langs), BUCKETS + 1))
+    for r in counts.toLocalIterator():                        # at most languages x (buckets + 1) rows
         n[place[r["lang"]], r["bucket"]] = r["n"]
     n += SMOOTHING
-    return langs, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32) if langs else n
+    if langs:
+        n[:, :-1] /= n[:, :-1].sum(axis=1, keepdims=True)
+        n[:, -1] /= n[:, -1].sum()
+    return langs, np.log(n).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text",
@@ -115,6 +120,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             grams += np.bincount(doc, minlength=n)
             for k in range(len(langs)):
                 total[:, k] += np.bincount(doc, table_[:, k][bucket], n)
+        if langs:
+            total += table_[BUCKETS]
         total /= np.sqrt(np.maximum(grams, 1))[:, None]       # temper
         p = np.exp(total - total.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)

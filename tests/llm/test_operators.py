@@ -265,6 +265,17 @@ def test_html():
         assert isinstance(html_extract.main_text(broken), str)
 
 
+def test_langid_prior(spark):
+    """A text that fits two languages alike goes to the one with more labelled texts, and the prior is theirs."""
+    d = spark.createDataFrame([(i, "same words here", "zz" if i < 9 else "aa") for i in range(10)], "doc_id long, text string, lang string")
+    langs, logs = langid.train(d)
+    assert langs == ["aa", "zz"] and np.allclose(np.exp(logs[:, -1]), [1.5 / 11, 9.5 / 11])
+    even = np.zeros_like(logs)
+    even[:, -1] = logs[:, -1]
+    x = spark.createDataFrame([(0, "q")], "doc_id long, text string")
+    assert langid.predict(x, (langs, even)).first().lang_pred == "zz"
+
+
 def test_held_out_accuracy(spark):
     from labelweave.llm import queries
     docs = table(spark, "documents", SF001)
