@@ -16,7 +16,7 @@ Scale notes:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -305,16 +305,24 @@ def sanitize_records(df: DataFrame) -> DataFrame:
 
 def skip_limit(df: DataFrame, skip: int = 0, limit: int | None = None, pos_col: str = "idx") -> DataFrame:
     """Rows by file position: skip the first ``skip``, keep ``limit``.
-    Positions are an explicit column (never partition order); skipping past
-    the end is an error (one scalar count)."""
+    Positions are an explicit column (never partition order), null ones first; rows
+    of the same position go by their JSON text, and of identical rows the number
+    counts. Skipping past the end is an error (one scalar count)."""
     if skip:
         n = df.count()
         if skip >= n:
             raise ValueError(f"skip={skip} but only {n} records")
+    cols = df.columns
+    key = F.struct(F.col(pos_col).alias("p"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("t"))
+    ranked = df.withColumn("_key", key)
     if limit is not None:                     # positions may have gaps: count rows, not values
-        df = df.orderBy(pos_col).limit(skip + limit)
-    ranked = df
-    if skip:
-        first = df.orderBy(pos_col).limit(skip).select(F.max(pos_col).alias("_last"))
-        ranked = df.join(F.broadcast(first), F.col(pos_col) > F.col("_last")).drop("_last")
-    return ranked
+        ranked = ranked.orderBy("_key").limit(skip + limit)
+    if skip:                                  # all before the last skipped row go, and as many of its like as were skipped
+        edge = (ranked.orderBy("_key").limit(skip).groupBy(F.col("_key").alias("_last"))
+                .agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_last")).limit(1))
+        ranked = ranked.join(F.broadcast(edge), F.col("_key") >= F.col("_last"))
+        like = Window.partitionBy("_last").orderBy("_key")
+        ranked = ranked.filter("_key > _last").unionByName(
+            ranked.filter("NOT (_key > _last)").withColumn("_rn", F.row_number().over(like))
+            .filter("_rn > _n").drop("_rn"))
+    return ranked.select(*[F.col(f"`{c}`") for c in cols])

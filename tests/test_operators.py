@@ -236,6 +236,17 @@ def test_tokenizer_udf_and_skip_limit(spark):
         RC.skip_limit(df, 4)
 
 
+def test_skip_limit_ties_and_nulls(spark):
+    """Rows of one position, identical rows and rows without a position are counted one by one."""
+    rows = [(None, "n"), (0, "a"), (0, "b"), (0, "b"), (0, "b"), (1, "c"), (1, "d")]
+    df = spark.createDataFrame(rows[::-1], "idx long, t string").repartition(3)
+    for skip in range(len(rows)):
+        for limit in (None, 2):
+            want = rows[skip:] if limit is None else rows[skip: skip + limit]
+            got = [tuple(r) for r in RC.skip_limit(df, skip, limit).collect()]
+            assert sorted(got, key=str) == sorted(want, key=str), (skip, limit)
+
+
 def test_split_two_level_rank(spark):
     """A large cap keeps every row of a single cell, and ranks as one sort would."""
     from labelweave.operators import split as SP
