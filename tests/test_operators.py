@@ -247,6 +247,28 @@ def test_skip_limit_ties_and_nulls(spark):
             assert sorted(got, key=str) == sorted(want, key=str), (skip, limit)
 
 
+def test_entry_raises_for_broken_imports(monkeypatch):
+    """Only a missing pipeline or subpackage gives no queries; another missing module is an error."""
+    import builtins
+
+    import pytest
+
+    import __spark_entry__ as E
+    real = builtins.__import__
+    for missing in ("numpy", "labelweave.llm.pii", "labelweave.llm", "corpus_pipeline"):
+        def fake(name, *args, **kw):
+            if name == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return real(name, *args, **kw)
+        monkeypatch.setattr(builtins, "__import__", fake)
+        if missing in ("labelweave.llm", "corpus_pipeline"):
+            assert E._llm() == ({}, {})
+        else:
+            with pytest.raises(ModuleNotFoundError):
+                E._llm()
+        monkeypatch.setattr(builtins, "__import__", real)
+
+
 def test_split_two_level_rank(spark):
     """A large cap keeps every row of a single cell, and ranks as one sort would."""
     from labelweave.operators import split as SP
