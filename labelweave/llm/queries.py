@@ -1,11 +1,13 @@
 """Importing this module registers every query of the subpackage."""
 
 from labelweave.llm import (  # noqa: F401
+    centroids,
     decontaminate,
     gam_quality,
     html_extract,
     langid,
     licenses,
+    negatives,
     ngram_join,
     packing,
     pii,
