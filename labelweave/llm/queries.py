@@ -2,6 +2,7 @@
 
 from labelweave.llm import (  # noqa: F401
     centroids,
+    chat,
     decontaminate,
     gam_quality,
     html_extract,
