@@ -1,13 +1,11 @@
-"""Score models against gold labels (A7–A14, A23, P36–P38, P42, JN1, S12, W6).
+"""Score models against gold labels (A7–A12, A14, A23, P36–P38, P42, JN1, S12, W6).
 
 Plan: gold records (one per item) are fanned out over the model list with a
 generator (``explode`` of the model names — no cross join), left-joined to
 the last-wins predictions on (model, meta_id), and reduced with hash
 aggregates. The comprehensive scorecard reduces first to a confusion table
 (model, dim, gold, pred) -> count (tens of rows), and every F1 is computed
-from that. Bootstrap replicates are weighted aggregates: each item's weight in
-a replicate is hashed from its id (engine-portable), so the weighted sums per
-(model, replicate) need no row number, draw table or join.
+from that. Confidence intervals (A13) are in ``operators.bootstrap``.
 """
 
 from __future__ import annotations
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 
 from labelweave.codebook import Codebook, default_codebook, STANCE
 from labelweave.functions import metrics as M
-from labelweave.functions.text import clamp01, clamp11, compute_once, normalize_cd_label, strip_ws, yesno_label
+from labelweave.functions.text import clamp01, clamp11, normalize_cd_label, strip_ws, yesno_label
 from labelweave.operators.merge import last_wins
 from labelweave.operators.records import gold_of
 
@@ -251,85 +249,6 @@ def score_comprehensive(gold: DataFrame, preds: DataFrame, models: list[str] | N
     return out.withColumn("metric_pos", F.try_element_at(om, F.col("metric")))
 
 
-# --- bootstrap (A13) -----------------------------------------------------------------------
-
-def _poisson_cdf() -> list[float]:
-    """Distribution function of Poisson(1), up to where it rounds to 1."""
-    import math
-    out, total, p = [], 0.0, math.exp(-1.0)
-    while not out or out[-1] < 1.0 - 2.0 ** -52:
-        total += p
-        out.append(total)
-        p /= len(out)
-    return out
-
-
-POISSON_CDF = _poisson_cdf()
-
-
-def replicate_weights(items: DataFrame, B: int, seed: int | str) -> DataFrame:
-    """Every item (by ``meta_id``) with its weight ``w`` > 0 in each replicate ``b``.
-
-    Poisson bootstrap: independent Poisson(1) weights, from a uniform of 52
-    bits hashed from (seed, replicate, item id). The weight of a row depends on
-    nothing but its id, so rows need no number, no draw table and no join."""
-    rep = items.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("meta_id")))
-    rep = compute_once(rep, u=F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(16 ** 13))
-    w = F.lit(len(POISSON_CDF))
-    for k in range(len(POISSON_CDF) - 1, -1, -1):
-        w = F.when(F.col("u") < POISSON_CDF[k], F.lit(k)).otherwise(w)
-    return rep.withColumn("w", w).drop("u").filter("w > 0")
-
-
-def _intervals(reps: DataFrame, names: list[str], alpha: float) -> DataFrame:
-    return reps.unpivot(["model", "b"], names, "metric", "v").filter(
-        F.col("v").isNotNull() & ~F.isnan("v")).groupBy("model", "metric").agg(
-        F.percentile("v", alpha / 2).alias("ci_low"), F.percentile("v", 1 - alpha / 2).alias("ci_high"))
-
-
-def bootstrap_standard(gold: DataFrame, preds: DataFrame, models: list[str] | None = None,
-                       B: int = 1000, alpha: float = 0.05, seed: int | str = 0,
-                       yn_metric: str = "f1", yn_thresh: float | None = None,
-                       cd_map: dict[str, float] | None = None) -> DataFrame:
-    """A13 on the standard scorecard: (model, metric, score, ci_low, ci_high).
-
-    The answers of all models for an item share its weights. Replicates are
-    summed per (model, replicate) with partial aggregation; the shuffle holds
-    models x B rows per task."""
-    models = models or model_list(preds)
-    cols = standard_columns(align(gold.select("meta_id", "gold"), preds, models), yn_metric, yn_thresh, cd_map)
-    names = STANDARD_F1_METRICS if yn_metric == "f1" else STANDARD_R2_METRICS
-    point = cols.groupBy("model").agg(*[e.cast("double").alias(k) for k, e in
-                                        standard_metric_exprs(yn_metric).items()])
-    per_item = cols.groupBy("meta_id").agg(F.collect_list(F.struct(
-        *[c for c in cols.columns if c != "meta_id"])).alias("rows"))       # one entry per model
-    rep = replicate_weights(per_item, B, seed).select("meta_id", "b", "w", F.inline("rows"))
-    ex = standard_metric_exprs(yn_metric, F.col("w"))
-    reps = rep.groupBy("model", "b").agg(*[e.cast("double").alias(k) for k, e in ex.items()])
-    return to_long(point, names).join(_intervals(reps, names, alpha), ["model", "metric"], "left")
-
-
-def bootstrap_comprehensive(gold: DataFrame, preds: DataFrame, models: list[str] | None = None,
-                            B: int = 1000, alpha: float = 0.05, seed: int | str = 0,
-                            cb: Codebook | None = None, yn_thresh: float | None = None) -> DataFrame:
-    """A13 on the 20-metric scorecard: (model, metric, score, metric_pos, ci_low, ci_high).
-
-    The answers of an item are gathered (one entry per dimension), so its weight is
-    hashed once per replicate, and a replicate is reduced to its weighted confusion table: the shuffle
-    holds models x B x dimensions x label pairs per task, whatever the rows."""
-    models = models or model_list(preds)
-    point = score_comprehensive(gold, preds, models, cb, yn_thresh)
-    answers = (comprehensive_long(align(gold.select("meta_id", "gold"), preds, models), cb, yn_thresh)
-               .groupBy("model", "meta_id").agg(F.collect_list(F.struct("dim", "kind", "g", "p")).alias("answers")))
-    conf = (replicate_weights(answers, B, seed).select("model", "b", "w", F.inline("answers"))
-            .groupBy("model", "b", "dim", "kind", "g", "p").agg(F.sum("w").alias("w")))
-    reps = metrics_from_confusion(conf, "w", ("model", "b"))
-    ci = reps.filter(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("model", "metric").agg(
-        F.percentile("score", alpha / 2).alias("ci_low"), F.percentile("score", 1 - alpha / 2).alias("ci_high"))
-    return point.join(ci, ["model", "metric"], "left")
-
-
 def constant_gold(gold_cols: DataFrame, col: str) -> DataFrame:
     """A one-row notice when the gold column has a single value."""
     return gold_cols.agg(F.count_distinct(col).alias("n_values"),

