@@ -20,6 +20,7 @@ BINARY = "binary"                  # yes / no / cannot_determine (or number in [
 BINARY_STRICT = "binary_strict"    # yes / no (or number in [0,1])
 NUMERIC_STANCE = "numeric_stance"  # number in [-1, 1]
 NUMERIC_01 = "numeric_01"          # number in [0, 1]
+LABEL_LIST = "label_list"          # non-empty list of allowed values
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,9 @@ class Dimension:
     categorical: str
     numeric: str
     source_column: str | None = None   # column of the source table holding gold
+    required: bool = True              # without its source column: an error, else a warning and empty gold
+    allowed: tuple[str, ...] = ()      # list labels: the values a list may hold
+    exclusive: str | None = None       # list labels: a value that must stand alone
 
     @property
     def format_categorical(self) -> str:
@@ -37,12 +41,14 @@ class Dimension:
                 BINARY: "'yes' | 'no' | 'cannot_determine'",
                 BINARY_STRICT: "'yes' | 'no'",
                 NUMERIC_STANCE: "a number in [-1, 1]",
-                NUMERIC_01: "a number in [0, 1]"}[self.categorical]
+                NUMERIC_01: "a number in [0, 1]",
+                LABEL_LIST: "a list of " + " | ".join(f"'{v}'" for v in self.allowed)}[self.categorical]
 
     @property
     def format_numeric(self) -> str:
         return {NUMERIC_STANCE: "a number in [-1, 1]",
-                NUMERIC_01: "a number in [0, 1]"}[self.numeric]
+                NUMERIC_01: "a number in [0, 1]",
+                LABEL_LIST: "a list of " + " | ".join(f"'{v}'" for v in self.allowed)}[self.numeric]
 
 
 @dataclass(frozen=True)
@@ -163,13 +169,13 @@ class Codebook:
 
 _DIMENSIONS = [
     Dimension("china_ccp_government", "Government stance",
-              "Stance of the item toward the government.", STANCE, NUMERIC_STANCE, "stance_gov"),
+              "Stance of the item toward the government.", STANCE, NUMERIC_STANCE, "stance_gov", required=False),
     Dimension("china_people_culture", "People and culture stance",
-              "Stance of the item toward the people and culture.", STANCE, NUMERIC_STANCE, "stance_culture"),
+              "Stance of the item toward the people and culture.", STANCE, NUMERIC_STANCE, "stance_culture", required=False),
     Dimension("china_technology_development", "Technology stance",
-              "Stance of the item toward technology and development.", STANCE, NUMERIC_STANCE, "stance_tech"),
+              "Stance of the item toward technology and development.", STANCE, NUMERIC_STANCE, "stance_tech", required=False),
     Dimension("china_sensitive", "Political sensitivity",
-              "Whether the item touches politically sensitive topics.", BINARY, NUMERIC_01, "sensitive"),
+              "Whether the item touches politically sensitive topics.", BINARY, NUMERIC_01, "sensitive", required=False),
     Dimension("collective_action", "Collective action",
               "Whether the item shows or calls for collective action.", BINARY, NUMERIC_01, "collective_action"),
     Dimension("hate_speech", "Hate speech",

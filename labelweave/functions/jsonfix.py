@@ -4,7 +4,7 @@ Column expressions (J1–J17).
 Design: a model answer is parsed into ``map<string,string>`` with
 ``from_json`` (values keep their JSON text; types are applied at use from
 the codebook). Every repair is a ``regexp_replace``; the balanced-brace
-scan is a ``F.aggregate`` fold over the characters of the text. Repairs
+scan is a ``F.aggregate`` fold over the braces, quotes and backslashes of the text. Repairs
 are applied cumulatively and a parse is attempted after each one; the
 first success wins. Both the repair cascade and the extraction ladder are
 folds over a step index (``F.aggregate``), so each sub-expression appears
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelweave.codebook import (BINARY, BINARY_STRICT, NUMERIC_01, NUMERIC_STANCE, STANCE,
+from labelweave.codebook import (BINARY, BINARY_STRICT, LABEL_LIST, NUMERIC_01, NUMERIC_STANCE, STANCE,
                                  Codebook, Group)
 from labelweave.functions.text import strip_ws, to_double
 
@@ -94,68 +94,59 @@ def tail_json(s: Column) -> Column:
 
 # --- J2 / J3: balanced-brace fold ------------------------------------------
 
-def _chars(s: Column) -> Column:
-    # one element per code point (Spark string positions count code points)
-    return F.regexp_extract_all(s, F.lit(r"(?s)."), 0)
+# a token: other text, if any, and the brace, quote or backslash that ends it
+BRACE_TOKEN = r'[^{}"\\]*[{}"\\]'
 
 
-def brace_scan(s: Column) -> Column:
-    """Fold over the characters of ``s``: top-level ``{...}`` blocks, string
-    and escape aware. Outside a block only '{' matters; an unclosed block
-    runs to the end and is not reported.
+def brace_scan(s: Column, every: bool = False) -> Column:
+    """Fold over the tokens of ``s``: top-level ``{...}`` blocks, string and
+    escape aware. Outside a block only '{' matters; an unclosed block runs to
+    the end and is not reported. Text after the last token cannot close a block.
 
-    Returns struct(first_s, first_e, last_s, last_e, blocks array<struct<s,e>>),
-    1-based inclusive code-point positions.
+    Returns array<struct<s,e>> of the last block (or of ``every`` block),
+    1-based inclusive code-point positions. A token is one step, so plain text
+    costs nothing per character.
     """
-    blk_t = "array<struct<s:int,e:int>>"
-    init = F.struct(
-        F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(False).alias("in_str"),
-        F.lit(False).alias("esc"), F.lit(0).alias("start"),
-        F.lit(None).cast("int").alias("first_s"), F.lit(None).cast("int").alias("first_e"),
-        F.lit(None).cast("int").alias("last_s"), F.lit(None).cast("int").alias("last_e"),
-        F.array().cast(blk_t).alias("blocks"))
-
-    def step(acc, ch):
-        pos = acc["pos"] + 1
-        d, in_str, esc, start = acc["depth"], acc["in_str"], acc["esc"], acc["start"]
-        outside = d == 0
-        opening = outside & (ch == "{")
-        closing = (~outside) & (~in_str) & (ch == "}") & (d == 1)
-        new_depth = (F.when(outside, F.when(ch == "{", F.lit(1)).otherwise(F.lit(0)))
-                     .when(in_str, d)
-                     .when(ch == "{", d + 1).when(ch == "}", d - 1).otherwise(d))
-        new_in_str = (F.when(outside, F.lit(False))
-                      .when(in_str, ~((~esc) & (ch == '"')))
-                      .otherwise(ch == '"'))
-        new_esc = (~outside) & in_str & (~esc) & (ch == "\\")
-        new_start = F.when(opening, pos).otherwise(start)
-        first_new = closing & acc["first_e"].isNull()
-        return F.struct(
-            pos.alias("pos"), new_depth.alias("depth"), new_in_str.alias("in_str"),
-            new_esc.alias("esc"), new_start.alias("start"),
-            F.when(first_new, start).otherwise(acc["first_s"]).alias("first_s"),
-            F.when(first_new, pos).otherwise(acc["first_e"]).alias("first_e"),
-            F.when(closing, start).otherwise(acc["last_s"]).alias("last_s"),
-            F.when(closing, pos).otherwise(acc["last_e"]).alias("last_e"),
-            F.when(closing, F.array_append(acc["blocks"], F.struct(start.alias("s"), pos.alias("e"))))
-             .otherwise(acc["blocks"]).alias("blocks"))
-
-    return F.aggregate(_chars(s), init, step)
-
-
-def _substr(s: Column, a: Column, b: Column) -> Column:
-    return F.when(a.isNotNull(), F.substring(s, a, b - a + 1))
+    def state(a, t, depth=None, in_str=False, esc=None, start=None, blocks=None):
+        return F.struct((a["pos"] + F.length(t)).alias("pos"),
+                        (a["depth"] if depth is None else depth).alias("depth"),
+                        F.lit(in_str).alias("in_str"),
+                        (F.lit(False) if esc is None else esc).alias("esc"),
+                        (a["start"] if start is None else start).alias("start"),
+                        (a["blocks"] if blocks is None else blocks).alias("blocks"))
+
+    def step(a, t):
+        end = a["pos"] + F.length(t)
+        block = F.array(F.struct(a["start"].alias("s"), end.alias("e")))
+        blocks = F.concat(a["blocks"], block) if every else block
+        outside = F.when(t.endswith("{"), state(a, t, F.lit(1), start=end)).otherwise(state(a, t))
+        string = (F.when(a["esc"] & (F.length(t) == 1), state(a, t, in_str=True))
+                  .when(t.endswith('"'), state(a, t))
+                  .otherwise(state(a, t, in_str=True, esc=t.endswith("\\"))))
+        return (F.when(a["depth"] == 0, outside).when(a["in_str"], string)
+                .when(t.endswith('"'), state(a, t, in_str=True))
+                .when(t.endswith("{"), state(a, t, a["depth"] + 1))
+                .when(t.endswith("}") & (a["depth"] == 1), state(a, t, F.lit(0), blocks=blocks))
+                .when(t.endswith("}"), state(a, t, a["depth"] - 1))
+                .otherwise(state(a, t)))
+
+    init = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(False).alias("in_str"), F.lit(False).alias("esc"),
+                    F.lit(0).alias("start"), F.array().cast("array<struct<s:int,e:int>>").alias("blocks"))
+    return F.aggregate(F.regexp_extract_all(s, F.lit(BRACE_TOKEN), 0), init, step, lambda a: a["blocks"])
+
+
+def _block(s: Column, b: Column) -> Column:
+    return F.substring(s, b["s"], b["e"] - b["s"] + 1)
 
 
 def last_balanced_block(s: Column) -> Column:
     """Text of the last complete top-level {...} block, or null."""
-    return let(brace_scan(s), lambda st: _substr(s, st["last_s"], st["last_e"]))
+    return let(brace_scan(s), lambda found: F.when(F.size(found) > 0, _block(s, found[0])))
 
 
 def balanced_blocks(s: Column) -> Column:
     """J3 building block: every complete top-level block, in order."""
-    return let(brace_scan(s), lambda st: F.transform(
-        st["blocks"], lambda b: F.substring(s, b["s"], b["e"] - b["s"] + 1)))
+    return F.transform(brace_scan(s, every=True), lambda b: _block(s, b))
 
 
 # --- strict parse ------------------------------------------------------------
@@ -324,6 +315,17 @@ def _domain(kind: str, v: Column, level: str) -> Column:
     raise ValueError(kind)
 
 
+def label_list(v: Column, allowed: tuple[str, ...], exclusive: str | None) -> Column:
+    """A JSON list of strings, not empty, every one allowed; the exclusive value stands alone.
+
+    Map values hold a list's JSON text, so a string that spells a list passes like the list."""
+    found = F.from_json(v, "array<string>", JSON_OPTS)
+    ok = (F.size(found) > 0) & F.forall(found, lambda x: F.coalesce(x.isin(*allowed), F.lit(False)))
+    if exclusive is not None:
+        ok = ok & ((F.size(found) == 1) | ~F.array_contains(found, exclusive))
+    return F.coalesce(F.when(v.startswith("["), ok), F.lit(False))
+
+
 def _has(m: Column, k: str) -> Column:
     return F.map_contains_key(m, F.lit(k))
 
@@ -352,6 +354,15 @@ def _kind_domain(kind: Column, v: Column, level: str) -> Column:
             .otherwise(F.lit(False)))
 
 
+def _lists_ok(m: Column, cb: Codebook) -> Column:
+    """Present list labels are inside their domains (true without such dimensions)."""
+    ok = F.lit(True)
+    for d in cb.dimensions:
+        if d.categorical == LABEL_LIST:
+            ok = ok & (~_has(m, d.key) | label_list(_get(m, d.key), d.allowed, d.exclusive))
+    return ok
+
+
 def valid_ungrouped(m: Column, cb: Codebook, strict: bool = True) -> Column:
     """All dimensions present -> strict domains; some present -> check
     only the present ones; none -> invalid. With ``strict`` a present legacy
@@ -359,7 +370,7 @@ def valid_ungrouped(m: Column, cb: Codebook, strict: bool = True) -> Column:
 
     Written over the map entries with a literal key -> label-type map, so the
     domain checks appear once in the plan whatever the codebook size."""
-    kinds = _lit_map({d.key: d.categorical for d in cb.dimensions})
+    kinds = _lit_map({d.key: d.categorical for d in cb.dimensions if d.categorical != LABEL_LIST})
     dims = F.array(*[F.lit(k) for k in cb.keys])
     entries = F.map_entries(m)
     complete = F.size(F.array_except(dims, F.map_keys(m))) == 0
@@ -371,7 +382,7 @@ def valid_ungrouped(m: Column, cb: Codebook, strict: bool = True) -> Column:
     if strict and "china_stance_score" in cb.legacy_keys:
         k = "china_stance_score"
         partial_ok = partial_ok & (~_has(m, k) | _in_range(_get(m, k), -1.0, 1.0))
-    return (F.when(m.isNull(), F.lit(False))
+    return (F.when(m.isNull() | ~_lists_ok(m, cb), F.lit(False))
             .when(complete, F.coalesce(complete_ok, F.lit(False)))
             .when(any_present, F.coalesce(partial_ok, F.lit(False))).otherwise(F.lit(False)))
 
@@ -382,7 +393,9 @@ def valid_group(m: Column, cb: Codebook, group: Group, numeric: bool = False) ->
     for k in group.dims:
         d = cb.dim(k)
         kind = d.numeric if numeric else d.categorical
-        cond = cond & _has(m, k) & _domain(kind, _get(m, k), "group")
+        inside = (label_list(_get(m, k), d.allowed, d.exclusive) if kind == LABEL_LIST
+                  else _domain(kind, _get(m, k), "group"))
+        cond = cond & _has(m, k) & inside
     return F.when(m.isNull(), F.lit(False)).otherwise(cond)
 
 

@@ -1,7 +1,8 @@
 """Parse free-text model answers into validated JSON maps.
 
-``parse_predictions`` is one narrow projection over the predictions table:
-no shuffle, no Python worker. The extraction ladder is
+``parse_predictions`` works in two passes, without a shuffle or Python worker. The first
+pass parses every answer as it is; answers that are one valid object are done
+and never enter a fold. The second pass runs the extraction ladder on the rest:
 
   strict            whole answer (trimmed) -> repair-parse -> standardise -> validate
   codefence_stripped  content of the first ``` fence, same steps
@@ -11,16 +12,28 @@ no shuffle, no Python worker. The extraction ladder is
 
 The rungs are steps of one fold; a later rung is evaluated only for rows on
 which every earlier one failed, so the brace fold runs on the failures only.
+The result is the union of both passes.
+
+``first_pass`` says how the second pass gets its rows. 'table' (default) writes the
+first pass to the shared folder, split by its outcome: the input is computed once, so an answer cannot fall
+between the passes when it is not the same twice (a model's). 'scan' reads
+the input once per pass and writes nothing: for files and other inputs that
+are cheap and the same each time. 'none' runs the ladder on every row; streams use it,
+as a stream cannot be written halfway.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelweave.codebook import Codebook, default_codebook
 from labelweave.functions import jsonfix as J
 from labelweave.functions.text import split_compound_id, strip_ws
+from labelweave.session import checkpoint_dir
 
 RESULT_T = "struct<json:map<string,string>,mode:string>"
 
@@ -104,23 +117,38 @@ def _simple(text: Column, cb: Codebook, check) -> Column:
     return F.when(F.length(strip_ws(text)) > 0, J.let(text, body)).cast(RESULT_T)
 
 
+def clean_json(text: Column, cb: Codebook | None = None, group_mode: str | None = None,
+               numeric: bool = False, strict: bool = True, group_id: Column | None = None) -> Column:
+    """The first pass: the answer's object if the whole answer is one valid object, else null. No repair, no fold."""
+    cb = cb or default_codebook()
+    gid = group_id if group_id is not None else F.lit(None).cast("string")
+    check = J.validator(cb, group_mode, numeric, strict, gid)
+    found = J.let(J.standardize(J.strict_parse(text), cb), lambda m: F.when(
+        F.coalesce(check(m), F.lit(False)), F.struct(J.apply_gates(m, cb).alias("json"), F.lit("strict").alias("mode"))))
+    return found.cast(RESULT_T)
+
+
 _EXPR_CACHE: dict = {}
+_CACHED = 16        # configurations kept; the oldest goes first
 
 
-def _cached_extract(cb: Codebook, group_mode, numeric, strict, strategy) -> Column:
-    """The extraction Column over placeholder columns ``_lw_text`` /
-    ``_lw_gid``, built once per configuration (building it is thousands of
-    JVM calls; the unresolved expression is reusable across DataFrames)."""
-    key = (id(cb), group_mode, numeric, strict, strategy)
+def _cached(what, session, cb: Codebook, *args) -> Column:
+    """The extraction Column over placeholder columns ``_lw_text`` / ``_lw_gid``, built once per
+    session and configuration (building it is thousands of JVM calls; the unresolved
+    expression is reusable across DataFrames)."""
+    key = (what.__name__, id(session), id(cb), args)
     if key not in _EXPR_CACHE:
-        _EXPR_CACHE[key] = (cb, extract_json(F.col("_lw_text"), cb, group_mode, numeric, strict,
-                                             F.col("_lw_gid"), strategy))
-    return _EXPR_CACHE[key][1]
+        while len(_EXPR_CACHE) >= _CACHED:
+            _EXPR_CACHE.pop(next(iter(_EXPR_CACHE)))
+        group_mode, numeric, strict, *strategy = args
+        expr = what(F.col("_lw_text"), cb, group_mode, numeric, strict, F.col("_lw_gid"), *strategy)
+        _EXPR_CACHE[key] = (session, cb, expr)       # held, so that an id is not given anew
+    return _EXPR_CACHE[key][-1]
 
 
 def parse_predictions(raw: DataFrame, cb: Codebook | None = None, group_mode: str | None = None,
                       numeric: bool = False, strict: bool = True, text_col: str = "raw",
-                      id_col: str = "meta_id", strategy: str = "ladder") -> DataFrame:
+                      id_col: str = "meta_id", strategy: str = "ladder", first_pass: str = "table") -> DataFrame:
     """Raw answers -> idx, meta_id, original_meta_id, group_id, parsed,
     raw, json, mode (plus any other input columns, kept as they are).
 
@@ -128,10 +156,12 @@ def parse_predictions(raw: DataFrame, cb: Codebook | None = None, group_mode: st
     where a row carrying ``group_id`` kept the compound id and could not be
     merged); an explicit ``group_id`` column wins over the suffix.
 
-    The parse result passes through a one-row ``explode`` (a Generate node):
+    A parse result passes through a one-row ``explode`` (a Generate node):
     filters on ``parsed`` downstream cannot be pushed below it, so the
     optimizer never duplicates the extraction expression into a filter.
     """
+    if first_pass not in ("table", "scan", "none"):
+        raise ValueError(f"unknown first_pass {first_pass!r}")
     cb = cb or _default()
     cols = raw.columns
     mid = F.col(id_col).cast("string") if id_col in cols else F.col("idx").cast("string")
@@ -141,13 +171,27 @@ def parse_predictions(raw: DataFrame, cb: Codebook | None = None, group_mode: st
           .withColumn("original_meta_id", base)
           .withColumn("group_id", gid))
     keep = [c for c in df.columns if c not in ("parsed", "json", "mode")]
-    res = _cached_extract(cb, group_mode, numeric, strict, strategy)
-    df = df.select(*keep, F.col(text_col).alias("_lw_text"), F.col("group_id").alias("_lw_gid"))
-    df = df.select(*keep, F.explode(F.array(res)).alias("_res"))
-    return df.select(*keep,
-                     F.col("_res").isNotNull().alias("parsed"),
-                     F.col("_res.json").alias("json"),
-                     F.coalesce(F.col("_res.mode"), F.lit("none")).alias("mode"))
+    session = raw.sparkSession
+
+    def parsed_by(rows: DataFrame, what, *args) -> DataFrame:
+        expr = _cached(what, session, cb, group_mode, numeric, strict, *args)
+        rows = rows.select(*keep, F.col(text_col).alias("_lw_text"), F.col("group_id").alias("_lw_gid"))
+        rows = rows.select(*keep, F.explode(F.array(expr)).alias("_res"))
+        return rows.select(*keep, F.col("_res").isNotNull().alias("parsed"), F.col("_res.json").alias("json"),
+                           F.coalesce(F.col("_res.mode"), F.lit("none")).alias("mode"))
+
+    if first_pass == "none" or raw.isStreaming or strategy != "ladder" or text_col not in keep:
+        return parsed_by(df, extract_json, strategy)
+    first = parsed_by(df, clean_json)
+    if first_pass == "table":
+        path = f"{checkpoint_dir(session).rstrip('/')}/parse-{uuid.uuid4().hex}"
+        first.withColumn("_clean", F.col("parsed")).write.partitionBy("_clean").parquet(path)
+        schema = T.StructType([*first.schema.fields, T.StructField("_clean", T.BooleanType())])
+        first = session.read.schema(schema).parquet(path)
+        clean, rest = first.filter("_clean").drop("_clean"), first.filter("NOT _clean").drop("_clean")
+    else:
+        clean, rest = first.filter("parsed"), first.filter("NOT parsed")
+    return clean.unionByName(parsed_by(rest, extract_json, strategy))
 
 
 _DEFAULT_CB: list = []
