@@ -1,8 +1,7 @@
 """Batched model scoring through a pluggable callable (F1).
 
-``score_batches`` runs the model over Arrow batches with ``mapInPandas``:
-concurrency = partitions x executor cores; repartition the records to set
-it. Each row: call, and on failure retry with linear back-off
+``score_batches`` runs the model over Arrow batches with a bounded window of
+calls in flight per task; repartition the records to set the number of tasks. Each row: call, and on failure retry with linear back-off
 (``base_sleep * attempt``); when the answer looks truncated, append a
 re-emit instruction and grow the token budget (``min(int(cur * growth), cap)``);
 after the last attempt the row carries ``<<REQUEST FAILED: ...>>`` instead
@@ -12,14 +11,20 @@ Python on this path.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from labelweave.operators.records import prompt_messages
 
@@ -29,6 +34,8 @@ OUT_SCHEMA = ("idx long, meta_id string, raw string, attempt int, latency_s doub
 # fixed instruction appended before a retry of a truncated answer
 REEMIT = "Your previous answer was cut off. Send only the final minified JSON object again, nothing else."
 
+OUT_ROWS = 256       # answers handed on at a time
+
 ModelFn = Callable[[list[dict], int], tuple[str, str | None]]
 
 
@@ -91,24 +98,54 @@ def _call_one(fn: ModelFn, msgs: list[dict], policy: RetryPolicy, sleep=time.sle
 
 
 def score_batches(records: DataFrame, model_fn: ModelFn, model: str,
-                  policy: RetryPolicy = RetryPolicy()) -> DataFrame:
-    """chat records (idx, meta_id, messages[, group_id]) -> raw answers."""
+                  policy: RetryPolicy = RetryPolicy(), in_flight: int = 1) -> DataFrame:
+    """chat records (idx, meta_id, messages[, group_id]) -> raw answers.
+
+    A task keeps up to ``in_flight`` calls running (in threads: a call waits for
+    its answer, it does not compute). Answers come out in the order of the
+    rows; a further row is only read when the oldest call has ended, so a slow
+    answer holds back the reading and a task never holds more than ``in_flight`` rows
+    besides its batch. Calls at once over the cluster: running tasks x ``in_flight``."""
     prompts = records.select(
         F.col("idx").cast("long").alias("idx"), F.col("meta_id").cast("string").alias("meta_id"),
         (F.col("group_id") if "group_id" in records.columns else F.lit(None).cast("string")).alias("group_id"),
         F.to_json(prompt_messages(F.col("messages"), "drop_last_if_assistant")).alias("prompt"))
+    schema = to_arrow_schema(T.StructType.fromDDL(OUT_SCHEMA))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[dict]:
+            for b in batches:
+                for at in range(0, b.num_rows, OUT_ROWS):
+                    yield from b.slice(at, OUT_ROWS).to_pylist()
+
+        def ask(r: dict) -> tuple:
+            text, att, lat, fr, tr, cur = _call_one(model_fn, json.loads(r["prompt"]) if r["prompt"] else [], policy)
+            return r["idx"], r["meta_id"], text, att, lat, model, fr, tr, cur, r["group_id"]
+
+        for done in itertools.batched(in_order(ask, rows(), in_flight), OUT_ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), schema, strict=True)],
+                                             schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                msgs = json.loads(r.prompt) if r.prompt else []
-                text, att, lat, fr, tr, cur = _call_one(model_fn, msgs, policy)
-                out.append((r.idx, r.meta_id, text, att, lat, model, fr, tr, cur, r.group_id))
-            yield pd.DataFrame(out, columns=["idx", "meta_id", "raw", "attempt", "latency_s", "model",
-                                             "finish_reason", "truncated", "max_tokens_used", "group_id"])
-    return prompts.mapInPandas(run, OUT_SCHEMA)
+    return prompts.mapInArrow(run, OUT_SCHEMA)
+
+
+def in_order(fn: Callable, rows: Iterator, most: int) -> Iterator:
+    """fn(row) of every row, in order, with at most ``most`` running at a time."""
+    if most <= 1:
+        yield from map(fn, rows)
+        return
+    with ThreadPoolExecutor(most) as pool:
+        running: deque = deque()
+        try:
+            for r in rows:
+                if len(running) == most:
+                    yield running.popleft().result()
+                running.append(pool.submit(fn, r))
+            while running:
+                yield running.popleft().result()
+        finally:
+            for f in running:
+                f.cancel()
 
 
 def echo_model(messages: list[dict], max_tokens: int) -> tuple[str, str | None]:

@@ -1,4 +1,5 @@
 """Sources / sinks and the streaming path."""
+import datetime
 import json
 import os
 
@@ -57,28 +58,139 @@ def test_table_sinks(spark, tmpdir_path):
     assert json.loads(row.json) == {"k": "v"}
 
 
-def test_stream_merge_state(spark, tmpdir_path):
+GROUPED = "original_meta_id string, group_id string, idx long, parsed boolean, json map<string,string>, arrived timestamp"
+T0 = datetime.datetime(2024, 1, 1)
+
+
+def _land(spark, path, rows):
+    """Rows (item, group, position, answer, minutes) as one more file of the landing folder."""
+    made = [(i, g, p, a is not None, a, T0 + datetime.timedelta(minutes=m)) for i, g, p, a, m in rows]
+    spark.createDataFrame(made, GROUPED).coalesce(1).write.mode("append").parquet(path)
+
+
+def _merge_once(spark, base, **options):
+    """Drain what has landed; the same checkpoint goes on where the last call ended."""
+    landed = spark.readStream.schema(GROUPED).parquet(f"{base}/landing")
+    merged = ST.merge_stream(landed, group_mode="binary", delay="0 seconds", **options)
+    (merged.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck")
+     .trigger(availableNow=True).start().awaitTermination())
+    return [tuple(r) for r in spark.read.schema(ST.MERGE_OUT).parquet(f"{base}/out").orderBy("meta_id", "as_of", "version").select(
+        "meta_id", "version", "complete", "json").collect()]
+
+
+def test_stream_merge_by_event_time(spark, tmpdir_path):
+    """Complete items as they complete, corrections, partial items on time-out, state that goes, null positions."""
+    a, b = {"china_related": "yes"}, {"hate_speech": "no"}
+    _land(spark, f"{tmpdir_path}/landing", [("1", "china", 1, a, 0), ("1", "content", 2, b, 0), ("2", "china", 3, a, 0),
+                                            ("3", "china", None, {"china_related": "old"}, 0), ("3", "content", None, b, 0), (None, "china", 9, a, 0),
+                                            ("", "china", 9, a, 0), ("4", "china", 4, None, 0)])
+    said = _merge_once(spark, tmpdir_path)
+    assert said == [("1", 1, True, {**a, **b}), ("3", 1, True, {"china_related": "old", **b})]
+    # a later answer corrects, an equal one says nothing, a position beats none
+    _land(spark, f"{tmpdir_path}/landing", [("1", "china", 5, {"china_related": "no"}, 1), ("3", "content", 6, b, 1)])
+    _land(spark, f"{tmpdir_path}/landing", [("3", "china", 0, a, 2)])
+    said = _merge_once(spark, tmpdir_path)
+    assert ("1", 2, True, {"china_related": "no", **b}) in said and ("3", 2, True, {**a, **b}) in said and len(said) == 4
+    # the feed ends: item 2 comes out as it is
+    _land(spark, f"{tmpdir_path}/landing", [(None, None, None, None, 600)])
+    said = _merge_once(spark, tmpdir_path)
+    assert ("2", 1, False, a) in said and len(said) == 5
+    # its state has gone: an answer after the time-out starts anew
+    _land(spark, f"{tmpdir_path}/landing", [("2", "content", 8, b, 601), ("2", "china", 8, a, 601)])
+    said = _merge_once(spark, tmpdir_path)
+    assert said.count(("2", 1, True, {**a, **b})) == 1 and len(said) == 6
+    last = {r.meta_id: r.complete for r in ST.latest_merged(spark.read.schema(ST.MERGE_OUT).parquet(f"{tmpdir_path}/out")).collect()}
+    assert last == {"1": True, "2": True, "3": True}
+
+
+def test_stream_merge_equals_batch_fold(spark, tmpdir_path):
+    """Raw answers landed in three files, parsed and merged by the stream, the feed closed: the batch fold of all items."""
+    from labelweave.operators.merge import merge_groups
     from labelweave.operators.parse import parse_predictions
     landing = os.path.join(tmpdir_path, "landing")
-    raw = S.d_grouped(spark, SF0001)
+    raw = S.d_grouped(spark, SF0001).withColumn("idx", F.when(F.col("idx") % 5 == 0, F.lit(None)).otherwise(F.col("idx")))
     raw.repartition(3).write.json(landing)
+    ST.close_landing(spark, landing, datetime.datetime.now() + datetime.timedelta(days=1))
     parsed = parse_predictions(ST.raw_stream(spark, landing, 1), group_mode="binary")
-    merged = ST.merge_stream(parsed, group_mode="binary", timeout_ms=None)
-    q = (merged.writeStream.format("memory").queryName("lw_merged").outputMode("append")
-         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = spark.table("lw_merged")
-    from labelweave.operators.merge import merge_groups
-    batch = merge_groups(parse_predictions(raw, group_mode="binary"), group_mode="binary").filter("complete")
-    # every item whose groups all arrived is emitted once, complete; items without a
-    # duplicated group answer equal the batch fold (with duplicates the stream emits
-    # as soon as the item is complete, so a later duplicate cannot be folded in)
-    assert got.filter("complete").select("meta_id").distinct().count() == batch.count()
-    assert got.filter("complete").count() == batch.count() and got.filter("NOT complete").count() == 0
-    b = {r.meta_id: dict(r.json) for r in batch.collect()}
-    for r in got.filter("complete").collect():
-        if int(r.meta_id) % 13 != 0:
-            assert json.loads(r.json) == b[r.meta_id]
+    merged = ST.merge_stream(parsed, group_mode="binary")
+    (merged.writeStream.format("parquet").option("path", f"{tmpdir_path}/out").option("checkpointLocation", f"{tmpdir_path}/ck")
+     .trigger(availableNow=True).start().awaitTermination())
+    got = {r.meta_id: (r.complete, list(r.groups_present), r.json) for r in
+           ST.latest_merged(spark.read.schema(ST.MERGE_OUT).parquet(f"{tmpdir_path}/out")).collect()}
+    batch = merge_groups(parse_predictions(raw, group_mode="binary"), group_mode="binary").collect()
+    assert got == {r.meta_id: (r.complete, list(r.groups_present), r.json) for r in batch}
+    assert {c for c, _, _ in got.values()} == {True, False}
+
+
+def test_watch_goes_on_after_a_restart(spark, tmpdir_path):
+    landing, home = f"{tmpdir_path}/landing", f"{tmpdir_path}/watch"
+    land = lambda n: spark.range(n).selectExpr("id AS idx").write.mode("append").json(landing)
+    land(3)
+
+    class Stop(Exception):
+        pass
+
+    def stop(_):
+        raise Stop
+    raw = lambda: ST.raw_stream(spark, landing)
+    with pytest.raises(Stop):       # the driver goes after the first poll
+        ST.watch(raw, home, 10, idle_polls=3, sleep=stop)
+    slept = []
+    rows = ST.watch(raw, home, 10, idle_polls=3, poll_seconds=7, sleep=slept.append).orderBy("poll").collect()
+    assert [(r.poll, r.landed, r.unchanged, r.reason) for r in rows] == [
+        (1, 3, 0, None), (2, 3, 1, None), (3, 3, 2, None), (4, 3, 3, "idle")] and slept == [7, 7, 7]
+    land(7)
+    again = ST.watch(raw, f"{tmpdir_path}/watch2", 10, idle_polls=3, sleep=stop).collect()
+    assert [(r.landed, r.reason, r.progress_pct) for r in again] == [(10, "expected", 100.0)]
+
+
+def test_calls_in_flight(spark):
+    """Calls of a task overlap, answers keep the order of the rows, retries work in the threads."""
+    import threading
+    import time
+
+    from labelweave.operators import infer as INF
+    seen, busy, most = [], [0], [0]
+    lock = threading.Lock()
+
+    def slow(x):
+        with lock:
+            busy[0] += 1
+            most[0] = max(most[0], busy[0])
+        time.sleep(0.02 if x % 7 else 0.1)
+        with lock:
+            busy[0] -= 1
+        return x
+
+    def rows():
+        for k in range(60):
+            seen.append(k)
+            yield k
+    began = time.time()
+    out = []
+    for x in INF.in_order(slow, rows(), 8):
+        out.append(x)
+        assert len(seen) <= x + 9               # reading waits for the oldest call
+    assert out == list(range(60)) and 2 <= most[0] <= 8 and time.time() - began < 60 * 0.02
+    with pytest.raises(ZeroDivisionError):
+        list(INF.in_order(lambda x: 1 // (x - 3), iter(range(9)), 4))
+
+    def model(messages, max_tokens):
+        import time
+        n = int(messages[0]["content"])
+        time.sleep(0.05)
+        if n % 4 == 0 and len(messages) == 1:
+            return '{"a":', "length"            # cut: asked again with more room
+        if n % 5 == 0:
+            raise RuntimeError("down")
+        return f'{{"a":{n}}}', "stop"
+    recs = spark.range(0, 40, 1, 2).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("meta_id"), F.array(F.struct(
+        F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("messages"))
+    policy = INF.RetryPolicy(retries=2, base_sleep=0.0)
+    plain = INF.score_batches(recs, model, "m", policy).drop("latency_s").collect()
+    threads = INF.score_batches(recs, model, "m", policy, in_flight=10).drop("latency_s").collect()
+    assert threads == plain and [r.idx for r in threads] == list(range(40))
+    assert {r.attempt for r in threads} == {1, 2} and sum("FAILED" in r.raw for r in threads) == 8
 
 
 def test_progress_query(spark, tmpdir_path):
@@ -144,3 +256,34 @@ def test_jsonl_one_object_per_line(spark, tmpdir_path):
     good, bad = IO.read_jsonl_parts(spark, p, "idx long, s string")
     assert sorted(r["idx"] for r in good.collect()) == [0, 9]
     assert sorted(r["line"] for r in bad.collect()) == sorted(bad_lines)
+
+
+def test_line_numbers_across_file_parts(spark, tmpdir_path):
+    """A file that many tasks read, two files, blank lines: every bad line has its number in its file."""
+    want = set()
+    for name, n in (("a", 400), ("b", 57)):
+        with open(os.path.join(tmpdir_path, f"{name}.jsonl"), "w") as f:
+            for k in range(1, n + 1):
+                bad = k % 13 == 5
+                f.write("" if k % 11 == 0 and not bad else f'{{"idx":{k},"s":"{"x" * (k % 50)}"' + ("" if bad else "}"))
+                f.write("\n")
+                if bad:
+                    want.add((f"{name}.jsonl", k))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        good, bad = IO.read_jsonl_parts(spark, tmpdir_path, "idx long, s string")
+        assert good.rdd.getNumPartitions() > 10
+        assert {(os.path.basename(r.file), r.line_no) for r in bad.collect()} == want
+        with pytest.raises(IO.JsonlError, match=r"jsonl:\d+: "):
+            IO.read_jsonl(spark, tmpdir_path, "idx long, s string")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_jsonl_fields_of_another_type(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "t.jsonl")
+    with open(p, "w") as f:
+        f.write('{"idx":"abc","s":"x"}\n{"idx":4,"s":[1,{"a":2}]}\n{"s":"y","idx":5,"more":1}\n')
+    good, bad = IO.read_jsonl_parts(spark, p, "idx long, s string")
+    assert [tuple(r) for r in good.collect()] == [(None, "x"), (4, '[1,{"a":2}]'), (5, "y")] and bad.count() == 0
