@@ -11,12 +11,16 @@ Shuffle plan of ``merge_groups``:
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.codebook import Codebook, default_codebook
 from labelweave.functions.text import meta_id_str, norm_columns, resolve_column, ID_CANDIDATES
+from labelweave.operators.records import merged_output_path
 from labelweave.session import checkpoint_dir
+from labelweave.sources.files import MERGED_SCHEMA, read_jsonl, write_jsonl, write_table
 
 
 def position(pos_col: str, row) -> Column:
@@ -116,6 +120,22 @@ def join_predictions(source: DataFrame, preds: DataFrame, keys: list[str] | None
                     F.col("_pid").isNotNull().alias("pred_parsed"), *extra)
 
 
+def write_merged(merged: DataFrame, path: str, original: DataFrame | None = None) -> list[str]:
+    """The merged records as JSON lines at ``path``; or, with an ``original`` table, that table with the
+    predictions as CSV or Parquet at ``path``, and the merged records kept beside it. Returns the paths written."""
+    ext = os.path.splitext(path.rstrip("/"))[1].lower()
+    if original is None:
+        write_jsonl(merged, path)
+        return [path]
+    if ext not in (".csv", ".parquet"):
+        raise ValueError("with an original table the output must be .csv or .parquet")
+    kept = merged_output_path(os.path.splitext(path.rstrip("/"))[0] + ".jsonl")
+    write_jsonl(merged, kept)
+    back = read_jsonl(merged.sparkSession, kept, MERGED_SCHEMA, strict=False)
+    write_table(join_predictions(original, back), path)
+    return [path, kept]
+
+
 def match_rate(joined: DataFrame) -> DataFrame:
     """Matched / rows; null on an empty table."""
     return joined.agg(F.count(F.lit(1)).alias("rows"),

@@ -16,6 +16,10 @@ Scale notes:
 
 from __future__ import annotations
 
+import uuid
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +28,7 @@ from labelweave.codebook import Codebook, Group, default_codebook, standard_code
 from labelweave.functions.text import (ID_CANDIDATES, clamp11, compute_once, labelize, meta_id_str,
                                        norm_columns, resolve_column, resolve_text_columns, safe_text,
                                        user_text, valid_stripped_text)
+from labelweave.session import checkpoint_dir
 
 MESSAGE_T = T.StructType([T.StructField("role", T.StringType()),
                           T.StructField("content", T.StringType())])
@@ -112,12 +117,13 @@ def standard_gold_json(df: DataFrame, yn_thresh: float = 0.5) -> Column:
     return F.when(stance.isNotNull(), F.to_json(F.struct(*fields)))
 
 
-def comprehensive_gold(cb: Codebook) -> Column:
-    """Every dimension from its source column (stripped string; null -> '')."""
+def comprehensive_gold(cb: Codebook, columns: list[str]) -> Column:
+    """Every dimension from its source column (stripped string; null or no such column -> '')."""
     ks, vs = [], []
     for d in cb.dimensions:
         ks.append(F.lit(d.key))
-        vs.append(safe_text(F.col(d.source_column or d.key)))
+        source = d.source_column or d.key
+        vs.append(safe_text(F.col(source)) if source in columns else F.lit(""))
     return F.map_from_arrays(F.array(*ks), F.array(*vs))
 
 
@@ -128,19 +134,26 @@ def gold_json_ordered(m: Column, keys: list[str]) -> Column:
 
 # --- frames (S11, P21, P22, JN4) ------------------------------------------------------
 
-def read_frames(spark, frames_dir: str) -> DataFrame:
-    """frame_<n>.jpg files under <dir>/<item id>/, as (item_id, n, content)."""
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", "frame_*.jpg")
+def read_frames(spark, frames_dir: str, glob: str = "frame_*.jpg", item_re: str = r"([^/]+)/frame_[^/]*$",
+                n_re: str = r"frame_([0-9]+)\.jpg$") -> DataFrame:
+    """frame_<n>.jpg files under <dir>/<item id>/, as (item_id, n, content); for another layout give
+    the files' pattern and where item and number stand in a path."""
+    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", "true").load(frames_dir))
     return df.select(
-        F.regexp_extract("path", r"([^/]+)/frame_[^/]*$", 1).alias("item_id"),
-        F.regexp_extract("path", r"frame_([0-9]+)\.jpg$", 1).cast("int").alias("n"),
+        F.regexp_extract("path", item_re, 1).alias("item_id"),
+        F.regexp_extract("path", n_re, 1).cast("int").alias("n"),
         "content")
 
 
-def frame_parts(frames: DataFrame) -> DataFrame:
+def frame_parts(frames: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """P22 + S11: per item, image parts as base64 data URLs in numeric frame
-    order. One row per item; the list is bounded by the frames of an item."""
+    order. One row per item; the list is bounded by the frames of an item.
+    With ``items`` (a column of ids) frames of other items go before anything is
+    encoded or grouped."""
+    if items is not None:
+        ids = items.select(F.col(items.columns[0]).alias("item_id")).distinct()
+        frames = frames.join(ids, "item_id", "left_semi")
     url = F.concat(F.lit("data:image/jpeg;base64,"), F.base64("content"))
     part = F.struct(F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"),
                     F.struct(url.alias("url")).alias("image_url"))
@@ -155,14 +168,17 @@ def frame_parts(frames: DataFrame) -> DataFrame:
 def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: bool = False,
                   group_mode: str = "single", label_mode: bool = True, numeric: bool = False,
                   yn_thresh: float = 0.5, min_text_len: int = 10, strip_meta_id: bool = False,
-                  frames: DataFrame | None = None, with_reasons: bool = False):
+                  frames: DataFrame | None = None, with_reasons: bool = False, with_merged: bool = False):
     """Source table -> chat records.
 
     Output columns: meta_id, group_id, original_meta_id, messages
     (array<struct<role, content>>) and, when frames are given, ``parts``
     (array of image/text parts; ``content`` then holds the text only).
     With ``with_reasons`` returns (records, rejects) where rejects has
-    (meta_id, reason) for the filter accounting (P44).
+    (meta_id, reason) for the filter accounting (P44). With ``with_merged`` (P30) a grouped
+    build also makes the ungrouped record of each item, in the same pass over the source; a
+    column ``kind`` tells 'grouped' from 'merged' (``write_both`` writes them apart).
+    Optional label columns that are missing give a warning and empty gold (P3).
     """
     cb = cb or default_codebook()
     spark = df.sparkSession
@@ -170,11 +186,14 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
     id_col = resolve_column(df.columns, ID_CANDIDATES)
     tc = resolve_text_columns(df.columns)
     if label_mode:
-        need = ([d.source_column for d in cb.dimensions] if comprehensive
+        need = ([d.source_column or d.key for d in cb.dimensions if d.required] if comprehensive
                 else ["china_stance_score", "sensitive"])
         missing = [c for c in need if c not in df.columns]
         if missing:
             raise ValueError(f"missing label columns {missing}")
+        soft = [d.source_column or d.key for d in cb.dimensions if not d.required] if comprehensive else []
+        if absent := [c for c in soft if c not in df.columns]:
+            warnings.warn(f"missing optional label columns {absent}: their gold is empty", stacklevel=2)
     if group_mode != "single" and not comprehensive:
         group_mode = "single"
     mid = meta_id_str(F.col(id_col))
@@ -182,7 +201,7 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
                         for k in ("transcript", "description", "embedded_text")))
     derived = {"meta_id": mid, "user_text": utext}
     if label_mode:
-        derived["gold"] = comprehensive_gold(cb) if comprehensive else standard_gold(df, yn_thresh)
+        derived["gold"] = comprehensive_gold(cb, df.columns) if comprehensive else standard_gold(df, yn_thresh)
     base = compute_once(df, **derived)
     # user_text is stripped by construction, so the P11 check needs no second strip
     reason = (F.when(F.col("meta_id") == "", F.lit("empty_id"))
@@ -195,19 +214,20 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
     kept = kept.select(*keep_cols)
 
     if frames is not None:                    # JN4 after the text filter
-        kept = kept.join(frame_parts(frames), kept.meta_id == F.col("item_id"), "left").drop("item_id")
+        kept = kept.join(frame_parts(frames, kept.select("meta_id")), kept.meta_id == F.col("item_id"), "left").drop("item_id")
 
     pcb = cb if comprehensive else standard_codebook()
-    groups = pcb.group_configs(group_mode if comprehensive else "single")
-    prompts = prompts_df(spark, pcb, group_mode if comprehensive else "single", numeric,
-                         "The item comes with video frames; use them with the text."
-                         if frames is not None else None)
-    if comprehensive and group_mode != "single":
-        gids = F.array(*[F.lit(g.group_id) for g in groups])
-        fan = kept.withColumn("group_id", F.explode(gids))           # JN6 as a generator
-    else:
-        fan = kept.withColumn("group_id", F.lit(groups[0].group_id))
-    fan = fan.join(F.broadcast(prompts), "group_id")
+    grouped = comprehensive and group_mode != "single"
+    kinds = {"grouped": group_mode} if grouped else {}
+    if not grouped or with_merged:
+        kinds["merged"] = "single"
+    vision = "The item comes with video frames; use them with the text." if frames is not None else None
+    prompts = reduce(DataFrame.unionByName, [prompts_df(spark, pcb, mode, numeric, vision).withColumn("kind", F.lit(kind))
+                                             for kind, mode in kinds.items()])
+    outputs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(g.group_id).alias("group_id"))
+                        for kind, mode in kinds.items() for g in pcb.group_configs(mode)])
+    fan = kept.select("*", F.inline(outputs))                        # JN6 as a generator
+    fan = fan.join(F.broadcast(prompts), ["kind", "group_id"])
     user = F.struct(F.lit("user").alias("role"), F.col("user_text").alias("content"))
     msgs = [F.struct(F.lit("system").alias("role"), F.col("system").alias("content")), user]
     if label_mode:
@@ -218,14 +238,13 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
             gj = _std_json(F.col("gold"))
         msgs.append(F.struct(F.lit("assistant").alias("role"), gj.alias("content")))
     out = fan.select(
-        F.when(F.lit(comprehensive and group_mode != "single"),
-               F.concat(F.col("meta_id"), F.lit("__group_"), F.col("group_id")))
+        F.when(F.col("kind") == "grouped", F.concat(F.col("meta_id"), F.lit("__group_"), F.col("group_id")))
          .otherwise(F.col("meta_id")).alias("record_id"),
         F.col("meta_id").alias("original_meta_id"),
-        F.when(F.lit(comprehensive and group_mode != "single"), F.col("group_id")).alias("group_id"),
+        F.when(F.col("kind") == "grouped", F.col("group_id")).alias("group_id"),
         F.array(*msgs).alias("messages"),
         *([F.col("images")] if frames is not None else []),
-        F.col("group_pos"))
+        F.col("group_pos"), *([F.col("kind")] if with_merged else []))
     if frames is not None:                    # P21: images first, then the text part
         text_part = F.struct(F.lit("text").alias("type"), F.col("messages")[1]["content"].alias("text"),
                              F.lit(None).cast("struct<url:string>").alias("image_url"))
@@ -233,7 +252,7 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
                                              F.concat("images", F.array(text_part)))).drop("images")
     out = out.withColumnRenamed("record_id", "meta_id")
     if strip_meta_id:
-        out = out.select("messages", *(["parts"] if frames is not None else []))
+        out = out.select("messages", *(["parts"] if frames is not None else []), *(["kind"] if with_merged else []))
     if with_reasons:
         rejects = tagged.filter(F.col("reject_reason").isNotNull()).select("meta_id", "reject_reason")
         return out, rejects
@@ -248,6 +267,15 @@ def _std_json(gold: Column) -> Column:
         F.try_element_at(gold, F.lit("collective_action")).alias("collective_action")))
 
 
+def write_both(records: DataFrame, path: str) -> None:
+    """Records of both kinds in one job, each in the folder ``kind=<kind>`` under ``path``, as JSON lines."""
+    from labelweave.operators.content import record_json, union_messages
+
+    rows = union_messages(records)
+    line = record_json(rows.drop("kind"))
+    rows.select(line.alias("value"), "kind").write.mode("overwrite").partitionBy("kind").text(path)
+
+
 def merged_output_path(path: str) -> str:
     """P30: '<stem>_merged<suffix>' beside the grouped output."""
     import os
@@ -303,26 +331,48 @@ def sanitize_records(df: DataFrame) -> DataFrame:
     return df.select(*keep)
 
 
+TOP_ROWS = 10_000       # up to this many leading rows are taken as a top-k, without a shuffle of the table
+
+
 def skip_limit(df: DataFrame, skip: int = 0, limit: int | None = None, pos_col: str = "idx") -> DataFrame:
     """Rows by file position: skip the first ``skip``, keep ``limit``.
     Positions are an explicit column (never partition order), null ones first; rows
-    of the same position go by their JSON text, and of identical rows the number
-    counts. Skipping past the end is an error (one scalar count)."""
-    if skip:
-        n = df.count()
-        if skip >= n:
+    of the same position go by the start of their JSON text and then by its hash, and of
+    identical rows the number counts. Skipping past the end is an error.
+
+    A few leading rows are a top-k. Otherwise the rows are dealt by ranges of their
+    order (a crowded position is split by the start of the text) and written once; the counts of the
+    ranges, one number a task, tell in which range a rank lies, and the rows kept are a range of row numbers. No task
+    gets more than its range, however many rows are skipped."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    text = F.to_json(F.struct(*cols))
+    rows = df.select(F.struct(*cols).alias("_r"), F.struct(
+        F.col(f"`{pos_col}`").alias("p"), F.substring(text, 1, 64).alias("t"), F.xxhash64(text).alias("h")).alias("_key"))
+    if limit is not None and skip + limit <= TOP_ROWS:
+        if skip and skip >= (n := df.limit(skip + 1).count()):
             raise ValueError(f"skip={skip} but only {n} records")
-    cols = df.columns
-    key = F.struct(F.col(pos_col).alias("p"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("t"))
-    ranked = df.withColumn("_key", key)
-    if limit is not None:                     # positions may have gaps: count rows, not values
-        ranked = ranked.orderBy("_key").limit(skip + limit)
-    if skip:                                  # all before the last skipped row go, and as many of its like as were skipped
-        edge = (ranked.orderBy("_key").limit(skip).groupBy(F.col("_key").alias("_last"))
-                .agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_last")).limit(1))
-        ranked = ranked.join(F.broadcast(edge), F.col("_key") >= F.col("_last"))
-        like = Window.partitionBy("_last").orderBy("_key")
-        ranked = ranked.filter("_key > _last").unionByName(
-            ranked.filter("NOT (_key > _last)").withColumn("_rn", F.row_number().over(like))
-            .filter("_rn > _n").drop("_rn"))
-    return ranked.select(*[F.col(f"`{c}`") for c in cols])
+        top = rows.orderBy("_key").limit(skip + limit)
+        ranked = top.withColumn("_n", F.row_number().over(Window.orderBy("_key")))      # at most TOP_ROWS rows
+        return ranked.filter(F.col("_n") > skip).select("_r.*")
+    if not skip and limit is None:
+        return df
+    dealt = rows.repartitionByRange("_key", F.monotonically_increasing_id()).sortWithinPartitions("_key")
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/skip-{uuid.uuid4().hex}"
+    dealt.select("_r", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_nr")).write.parquet(path)
+    held = df.sparkSession.read.parquet(path)
+    parts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_nr").alias("first")).orderBy("_part").collect()
+    total = sum(r["n"] for r in parts)
+    if skip and skip >= total:
+        raise ValueError(f"skip={skip} but only {total} records")
+
+    def number_of(rank: int) -> int | None:
+        """Row number of the row with ``rank`` rows before it; None past the end."""
+        for r in parts:
+            if rank < r["n"]:
+                return r["first"] + rank
+            rank -= r["n"]
+        return None
+
+    start, stop = number_of(skip), None if limit is None else number_of(skip + limit)
+    kept = held.filter(F.col("_nr") >= start)
+    return (kept if stop is None else kept.filter(F.col("_nr") < stop)).select("_r.*")

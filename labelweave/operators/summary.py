@@ -11,6 +11,26 @@ from labelweave.session import checkpoint_dir
 
 NEUTRAL_BAND = 0.1
 
+# FIXED VALUES — the blocks of the wide comparison: (json key, short name, kind), in column order.
+STANDARD_FIELDS = [
+    ("china_stance_score", "stance", "float"),
+    ("china_sensitive", "sensitive", "yn"),
+    ("collective_action", "collective", "yn"),
+]
+COMPREHENSIVE_FIELDS = [
+    ("china_related", "china_related", "yn"),
+    ("china_ccp_government", "stance_gov", "stance"),
+    ("china_people_culture", "stance_culture", "stance"),
+    ("china_technology_development", "stance_tech", "stance"),
+    ("china_sensitive", "sensitive", "yn"),
+    ("collective_action", "collective", "yn"),
+    ("hate_speech", "hate", "yn"),
+    ("harmful_content", "harmful", "yn"),
+    ("news_segments", "news", "yn"),
+    ("inauthentic_content", "inauthentic", "yn"),
+    ("derivative_content", "derivative", "yn"),
+]
+
 
 def final_summary(joined: DataFrame, score_col: str = "pred_china_stance_score") -> DataFrame:
     """Total rows, rows with a prediction (and %), score count / mean /
@@ -58,13 +78,12 @@ def compare_wide(gold: DataFrame, preds: DataFrame, models: list[str], key: str
     join pivoted on the model (model list given, so no extra job), keyed on
     ``meta_id`` (default) or file position ``idx``.
 
-    ``fields``: (json key, short name, kind) with kind 'float' | 'yn' | 'stance'.
+    ``fields``: (json key, short name, kind) with kind 'float' | 'yn' | 'stance'; ``STANDARD_FIELDS``
+    (default) or ``COMPREHENSIVE_FIELDS`` for the 11 dimensions.
     """
     from labelweave.operators.merge import last_wins
     from labelweave.operators.scoring import latest_predictions
-    fields = fields or [("china_stance_score", "stance", "float"),
-                        ("china_sensitive", "sensitive", "yn"),
-                        ("collective_action", "collective", "yn")]
+    fields = fields or STANDARD_FIELDS
 
     def norm(v, kind):
         if kind == "float":

@@ -437,7 +437,8 @@ def q_bootstrap_ci(spark, sf):
 
 import hashlib  # noqa: E402
 
-from labelweave.codebook import default_codebook, standard_codebook  # noqa: E402
+from labelweave.codebook import default_codebook  # noqa: E402
+from labelweave.plans import prompt_texts as PT  # noqa: E402
 from labelweave.operators import usage as US  # noqa: E402
 from labelweave.operators import summary as SM  # noqa: E402
 from labelweave.functions.text import looks_truncated  # noqa: E402
@@ -459,7 +460,7 @@ def _sql_user_text(t: str, d: str) -> str:
             f"CASE WHEN {dd} <> '' THEN 'DESCRIPTION:' || {NL} || {dd} END)")
 
 
-_STD_SYSTEM_MD5 = _md5(RC.group_prompt(standard_codebook(), standard_codebook().group_configs("single")[0]))
+_STD_SYSTEM_MD5 = _md5(PT.STANDARD)
 
 
 @register("records_standard", with_views(["d_labels"], f"""
@@ -491,7 +492,7 @@ def _grouped_records_sql() -> str:
             parts.append(("'{' || " if i == 0 else "',' || ") + f"'\"{k}\":\"' || {_sql_strip('g.' + src[k])} || '\"' || ")
         js = "".join(parts) + "'}'"
         rows.append(f"SELECT g.meta_id || '__group_{g.group_id}' AS meta_id, '{g.group_id}' AS group_id, "
-                    f"g.meta_id AS original_meta_id, '{_md5(RC.group_prompt(cb, g))}' AS system_md5, "
+                    f"g.meta_id AS original_meta_id, '{_md5(PT.BY_CATEGORY[g.group_id])}' AS system_md5, "
                     f"{js} AS gold_json FROM comp_gold g")
     return with_views(["comp_gold"], "\nUNION ALL\n".join(rows))
 
@@ -506,12 +507,18 @@ def q_records_grouped(spark, sf):
 
 
 @register("records_rejects", with_views(["d_labels"], """
-SELECT 'invalid_stance' AS reject_reason, CAST(count(*) AS BIGINT) AS n
-FROM d_labels l JOIN documents d ON l.doc_id = d.doc_id
-WHERE l.china_stance_score IS NULL"""))
+SELECT reject_reason, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN l.doc_id % 23 = 0 THEN 'empty_id' WHEN l.doc_id % 17 = 0 THEN 'short_text'
+              WHEN l.china_stance_score IS NULL THEN 'invalid_stance' END AS reject_reason
+  FROM d_labels l JOIN documents d ON l.doc_id = d.doc_id) WHERE reject_reason IS NOT NULL GROUP BY 1"""))
 def q_records_rejects(spark, sf):
-    """Filter accounting of the record build (rows dropped, by reason)."""
-    _, rej = RC.build_records(S.d_items(spark, sf), with_reasons=True)
+    """Filter accounting of the record build (rows dropped, by reason); some items have no id or no text."""
+    n = F.col("id").cast("long")
+    items = S.d_items(spark, sf).select(
+        F.when(n % 23 == 0, F.lit(" ")).otherwise(F.col("id")).alias("id"), "china_stance_score", "sensitive", "collective_action",
+        F.when(n % 17 == 0, F.lit(" \n ")).otherwise(F.col("transcript")).alias("transcript"),
+        F.when(n % 17 == 0, F.lit(None)).otherwise(F.col("description")).alias("description"))
+    _, rej = RC.build_records(items, with_reasons=True)
     return rej.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -928,31 +935,39 @@ def q_value_rules(spark, sf):
 
 
 @register("gold_checks", with_views(["std_gold"], """
-SELECT 'standard' AS format, CAST(0 AS BIGINT) AS n_missing, CAST(count(DISTINCT g_stance) AS BIGINT) AS n_values,
-       count(DISTINCT g_stance) = 1 AS constant FROM std_gold"""))
+SELECT 'standard' AS format, CAST(count(*) FILTER (meta_id::BIGINT % 7 = 2) AS BIGINT) AS n_missing,
+       CAST(count(DISTINCT g_stance) AS BIGINT) AS n_values, count(DISTINCT g_stance) = 1 AS constant,
+       true AS same_constant FROM std_gold"""))
 def q_gold_checks(spark, sf):
-    """Format of the gold records, records without a required key, constant gold."""
+    """Format of the gold records, records without a required key, constant gold (stance is not, a fixed value is)."""
     gold = _val_gold(spark, sf)
     fmt = SC.detect_format(gold)
-    missing = SC.missing_gold_keys(gold, fmt).count()
+    cut = F.when(F.col("meta_id").cast("long") % 7 == 2, F.map_filter("gold", lambda k, v: k != "china_sensitive")).otherwise(F.col("gold"))
+    missing = SC.missing_gold_keys(gold.withColumn("gold", cut), fmt).count()
     values = SC.constant_gold(gold.select(TX.clamp11(F.try_element_at("gold", F.lit("china_stance_score"))).alias("s")), "s")
-    return values.select(F.lit(fmt).alias("format"), F.lit(missing).cast("bigint").alias("n_missing"), "n_values", "constant")
+    same = SC.constant_gold(gold.select(F.lit("no").alias("s")), "s").first()["constant"]
+    return values.select(F.lit(fmt).alias("format"), F.lit(missing).cast("bigint").alias("n_missing"), "n_values", "constant",
+                         F.lit(same).alias("same_constant"))
 
 
 @register("jsonl_parts", """
-SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 3) THEN NULL ELSE quality END AS quality, doc_id % 7 IN (1, 2, 3) AS bad FROM labels""")
+SELECT doc_id, CASE WHEN doc_id % 7 IN (1, 2, 3) THEN NULL ELSE quality END AS quality, doc_id % 7 IN (1, 2, 3) AS bad,
+       CASE WHEN doc_id % 7 IN (1, 2, 3) THEN row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) END AS line_no
+FROM labels""")
 def q_jsonl_parts(spark, sf):
-    """JSON lines with cut lines, trailing text and two objects in a line; bad lines are kept apart."""
+    """JSON lines with cut lines, trailing text and two objects in a line; bad lines are kept apart, with file and line number."""
     path = _fresh(spark, "jsonl")
     good = F.format_string('{"doc_id":%d,"quality":%d,"tags":["a]","}"]}', "doc_id", "quality")
     k = F.col("doc_id") % 7
     line = (F.when(k == 1, F.concat(good, F.lit(" garbage"))).when(k == 2, F.concat(good, good))
             .when(k == 3, F.substring(good, 1, 18)).otherwise(good))
-    S.table(spark, sf, "labels").select(line.alias("value")).write.text(path)
+    rows = S.table(spark, sf, "labels").withColumn("file", F.col("doc_id") % 3)
+    rows = rows.repartition("file").sortWithinPartitions("file", "doc_id")       # a file's lines in the order of the ids
+    rows.select(line.alias("value"), "file").write.partitionBy("file").text(path)
     rows, bad = IO.read_jsonl_parts(spark, path)
     left = bad.select(F.regexp_extract("line", '^."doc_id":([0-9]+)', 1).cast("long").alias("doc_id"),
-                      F.lit(None).cast("long").alias("quality"), F.lit(True).alias("bad"))
-    return rows.select("doc_id", "quality", F.lit(False).alias("bad")).unionByName(left)
+                      F.lit(None).cast("long").alias("quality"), F.lit(True).alias("bad"), F.col("line_no").cast("long"))
+    return rows.select("doc_id", "quality", F.lit(False).alias("bad"), F.lit(None).cast("long").alias("line_no")).unionByName(left)
 
 
 @register("csv_parts", """
@@ -969,24 +984,56 @@ def q_csv_parts(spark, sf):
 
 
 @register("stream_merge", with_views(["grouped_expect"], """
-SELECT meta_id, true AS complete, 'china,content' AS groups_present, related, sensitive, collective, hate
-FROM grouped_expect WHERE has_content"""))
+SELECT meta_id, has_content AS complete, CASE WHEN has_content THEN 'china,content' ELSE 'china' END AS groups_present,
+       CASE WHEN has_content THEN '' ELSE 'content' END AS missing_groups, related, sensitive, collective, hate
+FROM grouped_expect"""))
 def q_stream_merge(spark, sf):
-    """ST3: answers per group merged by a stateful stream; an item comes out once, when its last group arrives."""
+    """ST3: answers per group merged by a stateful stream; complete items as they complete, partial ones on time-out,
+    corrections for later answers. The feed is closed after the last answer."""
     base = _fresh(spark, "merge")
-    PA.parse_predictions(S.d_grouped(spark, sf), group_mode="binary").select(
-        "original_meta_id", "group_id", "idx", "parsed", "json").write.parquet(f"{base}/landing")
-    landed = spark.readStream.schema(spark.read.parquet(f"{base}/landing").schema).parquet(f"{base}/landing")
-    merged = ST.merge_stream(landed, group_mode="binary", timeout_ms=None)
+    start = F.timestamp_seconds(F.lit(1_700_000_000))
+    rows = PA.parse_predictions(S.d_grouped(spark, sf), group_mode="binary").select(
+        "original_meta_id", "group_id", "idx", "parsed", "json", start.alias("arrived"))
+    rows.write.parquet(f"{base}/landing")
+    close = spark.createDataFrame([(None,) * 5], "original_meta_id string, group_id string, idx long, parsed boolean, json map<string,string>")
+    close.select("*", F.timestamp_seconds(F.lit(1_700_100_000)).alias("arrived")).write.mode("append").parquet(f"{base}/landing")
+    landed = spark.readStream.schema(rows.schema).parquet(f"{base}/landing")
+    merged = ST.merge_stream(landed, group_mode="binary")
     (merged.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
      .trigger(availableNow=True).start().awaitTermination())
-    j = F.from_json("json", "map<string,string>")
-    g = lambda k: F.try_element_at(j, F.lit(k))
-    return spark.read.schema(ST.MERGE_OUT).parquet(f"{base}/out").select(
-        "meta_id", "complete", "groups_present", g("china_related").alias("related"),
+    g = lambda k: F.try_element_at("json", F.lit(k))
+    return ST.latest_merged(spark.read.schema(ST.MERGE_OUT).parquet(f"{base}/out")).select(
+        "meta_id", "complete", F.array_join("groups_present", ",").alias("groups_present"),
+        F.array_join("missing_groups", ",").alias("missing_groups"), g("china_related").alias("related"),
         g("china_sensitive").alias("sensitive"), g("collective_action").alias("collective"), g("hate_speech").alias("hate"))
 
 
+@register("stream_watch", """
+SELECT rule, CAST(poll AS INTEGER) AS poll, CAST(CASE WHEN poll = 1 THEN n ELSE 2 * n END AS BIGINT) AS landed,
+       CAST(unchanged AS INTEGER) AS unchanged, reason
+FROM (SELECT count(*) AS n FROM labels), (VALUES
+  ('expected', 1, 0, NULL), ('expected', 2, 0, 'expected'),
+  ('idle', 1, 0, NULL), ('idle', 2, 0, NULL), ('idle', 3, 1, NULL), ('idle', 4, 2, 'idle')) t(rule, poll, unchanged, reason)""")
+def q_stream_watch(spark, sf):
+    """ST1: a watch that ends when all answers have landed, and one that ends when two polls in a row bring none;
+    the second model's answers land between the first two polls."""
+    n = S.table(spark, sf, "labels").count()
+    raw = S.d_raw(spark, sf)
+    out = []
+    for rule, expected in (("expected", 2 * n), ("idle", 2 * n + 1)):
+        base = _fresh(spark, "watch")
+        raw.filter(F.col("model") == MODELS[0]).write.json(f"{base}/landing")
+
+        def land(_seconds, base=base, done=[]):  # noqa: B006
+            if base not in done:
+                done.append(base)
+                raw.filter(F.col("model") == MODELS[1]).write.mode("append").json(f"{base}/landing")
+
+        polls = ST.watch(lambda base=base: ST.raw_stream(spark, f"{base}/landing"), f"{base}/watch", expected, idle_polls=2, sleep=land)
+        out.append(polls.select(F.lit(rule).alias("rule"), "poll", "landed", "unchanged", "reason"))
+    return out[0].unionByName(out[1])
+
+
 @register("stream_progress", """
 SELECT CAST(2 * count(*) AS BIGINT) AS landed, CAST(4 * count(*) AS BIGINT) AS expected, 50.0::DOUBLE AS progress_pct, false AS done
 FROM labels""")
@@ -1005,3 +1052,6 @@ def q_stream_progress(spark, sf):
     out = spark.read.parquet(f"{base}/out")
     return out.agg(F.max_by(F.struct("landed", "expected", "progress_pct", "done"), "batch_id").alias("r")).select(
         "r.landed", F.col("r.expected").cast("bigint").alias("expected"), "r.progress_pct", "r.done")
+
+
+from labelweave.plans import feature_queries  # noqa: E402, F401  (registers)

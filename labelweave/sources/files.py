@@ -10,12 +10,12 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.functions.jsonfix import strict_parse
-from labelweave.functions.text import norm_columns
+from labelweave.functions.jsonfix import JSON_OPTS
+from labelweave.functions.text import norm_columns, strip_ws
 
 RAW_SCHEMA = T.StructType([
     T.StructField("idx", T.LongType()), T.StructField("meta_id", T.StringType()),
@@ -51,33 +51,61 @@ class JsonlError(ValueError):
 
 
 def _json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines without U+2028/U+2029, with their file."""
-    txt = spark.read.text(path).select(
-        F.input_file_name().alias("_file"),
+    """Lines without U+2028/U+2029, with their file, the file part they were read from and a number that
+    counts up inside the part."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"),
+        F.monotonically_increasing_id().alias("_nr"),
         F.regexp_replace(F.col("value"), "[\u2028\u2029]", "").alias("_line"))
-    return txt.filter(F.regexp_replace("_line", r"[\r\n]+$", "") != "")
 
 
-def read_jsonl_parts(spark: SparkSession, path: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records, bad lines with their file). A line is good if it is exactly one JSON object."""
-    txt = _json_lines(spark, path)
-    schema = schema or spark.read.json(path).schema
-    whole = txt.withColumn("_ok", strict_parse(F.col("_line")).isNotNull())
-    good = whole.filter("_ok").select(F.from_json("_line", schema, {"mode": "PERMISSIVE"}).alias("_r")).select("_r.*")
-    return good, whole.filter("NOT _ok").select(F.col("_file").alias("file"), F.col("_line").alias("line"))
+def _with_line_numbers(bad: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds ``line_no`` to some of ``lines``: lines per file part are counted, and a prefix sum per file gives the
+    number of the part's first line. One row per file part is shuffled, no line."""
+    parts = lines.groupBy("_file", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_nr").alias("_first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_file").orderBy("_part").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_file", "_part", "_first", before.alias("_before"))
+    return bad.join(parts, ["_file", "_part"]).withColumn("line_no", F.col("_before") + F.col("_nr") - F.col("_first") + 1)
+
+
+_END = "$labelweave-end$"
+
+
+def read_jsonl_parts(spark: SparkSession, path: str,
+                     schema: T.StructType | str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, bad lines as file, line_no, line). A line is good if it is exactly one JSON object; blank lines are skipped.
+
+    A line is parsed once, as the first element of a list whose second element is a mark: only if the
+    line is one value does the mark come second. The record is that first element."""
+    lines = _json_lines(spark, path)
+    if schema is None:
+        schema = spark.read.json(path).schema
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = T.ArrayType(T.StructType([*schema.fields, T.StructField(_END, T.StringType())]))
+    body = strip_ws(F.col("_line"))
+    parsed = F.from_json(F.concat(F.lit("["), body, F.lit(',{"%s":""}]' % _END)), marked, JSON_OPTS)
+    whole = lines.filter(F.regexp_replace("_line", r"[\r\n]+$", "") != "").select("*", F.explode(F.array(F.struct(
+        F.when(body.startswith("{") & body.endswith("}"), parsed).alias("a")))).alias("_p"))
+    end = F.get("_p.a", F.lit(1))
+    ok = F.coalesce((F.size("_p.a") == 2) & end[_END].isNotNull() & F.get("_p.a", F.lit(0))[_END].isNull(), F.lit(False))
+    first = F.get("_p.a", F.lit(0))
+    good = whole.filter(ok).select(*[first[f.name].alias(f.name) for f in schema.fields])
+    bad = _with_line_numbers(whole.filter(~ok), lines)
+    return good, bad.select(F.col("_file").alias("file"), "line_no", F.col("_line").alias("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None,
                strict: bool = True) -> DataFrame:
     """JSON lines; U+2028/U+2029 removed, blank lines skipped. With ``strict``
-    a line that is not exactly one JSON object raises with its file and text
+    a line that is not exactly one JSON object raises with its file, number and text
     (first offenders only — the check is one filtered job); without, such
     lines are left out (``read_jsonl_parts`` returns them)."""
     good, bad = read_jsonl_parts(spark, path, schema)
     if strict:
         first = bad.limit(3).collect()
         if first:
-            raise JsonlError("invalid JSON: " + "; ".join(f"{r['file']}: {r['line'][:200]!r}" for r in first))
+            raise JsonlError("invalid JSON: " + "; ".join(f"{r['file']}:{r['line_no']}: {r['line'][:200]!r}" for r in first))
     return good
 
 

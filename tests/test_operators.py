@@ -298,3 +298,42 @@ def test_bootstrap_comprehensive_contains_point(spark):
     assert len(out) == 20
     assert all(0 <= r["ci_low"] <= r["ci_high"] <= 1 for r in out)
     assert all(r["score"] == 1 and r["ci_high"] == 1 for r in out if "f1" in r["metric"].lower() and "stance" not in r["metric"])
+
+
+def test_skip_limit_in_ranges(spark):
+    """Skips beyond the top-k go by ranges: exact counts per position, no one-task stage that holds the skipped rows."""
+    from collections import Counter
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 50 END AS idx", "id % 7 AS v", "CAST(NULL AS STRING) AS t")
+    order = sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for skip, limit in ((15_000, None), (9_999, 12_000), (0, 20_001), (29_999, None), (25_000, 90_000)):
+        want = order[skip:] if limit is None else order[skip: skip + limit]
+        got = [tuple(r) for r in RC.skip_limit(df.repartition(5), skip, limit).collect()]
+        assert Counter(got) == Counter(want), (skip, limit)
+    import pytest
+    with pytest.raises(ValueError, match="only 30000"):
+        RC.skip_limit(df, 30_000)
+    plan = RC.skip_limit(df.repartition(5), 15_000, 14_000)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(_nr" in plan and "LessThan(_nr" in plan and "Exchange" not in plan and "Sort" not in plan
+
+
+def test_optional_label_columns(spark):
+    import pytest
+    items = S.d_comp_items(spark, SF0001)
+    with pytest.warns(UserWarning, match="stance_gov"):
+        recs = RC.build_records(items.drop("stance_gov", "sensitive"), comprehensive=True)
+    import json
+    gold = json.loads(recs.first().messages[2].content)
+    assert gold["china_ccp_government"] == "" and gold["china_sensitive"] == "" and gold["hate_speech"] in ("yes", "no")
+    with pytest.raises(ValueError, match="hate_speech"):
+        RC.build_records(items.drop("hate_speech"), comprehensive=True)
+
+
+def test_both_outputs_scan_once(spark):
+    """The grouped and the ungrouped records come from one scan of the source."""
+    recs = RC.build_records(S.table(spark, SF0001, "documents").selectExpr(
+        "doc_id AS id", "text AS transcript", *[f"'no' AS {c}" for c in (
+            "china_related", "stance_gov", "stance_culture", "stance_tech", "sensitive", "collective_action", "hate_speech",
+            "harmful", "news", "inauthentic", "derivative")]), comprehensive=True, group_mode="by-category", with_merged=True)
+    assert recs._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    kinds = {r.kind: r["count"] for r in recs.groupBy("kind").count().collect()}
+    assert kinds["grouped"] == 4 * kinds["merged"] > 0
