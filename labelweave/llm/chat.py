@@ -50,12 +50,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from labelweave.llm.common import cut, table
+from labelweave.llm.packing import TextIds
 from labelweave.llm.registry import query
 
 BUDGET = 2048
 HISTORY = 256
 SEGMENT = 64            # budgets of one segment
-_AT_ONCE = 500          # turns tokenised at a time
+_AT_ONCE = 2000         # turns formatted at a time
 
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE]", "[:]", "[/ROLE]")
@@ -125,9 +126,7 @@ def _counted(ranged: DataFrame, spec) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_str(spec.value)
+        text_ids = TextIds(spec.value)
         part, row, now, pos, before = TaskContext.get().partitionId(), 0, object(), 0, 0
         for whole in batches:
             for at in range(0, whole.num_rows, _AT_ONCE):
@@ -135,7 +134,8 @@ def _counted(ranged: DataFrame, spec) -> DataFrame:
                 convs = b.column("conv").to_pylist()
                 roles = [r or "" for r in b.column("role").to_pylist()]
                 made = [format_turn(r, t or "") for r, t in zip(roles, b.column("text").to_pylist(), strict=True)]
-                counts = [len(e.ids) for e in tok.encode_batch_fast([m[0] for m in made], add_special_tokens=False)]
+                forms = pa.array([m[0] for m in made], pa.string())
+                counts = [n - 1 for _, _, off in text_ids(forms) for n in np.diff(off).tolist()]     # less the end id
                 places, sums = [], []
                 for c, n in zip(convs, counts, strict=True):
                     if c != now:
@@ -146,7 +146,7 @@ def _counted(ranged: DataFrame, spec) -> DataFrame:
                     before += n
                 n = len(convs)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("conv"), pa.array(roles, pa.string()), pa.array([m[0] for m in made], pa.string()),
+                    [b.column("conv"), pa.array(roles, pa.string()), forms,
                      pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.int32()),
                      pa.array(counts, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()),
                      pa.array(places, pa.int64()), pa.array(sums, pa.int64())], names=schema.names)

@@ -70,24 +70,12 @@ def add_columns(df: DataFrame, new: str, text_col: str,
     cut_up = slicer or textkit.slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_store("columns")
         for whole in batches:
             for b in cut_up(whole, text_col):
                 got = fn(b)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(b.schema.get_field_index(c)) for c in cols] + [got[n] for n in names],
                     names=[*cols, *names])
+        pa.default_memory_pool().release_unused()       # the worker serves other tasks next
 
     return df.mapInArrow(run, out)
-
-
-def worker_store(owner: str) -> dict:
-    """Objects that one operator keeps in a Python worker; another owner's are dropped."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_labelweave_worker", types.ModuleType("_labelweave_worker")).__dict__
-    if kept.get("owner") != owner:
-        kept.clear()
-        kept["owner"] = owner
-    return kept

@@ -10,10 +10,12 @@ connected by links, ``n_links`` the number of other rows linked to a row.
    multiplicity; everything below works on sets, so copies never make pairs.
 2. Sets are shuffled on (band, hash). Bucket sizes come from a pre-aggregated
    count. A small bucket emits its pairs, each pair only from the first band
-   that it shares. A large bucket is cut into blocks by a hash of the set id;
+   that it shares. Large buckets with members in common (one crowd of near copies
+   fills a bucket in nearly every band) form a *crowd*, so its sets are sent
+   once and not once a band. A crowd is cut into blocks by a hash of the set id;
    each pair of blocks is compared in one task that returns only link counts
    and a spanning forest, so no bucket, however hot, is collected or expanded
-   into pairs, and none is capped.
+   into pairs, and none is capped. A pair counts where its first shared bucket is.
 3. Both ways verify on the full shingle sets. Only sets that share a bucket
    send theirs: a fixed-size bit map of their ids is tested in the second pass
    over the texts (false positives only cost traffic), then an exact join.
@@ -38,7 +40,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,9 @@ THRESHOLD = 0.8
 RECALL = 0.999
 NOISE = (0.3, 0.05)     # at this similarity, at most this share of pairs become candidates
 SMALL_BUCKET = 32
-BLOCK_BYTES = 4 << 20   # shingles of one block of a large bucket
+BLOCK_BYTES = 4 << 20   # shingles of one block of a crowd, at most
+BLOCK_ROWS = 256        # a smaller crowd is cut into up to EVEN_BLOCKS blocks of about this many sets
+EVEN_BLOCKS = 16
 BITMAP_BITS = 1 << 25
 _SHINGLE_BYTES = 6
 
@@ -240,19 +243,22 @@ _BLOCK_OUT = "x binary, y binary, n long"
 
 
 def _block_pair(threshold: float):
-    """Compare the two blocks of a group: rows (x, null, copies linked to x) and (x, y, null) of a spanning forest."""
+    """Compare the two blocks of a crowd: rows (x, null, copies linked to x) and (x, y, null) of a spanning forest."""
     def run(key, rows):
-        band, i, j = int(key[0]), int(key[2]), int(key[3])
-        sets = [unpack(bytes(s)) for s in rows["shingles"]]
-        size = np.array([len(s) for s in sets])
-        bands = np.stack([np.asarray(x, np.int64) for x in rows["bands"]])
-        sid, mult, block = rows["sid"].to_numpy(), rows["mult"].to_numpy(), rows["block"].to_numpy()
+        i, j = key[1].as_py(), key[2].as_py()
+        sets = [unpack(x) for x in rows["shingles"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        bands = np.array(rows["bands"].to_pylist(), np.int64)
+        here = np.zeros((len(sets), bands.shape[1] + 1), bool)      # bands whose bucket belongs to the crowd
+        for k, some in enumerate(rows["crowd_bands"].to_pylist()):
+            here[k, some] = True
+        sid, mult, block = rows["sid"].to_pylist(), rows["mult"].to_numpy(), rows["block"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        total, edges = np.zeros(len(sets), np.int64), []
+        total, ends = np.zeros(len(sets), np.int64), []
         for at in range(0, len(left), 1024):
             for to in range(0, len(right), 1024):
                 p, q = left[at: at + 1024], right[to: to + 1024]
-                ok = _first_shared(bands[p], bands[q]) == band
+                ok = here[p[:, None], _first_shared(bands[p], bands[q])]
                 if i == j:
                     ok &= p[:, None] < q[None, :]
                 if not ok.any():
@@ -263,15 +269,28 @@ def _block_pair(threshold: float):
                 total[q] += mult[p] @ ok
                 a, b = np.nonzero(ok)
                 tree = _forest(len(sets), p[a], q[b])
-                edges.append((p[a][tree], q[b][tree]))
-        hit = np.flatnonzero(total)
-        out = [pd.DataFrame({"x": sid[hit], "y": None, "n": pd.array(total[hit], "Int64")})]
-        out += [pd.DataFrame({"x": sid[a], "y": sid[b], "n": pd.array([None] * len(a), "Int64")}) for a, b in edges]
-        return pd.concat(out, ignore_index=True)
+                ends += zip(p[a][tree].tolist(), q[b][tree].tolist(), strict=True)
+        hit = np.flatnonzero(total).tolist()
+        return pa.table({
+            "x": pa.array([sid[k] for k in hit] + [sid[x] for x, _ in ends], pa.binary()),
+            "y": pa.array([None] * len(hit) + [sid[y] for _, y in ends], pa.binary()),
+            "n": pa.array(total[hit].tolist() + [None] * len(ends), pa.int64())})
 
     return run
 
 
+def _crowds(hot: DataFrame) -> DataFrame:
+    """(crowd, sid, crowd_bands) of the entries (sid, band, hash) of large buckets.
+
+    Every bucket belongs to one crowd: the smallest set that any of its members meets in a large
+    bucket. One round of that is enough to bring the buckets of one crowd of near copies together;
+    buckets that stay apart only cost traffic."""
+    low = hot.groupBy("band", "hash").agg(F.min("sid").alias("low"))
+    label = hot.join(low, ["band", "hash"]).groupBy("sid").agg(F.min("low").alias("label"))
+    of = hot.join(label, "sid").groupBy("band", "hash").agg(F.min("label").alias("crowd"))
+    return hot.join(of, ["band", "hash"]).groupBy("crowd", "sid").agg(F.collect_set("band").alias("crowd_bands"))
+
+
 def _components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(sid, root) for every set with a link: the smallest set id of its component.
 
@@ -332,14 +351,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
              .join(full.select(F.col("sid").alias("y"), F.col("shingles").alias("ys")), "y"))
     pairs = cut(pairs.select("x", "y", "xs", "ys").mapInArrow(_pairs_equal(threshold), "x binary, y binary"), "pairs")
 
-    # large buckets: pairs of blocks
-    hot = entries.filter(F.col("m") > small_bucket).join(sets.select("sid", "bands", "mult"), "sid").join(full, "sid")
-    hot = hot.withColumn("blocks", F.greatest(F.ceil(F.col("bytes") / block_bytes), F.ceil(F.col("m") / 4096)).cast("int"))
-    hot = hot.withColumn("block", F.pmod(F.xxhash64("sid", "band"), F.col("blocks")).cast("int"))
+    # large buckets: pairs of blocks of their crowds
+    crowds = cut(_crowds(entries.filter(F.col("m") > small_bucket).select("sid", "band", "hash")), "crowds")
+    sizes = crowds.join(sets.select("sid", "n_shingles"), "sid").groupBy("crowd").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(F.col("n_shingles").cast("long") * _SHINGLE_BYTES).alias("bytes"))
+    sizes = sizes.select("crowd", F.greatest(F.ceil(F.col("bytes") / block_bytes), F.ceil(F.col("m") / 4096), F.least(
+        F.lit(EVEN_BLOCKS), F.ceil(F.col("m") / BLOCK_ROWS))).cast("int").alias("blocks"))
+    hot = crowds.join(sizes, "crowd").join(sets.select("sid", "bands", "mult"), "sid").join(full, "sid")
+    hot = hot.withColumn("block", F.pmod(F.xxhash64("sid", "crowd"), F.col("blocks")).cast("int"))
     hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hot = hot.select("band", "hash", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                     "block", "sid", "mult", "bands", "shingles")
-    blocks = cut(hot.groupBy("band", "hash", "i", "j").applyInPandas(_block_pair(threshold), _BLOCK_OUT), "blocks")
+    hot = hot.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                     "block", "sid", "mult", "bands", "crowd_bands", "shingles")
+    blocks = cut(hot.groupBy("crowd", "i", "j").applyInArrow(_block_pair(threshold), _BLOCK_OUT), "blocks")
 
     mult = sets.select("sid", "mult")
     ends = pairs.select(F.col("x").alias("a"), F.col("y").alias("sid")).unionByName(
@@ -362,15 +385,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near copies: of each class the row with the smallest id stays (null ids last)."""
+    """The documents without near copies: of each class the row with the smallest id stays (null ids last).
+
+    Of rows with one id and one shingle set the first by its JSON text stays."""
     cols = docs.columns
-    sets = join(docs, id_col, text_col, **options)["sets"]
+    own = [f"c{k}" for k in range(len(cols))]       # the columns' names cannot clash with the operator's
+    plain = docs.toDF(*own)
+    key, text = own[cols.index(id_col)], own[cols.index(text_col)]
+    sets = join(plain, key, text, **options)["sets"]
     best = sets.groupBy("class_sid").agg(F.min(F.struct(F.col("low_id").isNull(), "low_id", "sid")).alias("b"))
     best = best.select(F.col("b.low_id").alias("_low"), F.col("b.sid").alias("_sid"))
-    tagged = set_ids(docs, text_col).withColumnRenamed("sid", "_own")
-    same = (F.col("_own") == F.col("_sid")) & F.col(id_col).eqNullSafe(F.col("_low"))
-    kept = tagged.join(best, same, "left_semi").dropDuplicates(["_own", id_col])
-    return kept.select(*cols).unionByName(tagged.filter("_own IS NULL").select(*cols))
+    tagged = set_ids(plain, text)
+    same = (F.col("sid") == F.col("_sid")) & F.col(key).eqNullSafe(F.col("_low"))
+    row = F.struct(*own)
+    kept = tagged.join(best, same, "left_semi").groupBy("sid", F.col(key).alias("_id")).agg(
+        F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
+    return kept.unionByName(tagged.filter("sid IS NULL").select(*own)).toDF(*cols)
 
 
 @query("op8_ngram_join")

@@ -52,7 +52,7 @@ END_ID = 1
 OPEN_WINDOWS = 64
 MAX_GAP = 16
 MERGE = 16
-SLICE_BYTES = 32 << 20      # text of one dictionary
+SLICE_BYTES = 16 << 20      # text of one dictionary
 CHUNKS_AT_ONCE = 300_000    # chunks gathered at a time
 TEXTS_AT_ONCE = 200
 WORDS_AT_ONCE = 500
@@ -231,6 +231,7 @@ def _pack_partition(spec, id_col: str, text_col: str, size: int, most: int, max_
             for piece in windows.held[w]:
                 out(piece)
         yield batch(True)
+        pa.default_memory_pool().release_unused()       # the worker serves other tasks next
 
     return run
 
