@@ -52,6 +52,13 @@ def without(df: DataFrame, names: list[str], needed: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def bare(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ..., and the new names of the ``needed`` ones: no column can clash
+    with an operator's. ``.toDF(*df.columns)`` gives the names back."""
+    own = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*own), [own[df.columns.index(c)] for c in needed]
+
+
 def add_columns(df: DataFrame, new: str, text_col: str,
                 fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
                 keep: list[str] | None = None, slicer=None) -> DataFrame:

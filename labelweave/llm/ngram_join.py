@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelweave.llm import textkit as T
-from labelweave.llm.common import add_columns, cut, table
+from labelweave.llm.common import add_columns, bare, cut, table
 from labelweave.llm.registry import query
 
 SHINGLE = 5
@@ -56,6 +56,7 @@ SMALL_BUCKET = 32
 BLOCK_BYTES = 4 << 20   # shingles of one block of a crowd, at most
 BLOCK_ROWS = 256        # a smaller crowd is cut into up to EVEN_BLOCKS blocks of about this many sets
 EVEN_BLOCKS = 16
+BUCKET_ROWS = 256       # entries of a large bucket that meet in one task
 BITMAP_BITS = 1 << 25
 _SHINGLE_BYTES = 6
 
@@ -122,7 +123,8 @@ def _signature_fn(text_col: str, k: int, bands: int, rows: int):
 
 
 def _bit(sid):
-    return F.pmod(F.xxhash64(sid), F.lit(BITMAP_BITS)) + 1      # bitmap_* functions number bits from 1
+    """Position in the bit map: the first four bytes of a set id, from 1 as the bitmap_* functions number bits."""
+    return F.conv(F.hex(F.substring(sid, 1, 4)), 16, 10).cast("long") % BITMAP_BITS + 1
 
 
 def signatures(docs: DataFrame, text_col: str, k: int, bands: int, rows: int, keep: list[str]) -> DataFrame:
@@ -149,20 +151,20 @@ def _wanted_shingles(docs: DataFrame, wanted: DataFrame, text_col: str, k: int)
         whole[row["k"] - 1] = np.frombuffer(bytes(row["m"]), np.uint8)
     shared = spark.sparkContext.broadcast(whole.tobytes())
 
-    with_bits = set_ids(docs.select(text_col), text_col, k).filter("sid IS NOT NULL").withColumn("_bit", _bit("sid"))
-
-    def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
-        bit = b.column(b.schema.get_field_index("_bit")).to_numpy() - 1
-        want = np.frombuffer(shared.value, np.uint8)[bit >> 3] >> (bit & 7) & 1
-        doc, g = shingles(b.column(b.schema.get_field_index(text_col)), k)
-        first = np.searchsorted(doc, np.arange(b.num_rows + 1))
-        out: list[bytes | None] = [None] * b.num_rows
-        for i in np.flatnonzero(want).tolist():
-            six = np.ascontiguousarray(g[first[i]: first[i + 1]]).view(np.uint8).reshape(-1, 8)[:, :_SHINGLE_BYTES]
-            out[i] = six.tobytes()
-        return {"shingles": pa.array(out, pa.binary())}
-
-    found = add_columns(with_bits, "shingles binary", text_col, run, ["sid", "_bit"]).filter("shingles IS NOT NULL")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = np.frombuffer(shared.value, np.uint8)
+        for whole in batches:
+            for b in T.slices(whole, text_col):
+                doc, g = shingles(b.column(0), k)
+                first, count, ids = _set_ids(doc, g, b.num_rows)
+                full = np.flatnonzero(count)
+                bit = np.frombuffer(b"".join(ids[i][:4] for i in full.tolist()), ">u4").astype(np.int64) % BITMAP_BITS
+                hit = full[(want[bit >> 3] >> (bit & 7) & 1).astype(bool)].tolist()
+                six = [np.ascontiguousarray(g[first[i]: first[i + 1]]).view(np.uint8).reshape(-1, 8)[:, :_SHINGLE_BYTES].tobytes() for i in hit]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hit], pa.binary()), pa.array(six, pa.binary())],
+                                                 names=["sid", "shingles"])
+
+    found = docs.select(text_col).mapInArrow(run, "sid binary, shingles binary")
     one = found.groupBy("sid").agg(F.first("shingles").alias("shingles"))
     return one.join(wanted, "sid", "left_semi")
 
@@ -280,15 +282,19 @@ def _block_pair(threshold: float):
 
 
 def _crowds(hot: DataFrame) -> DataFrame:
-    """(crowd, sid, crowd_bands) of the entries (sid, band, hash) of large buckets.
+    """(crowd, sid, crowd_bands) of the entries (sid, band, hash, m) of large buckets.
 
     Every bucket belongs to one crowd: the smallest set that any of its members meets in a large
     bucket. One round of that is enough to bring the buckets of one crowd of near copies together;
     buckets that stay apart only cost traffic."""
-    low = hot.groupBy("band", "hash").agg(F.min("sid").alias("low"))
-    label = hot.join(low, ["band", "hash"]).groupBy("sid").agg(F.min("low").alias("label"))
-    of = hot.join(label, "sid").groupBy("band", "hash").agg(F.min("label").alias("crowd"))
-    return hot.join(of, ["band", "hash"]).groupBy("crowd", "sid").agg(F.collect_set("band").alias("crowd_bands"))
+    parts = F.ceil(F.col("m") / BUCKET_ROWS).cast("int")     # a bucket's entries are dealt to so many tasks
+    hot = hot.withColumn("salt", F.pmod(F.xxhash64("sid", "band"), parts).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")
+    bucket = ["band", "hash"]
+    low = hot.groupBy(*bucket, "m").agg(F.min("sid").alias("low")).select(*bucket, "low", salts)
+    label = hot.join(low, [*bucket, "salt"]).groupBy("sid").agg(F.min("low").alias("label"))
+    of = hot.join(label, "sid").groupBy(*bucket, "m").agg(F.min("label").alias("crowd")).select(*bucket, "crowd", salts)
+    return hot.join(of, [*bucket, "salt"]).groupBy("crowd", "sid").agg(F.collect_set("band").alias("crowd_bands"))
 
 
 def _components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -352,7 +358,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     pairs = cut(pairs.select("x", "y", "xs", "ys").mapInArrow(_pairs_equal(threshold), "x binary, y binary"), "pairs")
 
     # large buckets: pairs of blocks of their crowds
-    crowds = cut(_crowds(entries.filter(F.col("m") > small_bucket).select("sid", "band", "hash")), "crowds")
+    crowds = cut(_crowds(entries.filter(F.col("m") > small_bucket).select("sid", "band", "hash", "m")), "crowds")
     sizes = crowds.join(sets.select("sid", "n_shingles"), "sid").groupBy("crowd").agg(
         F.count(F.lit(1)).alias("m"), F.sum(F.col("n_shingles").cast("long") * _SHINGLE_BYTES).alias("bytes"))
     sizes = sizes.select("crowd", F.greatest(F.ceil(F.col("bytes") / block_bytes), F.ceil(F.col("m") / 4096), F.least(
@@ -389,9 +395,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of rows with one id and one shingle set the first by its JSON text stays."""
     cols = docs.columns
-    own = [f"c{k}" for k in range(len(cols))]       # the columns' names cannot clash with the operator's
-    plain = docs.toDF(*own)
-    key, text = own[cols.index(id_col)], own[cols.index(text_col)]
+    plain, (key, text) = bare(docs, id_col, text_col)
+    own = plain.columns
     sets = join(plain, key, text, **options)["sets"]
     best = sets.groupBy("class_sid").agg(F.min(F.struct(F.col("low_id").isNull(), "low_id", "sid")).alias("b"))
     best = best.select(F.col("b.low_id").alias("_low"), F.col("b.sid").alias("_sid"))

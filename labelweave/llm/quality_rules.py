@@ -1,40 +1,52 @@
 """Quality rules with adaptive cutoffs (operator 10).
 
 Every text gets a few counts. For each language and source a mergeable quantile
-sketch of each ratio is built: a histogram whose buckets are exact below 64 and
-keep six significant binary digits above (relative error under 1/32). Bucket
-counts add up, so sketches of partitions merge in the shuffle, and the sketch
-of all groups together is the sum of the groups' sketches. The cutoff of a
-ratio is an outlier fence read from the sketch of the row's own group,
-``q75 + 3 * (q75 - q25)``, but never below the rule's floor; a group with fewer
-than ``MIN_GROUP`` texts uses the sketch of all groups. Cutoffs are then joined
-to the rows. Only texts that pass the fixed base rules enter the sketches.
+sketch of each ratio, and of each ratio's denominator, is built: a histogram
+whose buckets are exact below 64 and keep six significant binary digits above (relative error under
+1/32). Bucket counts add up, so sketches of partitions merge in the shuffle,
+and the sketch of all groups together is the sum of the groups' sketches. Only texts that pass the
+fixed base rules enter the sketches.
+
+There is no fixed cutoff. A group's cutoffs are read from its own sketch, to which the
+pooled sketch is added with the weight of ``PRIOR`` texts: a large group speaks for itself, a small one leans on
+the others, without a switch between the two. The cutoff of a ratio is
+
+    tail + MARGIN * max(tail - median, unit)
+
+where ``tail`` is the rule's upper quantile and ``unit`` what one more count adds to
+the ratio of a short text (lower quartile of the denominator). So the margin follows the
+spread of the group's upper half, and where that is zero - most texts have no symbol at all - it is a few
+counts of a short text. Cutoffs are then joined to the rows.
 
 Defined cases: a null or empty text has no words, all counts 0, and is
 rejected by the base rule (fewer than 50 words). A null language or source is a
-group of its own. Repeated rows count each time. An empty table gives an empty
-result. Input columns named like a result column are replaced by it.
+group of its own. Repeated rows count each time; a ratio equal to its cutoff passes. A text of any length is
+read whole. An empty table gives an empty result; a group without a text that passes the base rules has no cutoffs.
+Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelweave.llm import textkit as T
 from labelweave.llm.common import add_columns, cut, table, without
 from labelweave.llm.registry import query
 
-# ratio -> (numerator, denominator, factor, floor of its cutoff)
+# ratio -> (numerator, denominator, factor, upper quantile in percent). The quantile says how many of the texts
+# that pass the base rules may share the trait without making it ordinary.
 RULES = {
-    "symbols": ("n_symbols", "word_chars", 1000, 150),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 300),
-    "repeats": ("n_repeat_words", "n_words", 1000, 300),
-    "word_len": ("word_chars", "n_words", 10, 150),
+    "symbols": ("n_symbols", "word_chars", 1000, 90),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 95),
+    "repeats": ("n_repeat_words", "n_words", 1000, 99),
+    "word_len": ("word_chars", "n_words", 10, 90),
 }
-MIN_GROUP = 50
+DENOMINATORS = tuple(dict.fromkeys(den for _, den, _, _ in RULES.values()))
+MARGIN = 3
+PRIOR = 200
 MAX_BROADCAST_GROUPS = 10_000
 SALTS = 64
 
@@ -102,8 +114,9 @@ def _ratio(rule: str):
 
 
 def sketch(counted: DataFrame, by: list[str]) -> DataFrame:
-    """Bucket counts per group and rule; sketches merge by adding ``n``."""
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), _ratio(r).alias("v")) for r in RULES])
+    """Bucket counts per group and measure (the ratios and their denominators); sketches merge by adding ``n``."""
+    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), _ratio(r).alias("v")) for r in RULES],
+                    *[F.struct(F.lit(d).alias("rule"), F.col(d).alias("v")) for d in DENOMINATORS])
     return (counted.filter("NOT base_failed").select(*by, F.explode(pairs).alias("p"))
             .select(*by, "p.rule", F.expr(
                 "CASE WHEN p.v < 64 THEN p.v ELSE shiftleft(shiftright(p.v, length(bin(p.v)) - 6), length(bin(p.v)) - 6) END"
@@ -111,57 +124,69 @@ def sketch(counted: DataFrame, by: list[str]) -> DataFrame:
             .groupBy(*by, "rule", "bucket").agg(F.count(F.lit(1)).alias("n")))
 
 
-def _fences(sk: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group with the cutoff of each rule and the number of texts behind it."""
-    key = ", ".join([*by, "rule"])
-    cum = sk.withColumn("upto", F.expr(f"sum(n) OVER (PARTITION BY {key} ORDER BY bucket)")) \
-            .withColumn("total", F.expr(f"sum(n) OVER (PARTITION BY {key})"))
-    q = cum.groupBy(*by, "rule").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.expr("4 * upto >= total"), F.col("bucket"))).alias("q25"),
-        F.min(F.when(F.expr("4 * upto >= 3 * total"), F.col("bucket"))).alias("q75"))
-    fence = F.col("q75") + 3 * (F.col("q75") - F.col("q25"))
-    return q.groupBy(*by).agg(F.max("total").alias("group_size"), *[
-        F.max(F.when(F.col("rule") == r, F.greatest(fence, F.lit(RULES[r][3])))).alias(f"max_{r}")
-        for r in RULES])
+def _leaning(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Bucket weights per group: its own counts, and the pooled counts with the weight of ``PRIOR`` texts.
+
+    Weights are whole numbers: own counts x all texts + PRIOR x pooled counts. The pooled sketch is a
+    table of fixed size (buckets x measures), so a group gets that many rows at most."""
+    pooled = groups.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
+    pooled = pooled.withColumn("all", F.sum("n").over(Window.partitionBy("rule")))
+    whole = "decimal(38,0)"
+    own = groups.join(pooled.select("rule", "all").distinct(), "rule").select(
+        *by, "rule", "bucket", (F.col("n").cast(whole) * F.col("all")).cast(whole).alias("w"))
+    measures = F.array(*[F.lit(m) for m in [*RULES, *DENOMINATORS]])
+    others = groups.select(*by).distinct().select(*by, F.explode(measures).alias("rule")).join(pooled, "rule").select(
+        *by, "rule", "bucket", (F.col("n").cast(whole) * PRIOR).cast(whole).alias("w"))
+    return own.unionByName(others).groupBy(*by, "rule", "bucket").agg(F.sum("w").cast(whole).alias("w"))
 
 
 def thresholds(counted: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Cutoffs per language and source, with ``lang`` and ``source`` null for the sketch of all."""
+    """One row per language and source with the cutoff of each rule."""
     by = [lang_col, source_col]
-    groups = cut(sketch(counted, by), "quality-sketch")
-    every = groups.groupBy("rule", "bucket").agg(F.sum("n").alias("n"))
-    each = _fences(groups, by).withColumn("of_all", F.lit(False))
-    whole = _fences(every, []).withColumn("of_all", F.lit(True)).filter("group_size IS NOT NULL")
-    return cut(each.unionByName(whole, allowMissingColumns=True), "quality-thresholds")
+    weights = _leaning(cut(sketch(counted, by), "quality-sketch"), by)
+    key = ", ".join([*[f"`{c}`" for c in by], "rule"])
+    cum = weights.selectExpr(*[f"`{c}`" for c in by], "rule", "bucket", f"sum(w) OVER (PARTITION BY {key} ORDER BY bucket) AS upto",
+                             f"sum(w) OVER (PARTITION BY {key}) AS total")
+
+    def quantile(percent) -> Column:
+        return F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bucket")))
+
+    tails = F.create_map(*[F.lit(x) for r, (_, _, _, tail) in RULES.items() for x in (r, tail)])
+    q = cum.withColumn("tail", F.coalesce(F.try_element_at(tails, F.col("rule")), F.lit(50))).groupBy(*by, "rule").agg(
+        quantile(25).alias("low"), quantile(50).alias("mid"), quantile(F.col("tail")).alias("high"))
+    at = lambda measure, what: F.max(F.when(F.col("rule") == measure, F.col(what)))
+    cuts = []
+    for r, (_, den, factor, _) in RULES.items():
+        least = F.greatest(at(den, "low"), F.lit(1))
+        unit = F.floor((least + (factor - 1)) / least).cast("long")        # factor / least, rounded up
+        cuts.append((at(r, "high") + MARGIN * F.greatest(at(r, "high") - at(r, "mid"), unit)).alias(f"max_{r}"))
+    return cut(q.groupBy(*by).agg(*cuts), "quality-thresholds")
 
 
 def apply(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
           source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """Rows with their counts, the cutoffs used and ``kept``."""
     base = list(dict.fromkeys([*(keep if keep is not None else docs.columns), lang_col, source_col]))
-    docs = without(docs, ["kept", "base_failed", "group_size", "of_all",
-                          *[f"max_{r}" for r in RULES]], [text_col, lang_col, source_col])
+    docs = without(docs, ["kept", "base_failed", *[f"max_{r}" for r in RULES]], [text_col, lang_col, source_col])
     base = [c for c in base if c in docs.columns]
-    counted = counts(docs, text_col, base)
-    th = thresholds(counts(docs, text_col, [lang_col, source_col]), lang_col, source_col)
-    whole = th.filter("of_all").select(*[F.col(f"max_{r}").alias(f"_all_{r}") for r in RULES]).take(1)
-    each = th.filter((~F.col("of_all")) & (F.col("group_size") >= MIN_GROUP)).select(
-        F.col(lang_col).alias("_l"), F.col(source_col).alias("_s"), *[f"max_{r}" for r in RULES])
-    left = counted
+    left = counts(docs, text_col, base)
+    if text_col in base:        # counting again is cheaper than writing the texts
+        each = thresholds(counts(docs, text_col, [lang_col, source_col]), lang_col, source_col)
+    else:
+        left = cut(left, "quality-counts")
+        each = thresholds(left, lang_col, source_col)
+    each = each.select(F.col(lang_col).alias("_l"), F.col(source_col).alias("_s"), *[f"max_{r}" for r in RULES])
     same = left[lang_col].eqNullSafe(F.col("_l")) & left[source_col].eqNullSafe(F.col("_s"))
     if each.count() <= MAX_BROADCAST_GROUPS:
         joined = left.join(F.broadcast(each), same, "left")
     else:  # many groups: shuffle, with the rows of a large group spread over salts
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in base if c != text_col]), F.lit(SALTS)))
-        each = each.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        each = each.withColumn("_salt2", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
         same = (left[lang_col].eqNullSafe(F.col("_l")) & left[source_col].eqNullSafe(F.col("_s"))
                 & (left["_salt"] == F.col("_salt2")))
         joined = left.join(each, same, "left").drop("_salt", "_salt2")
     verdict = F.lit(True)
     for r in RULES:
-        fallback = whole[0][f"_all_{r}"] if whole else None
-        joined = joined.withColumn(f"max_{r}", F.coalesce(f"max_{r}", F.lit(fallback).cast("long")))
         verdict = verdict & F.coalesce(_ratio(r) <= F.col(f"max_{r}"), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & verdict).drop("_l", "_s")
 
@@ -188,23 +213,26 @@ c AS (
   FROM w LEFT JOIN rep USING (r) LEFT JOIN l USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
         {", ".join(f"{f} * {n} // greatest({d}, 1) AS v_{r}" for r, (n, d, f, _) in RULES.items())} FROM c),
-v AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, v_{r} AS v FROM b WHERE NOT base_failed" for r in RULES)}),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS rule, {x} AS v FROM b WHERE NOT base_failed"
+                          for m, x in [*[(r, f"v_{r}") for r in RULES], *[(d, d) for d in DENOMINATORS]])}),
 s AS (SELECT lang, source, rule,
         CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS bucket,
         count(*) AS n FROM v GROUP BY ALL),
-q AS (SELECT lang, source, rule, max(total) AS total, min(bucket) FILTER (4 * upto >= total) AS q25,
-        min(bucket) FILTER (4 * upto >= 3 * total) AS q75
-      FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto,
-                   sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM s) GROUP BY ALL),
-a AS (SELECT rule, min(bucket) FILTER (4 * upto >= total) AS q25, min(bucket) FILTER (4 * upto >= 3 * total) AS q75
-      FROM (SELECT *, sum(n) OVER (PARTITION BY rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY rule) AS total
-            FROM (SELECT rule, bucket, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY rule),
-fl AS (SELECT * FROM (VALUES {", ".join(f"('{r}', {x[3]})" for r, x in RULES.items())}) t(rule, floor)),
-th AS (SELECT lang, source, rule, greatest(q75 + 3 * (q75 - q25), floor) AS cut FROM q JOIN fl USING (rule) WHERE total >= {MIN_GROUP}),
-tha AS (SELECT rule, greatest(q75 + 3 * (q75 - q25), floor) AS cut FROM a JOIN fl USING (rule))
+a AS (SELECT rule, bucket, sum(n) AS n FROM s GROUP BY ALL),
+o AS (SELECT lang, source, rule, bucket, sum(w) AS w FROM (
+        SELECT lang, source, rule, bucket, n::HUGEINT * (SELECT sum(a.n) FROM a WHERE a.rule = s.rule) AS w FROM s
+        UNION ALL
+        SELECT lang, source, rule, bucket, {PRIOR} * n::HUGEINT FROM (SELECT DISTINCT lang, source FROM s), a) GROUP BY ALL),
+q AS (SELECT lang, source, rule, min(bucket) FILTER (100 * upto >= 25 * total) AS low, min(bucket) FILTER (100 * upto >= 50 * total) AS mid,
+        min(bucket) FILTER (100 * upto >= CASE rule {" ".join(f"WHEN '{r}' THEN {x[3]}" for r, x in RULES.items())} ELSE 50 END * total) AS high
+      FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS upto,
+                   sum(w) OVER (PARTITION BY lang, source, rule) AS total FROM o) GROUP BY ALL),
+th AS (SELECT r.lang, r.source, r.rule, r.high + {MARGIN} * greatest(r.high - r.mid, (f.factor + greatest(d.low, 1) - 1) // greatest(d.low, 1)) AS cut
+       FROM q r JOIN (VALUES {", ".join(f"('{r}', '{x[1]}', {x[2]})" for r, x in RULES.items())}) f(rule, den, factor) USING (rule)
+       JOIN q d ON d.rule = f.den AND d.lang IS NOT DISTINCT FROM r.lang AND d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {" AND ".join(
-           f"coalesce(v_{r} <= coalesce((SELECT max(cut) FROM th WHERE th.rule = '{r}' AND th.lang IS NOT DISTINCT FROM b.lang AND th.source IS NOT DISTINCT FROM b.source), (SELECT max(cut) FROM tha WHERE tha.rule = '{r}')), true)"
+           f"coalesce(v_{r} <= (SELECT max(cut) FROM th WHERE th.rule = '{r}' AND th.lang IS NOT DISTINCT FROM b.lang AND th.source IS NOT DISTINCT FROM b.source), true)"
            for r in RULES)} AS kept
 FROM b
 """
