@@ -7,8 +7,8 @@ feature pairs with the strongest remaining signal get shallow trees on two
 features, added to tables over pairs of coarser bins. The model is a handful of
 small tables, and a score is the logistic of the sum of the looked-up bins.
 
-Training uses a bounded sample: at most ``TRAIN_ROWS`` labelled texts, those with
-the smallest hash of their text; their features travel, not the texts.
+Training uses a bounded sample: at most ``TRAIN_ROWS`` labelled texts. ``train`` takes those with the smallest hash of
+their text; the query hands it the rows with the smallest hash of their id. Their features travel, not the texts.
 Scoring is one pass over all texts.
 
 Defined cases: a null or empty text has features 0 and a score like any other;

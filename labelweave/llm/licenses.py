@@ -1,6 +1,6 @@
 """License scan with a positional rare-token index (operator 1).
 
-Templates are short runs of words that name or grant a license. The corpus
+Templates are runs of words that name or grant a license, from two words to whole license texts. The corpus
 document frequency of every template word is counted once; each template is
 indexed under the rarest word (highest IDF) of its mandatory key phrase, with
 the word's position. A text looks up the index words it holds; every posting
@@ -14,12 +14,14 @@ Everything is DataFrame expressions; no shuffle but the word counts, whose rows
 are bounded by the template vocabulary.
 
 Defined cases: a null or empty text has no words and no match (score 0); matches
-may overlap, every place counts; repeated rows are scanned each; an empty table
+may overlap, every place counts; of equally rare words of a key phrase the first is the index word; a text of any
+length is read whole; repeated rows are scanned each; an empty table
 gives an empty result; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +40,11 @@ class Template:
 
     @property
     def words(self) -> list[str]:
-        return self.text.split()
+        return re.findall(WORD_RE, self.text.lower())
 
     @property
     def key_at(self) -> int:
-        words, key = self.words, self.key.split()
+        words, key = self.words, re.findall(WORD_RE, self.key)
         return next(i for i in range(len(words)) if words[i: i + len(key)] == key)
 
 
@@ -66,7 +68,74 @@ NOTICES = (
     Template("cc", "licensed under a creative commons attribution license", "creative commons attribution"),
     Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
 )
-TEMPLATES = BASE + NOTICES
+# whole headers and license texts; members of a family are told apart by their mandatory words and by where the rest stands
+_MIT_DISCLAIMER = """
+the software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of
+merchantability, fitness for a particular purpose and noninfringement. in no event shall the authors or copyright holders be liable for any
+claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the
+software or the use or other dealings in the software."""
+_BSD_CONDITIONS = """
+redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are
+met: 1. redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = """
+3. neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission."""
+_BSD_DISCLAIMER = """
+this software is provided by the copyright holders and contributors "as is" and any express or implied warranties, including, but not
+limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall the copyright
+holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not
+limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any
+theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of
+this software, even if advised of the possibility of such damage."""
+HEADERS = (
+    Template("mit-text", """
+permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"software"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the
+following conditions: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+software.""" + _MIT_DISCLAIMER, "granted free of charge"),
+    Template("mit-0", """
+permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+"software"), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so."""
+             + _MIT_DISCLAIMER, "furnished to do so the software is provided"),
+    Template("bsd-2-clause", _BSD_CONDITIONS + _BSD_DISCLAIMER, "with the distribution this software is provided"),
+    Template("bsd-3-clause", _BSD_CONDITIONS + _BSD_THIRD + _BSD_DISCLAIMER, "neither the name of the copyright holder"),
+    Template("isc-text", """
+permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies. the software is provided "as is" and the author disclaims all
+warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall the author be
+liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits,
+whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this
+software.""", "with or without fee is hereby granted provided"),
+    Template("apache-2.0-header", """
+licensed under the apache license, version 2.0 (the "license"); you may not use this file except in compliance with the license. you may
+obtain a copy of the license at http://www.apache.org/licenses/license-2.0 unless required by applicable law or agreed to in writing,
+software distributed under the license is distributed on an "as is" basis, without warranties or conditions of any kind, either express or
+implied. see the license for the specific language governing permissions and limitations under the license.""",
+             "you may not use this file except in compliance with the license"),
+    Template("gpl-header", """
+this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by
+the free software foundation, either version 3 of the license, or (at your option) any later version. this program is distributed in the
+hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular
+purpose. see the gnu general public license for more details. you should have received a copy of the gnu general public license along with
+this program.""", "under the terms of the gnu general public license"),
+    Template("lgpl-header", """
+this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as
+published by the free software foundation; either version 2.1 of the license, or (at your option) any later version. this library is
+distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness
+for a particular purpose. see the gnu lesser general public license for more details.""", "under the terms of the gnu lesser general public license"),
+    Template("mpl-2.0-header", """
+this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this
+file, you can obtain one at http://mozilla.org/mpl/2.0/.""", "subject to the terms of the mozilla public license"),
+    Template("zlib", """
+this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held liable for any damages
+arising from the use of this software. permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions""", "alter it and redistribute it freely"),
+)
+TEMPLATES = BASE + NOTICES + HEADERS
 MIN_SHARE = 0.8
 
 

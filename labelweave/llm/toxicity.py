@@ -3,9 +3,9 @@
 Features of a text are the sets of its words, word pairs and pairs with one word
 between (skip-grams), hashed into ``BITS`` bits. Training runs FTRL-proximal, one text at
 a time with a learning rate per coordinate and L1 (weights of weak evidence are
-exactly 0), over a bounded sample: at most ``TRAIN_ROWS`` labelled texts, those
-with the smallest hash of their text, so the sample does not depend on the
-order or the partitions of the table. It runs in one task and returns only the
+exactly 0), over a bounded sample: at most ``TRAIN_ROWS`` labelled texts. ``train`` takes those with the smallest
+hash of their text; the query hands it the rows with the smallest hash of their id, chosen among the labels before
+any text is read. Neither depends on the order or the partitions of the table. It runs in one task and returns only the
 weights that are not 0, which are then broadcast; scoring is one pass.
 
 Defined cases: a null or empty text scores by the bias alone; labelled texts

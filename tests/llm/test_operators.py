@@ -181,13 +181,14 @@ def test_pii_discloses(spark):
 
 
 def test_pii_discloses_from_one_text(spark):
-    """A word of no other text is removed beside an identifier of one text, a word of few others generalised."""
+    """A word of no other text is generalised beside an identifier of one text, as one text is little evidence; a word that another
+    text has too stays."""
     text = [(0, "the agent zorblax blix wrote from jo@ex.org about the list")]
     text += [(1, "the agent blix wrote about the list")]
-    text += [(100 + i, f"the agent {i} wrote from home about the list") for i in range(60)]
+    text += [(100 + i, f"the agent {i} wrote from home about the list") for i in range(3000)]
     d = spark.createDataFrame(text, "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
-    assert out[0] == "the agent  [WORD] wrote from [EMAIL] about the list"
+    assert out[0] == "the agent [WORD] blix wrote from [EMAIL] about the list"
     assert all(out[i] == t for i, t in text if i)
 
 
@@ -195,10 +196,10 @@ def test_pii_discloses_over_whole_texts(spark):
     """A word far from the identifier, behind long words, is a candidate; texts are counted alike for n(t) and n(t, c)."""
     far = " ".join(["wrote", "x" * 200, "about the list"] * 10)
     text = [(i, f"zorblax {far} and asked jo@ex.org or 4.4.4.4") for i in range(2)]
-    text += [(100 + i, f"the agent {i} asked and {far} or {i} more") for i in range(60)]
+    text += [(100 + i, f"the agent {i} asked and {far} or {i} more") for i in range(3000)]
     d = spark.createDataFrame(text, "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
-    assert out[0] == out[1] == f" {far} and asked [EMAIL] or [IP]"
+    assert out[0] == out[1] == f"[WORD] {far} and asked [EMAIL] or [IP]"
     assert all(out[i] == t for i, t in text if i >= 100)
 
 
