@@ -13,6 +13,7 @@ from labelweave.operators import parse as PA
 from labelweave.operators import records as RC
 from labelweave.operators import scoring as SC
 from labelweave.operators import summary as SM
+from labelweave.operators import usage as US
 from labelweave.plans import prompt_texts as PT
 from labelweave.plans import queries as Q
 from labelweave.plans.catalog import register
@@ -282,3 +283,74 @@ def q_merged_files(spark, sf):
         F.lit("table").alias("output"), "id", F.col("pred_china_sensitive").alias("sensitive"), "complete")
     return one.unionByName(kept.select(F.lit("kept").alias("output"), F.col("meta_id").alias("id"),
                                        F.try_element_at("json", F.lit("china_sensitive")).alias("sensitive"), "complete"))
+
+
+# --- sanitised records, thresholds, tokenizers, score files ----------------------------------------
+
+@register("records_sanitised", """
+SELECT CASE WHEN conv_id % 4 = 3 THEN 'flat' ELSE 'chat' END AS kind, CASE WHEN conv_id % 4 <> 3 THEN n END AS n_messages,
+       CASE WHEN conv_id % 4 = 3 THEN 'p' || conv_id END AS prompt, CASE WHEN conv_id % 4 = 3 THEN 'c' || conv_id END AS completion,
+       'messages,prompt,completion' AS kept
+FROM (SELECT conv_id, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id)""")
+def q_records_sanitised(spark, sf):
+    """Rows with messages keep only these, other rows their prompt and completion; every other field goes."""
+    flat = F.col("meta_id").cast("long") % 4 == 3
+    rows = S.d_records(spark, sf).select(
+        "meta_id", F.when(~flat, F.col("messages")).alias("messages"), F.when(flat, F.concat(F.lit("p"), "meta_id")).alias("prompt"),
+        F.concat(F.lit("c"), "meta_id").alias("completion"), F.lit("x").alias("note"))
+    kept = RC.sanitize_records(rows)
+    return kept.select(F.when(F.col("messages").isNull(), "flat").otherwise("chat").alias("kind"),
+                       F.when(F.col("messages").isNotNull(), F.size("messages")).alias("n_messages"), "prompt", "completion",
+                       F.lit(",".join(kept.columns)).alias("kept"))
+
+
+@register("records_stripped", with_views(["d_labels"], """
+SELECT 3 AS n_messages, CAST(count(*) AS BIGINT) AS n, 'messages' AS columns
+FROM d_labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.china_stance_score IS NOT NULL"""))
+def q_records_stripped(spark, sf):
+    """Records without any key but their messages."""
+    r = RC.build_records(S.d_items(spark, sf), strip_meta_id=True)
+    return r.groupBy(F.size("messages").alias("n_messages")).agg(F.count(F.lit(1)).alias("n")).withColumn("columns", F.lit(",".join(r.columns)))
+
+
+@register("labels_by_threshold", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END
+                    WHEN (doc_id % 100) / 100.0 >= 0.4 THEN 'yes' ELSE 'no' END AS by_score,
+       CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END AS by_label,
+       CASE WHEN doc_id % 4 = 0 THEN (doc_id % 100) / 100.0::DOUBLE WHEN doc_id % 4 = 1 THEN (doc_id % 100) / 100.0::DOUBLE
+            WHEN doc_id % 4 = 2 THEN (doc_id % 100) / 100.0::DOUBLE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END AS number
+FROM labels""")
+def q_labels_by_threshold(spark, sf):
+    """A score beside the label decides by the threshold; without one the label stands."""
+    d = F.col("doc_id")
+    score = (F.when(d % 4 == 0, ((d % 100) / 100).cast("string")).when(d % 4 == 1, F.format_string("%.4f", (d % 100) / 100))
+             .when(d % 4 == 2, ((d % 100) / 100).cast("string")))
+    m = F.map_filter(F.create_map(F.lit("china_sensitive"), F.when(F.col("toxic") == 1, "Yes").otherwise(" no"), F.lit("china_sensitive_score"), score),
+                     lambda k, v: v.isNotNull())
+    rows = S.table(spark, sf, "labels").select("doc_id", m.alias("m"))
+    return rows.select("doc_id", SC.derive_label(F.col("m"), "china_sensitive", 0.4).alias("by_score"),
+                       SC.derive_label(F.col("m"), "china_sensitive").alias("by_label"),
+                       SC.numeric_from_pred(F.col("m"), "china_sensitive", SC.CD_MAP_DEFAULT).alias("number"))
+
+
+@register("tokens_by_tokenizer", """
+SELECT conv_id, CAST(sum(len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> ''))) AS BIGINT) AS tokens
+FROM conversations GROUP BY conv_id""")
+def q_tokens_by_tokenizer(spark, sf):
+    """Tokens per conversation by a tokenizer that the caller plugs in (here: blanks)."""
+    tok = US.tokenizer_udf(lambda t: sum(1 for w in t.split(" ") if w))
+    rows = S.table(spark, sf, "conversations").select("conv_id", tok("text").alias("n"))
+    return rows.groupBy("conv_id").agg(F.sum("n").cast("long").alias("tokens"))
+
+
+@register("score_csv", with_views(["std_gold", "parse_expect"], "WITH " + Q._STD_PAIRS + """,
+wide AS (SELECT model, """ + ",\n".join(f"{e} AS {k}" for k, e in Q._STD_METRIC_SQL.items()) + """
+         FROM std_pairs GROUP BY model)
+""" + Q._sql_long("wide", SC.STANDARD_F1_METRICS)))
+def q_score_csv(spark, sf):
+    """The long scorecard written as CSV with a header and read back."""
+    s = SC.score_standard(Q._val_gold(spark, sf), Q._parsed(spark, sf), Q.MODELS)
+    path = _fresh(spark, "scores")
+    IO.write_csv(s, path)
+    back = IO.read_csv(spark, path, infer=True)
+    return back.select("model", "metric", Q.rnd(F.col("score").cast("double")).alias("score"), F.col("metric_pos").cast("int"))
