@@ -354,3 +354,10 @@ def q_score_csv(spark, sf):
     IO.write_csv(s, path)
     back = IO.read_csv(spark, path, infer=True)
     return back.select("model", "metric", Q.rnd(F.col("score").cast("double")).alias("score"), F.col("metric_pos").cast("int"))
+
+
+@register("compare_by_position", Q._compare_sql().replace("g.meta_id AS meta_id", "CAST(g.meta_id AS BIGINT) AS idx", 1))
+def q_compare_by_position(spark, sf):
+    """JN2 by file position instead of id."""
+    gold = Q._compare_gold(spark, sf).withColumn("idx", F.col("meta_id").cast("long"))
+    return SM.compare_wide(gold, Q._parsed(spark, sf), Q.MODELS, key="idx")

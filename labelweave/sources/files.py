@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,10 +106,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = Non
     if strict:
         first = bad.limit(3).collect()
         if first:
-            raise JsonlError("invalid JSON: " + "; ".join(f"{r['file']}:{r['line_no']}: {r['line'][:200]!r}" for r in first))
+            raise JsonlError(_told(first))
     return good
 
 
+def _told(bad: list) -> str:
+    return "invalid JSON: " + "; ".join(f"{r['file']}:{r['line_no']}: {r['line'][:200]!r}" for r in bad)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines with explicit nulls (Spark drops null fields by default)."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
@@ -252,10 +257,10 @@ def model_names(paths: list[str]) -> list[str]:
 
 def read_predictions(spark: SparkSession, paths: list[str], schema: T.StructType = PARSED_SCHEMA) -> DataFrame:
     """S12 + U1: one DataFrame of several models' prediction files with a
-    ``model`` column (one scan per file, unioned by name)."""
-    parts = [read_jsonl(spark, p, schema).withColumn("model", F.lit(n))
-             for p, n in zip(paths, model_names(paths))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    ``model`` column (one scan per file, unioned by name). Bad lines of any file raise; all files are checked in one job."""
+    parts = [read_jsonl_parts(spark, p, schema) for p in paths]
+    bad = reduce(DataFrame.unionByName, [b for _, b in parts]).limit(3).collect()
+    if bad:
+        raise JsonlError(_told(bad))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        good.withColumn("model", F.lit(name)) for (good, _), name in zip(parts, model_names(paths), strict=True)])
