@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelweave.codebook import Codebook, Group, default_codebook, standard_codebook
-from labelweave.functions.text import (ID_CANDIDATES, clamp11, compute_once, labelize, meta_id_str,
+from labelweave.functions.text import (ID_CANDIDATES, clamp11, compound_id, compute_once, labelize, meta_id_str,
                                        norm_columns, resolve_column, resolve_text_columns, safe_text,
                                        user_text, valid_stripped_text)
 from labelweave.session import checkpoint_dir
@@ -238,7 +238,7 @@ def build_records(df: DataFrame, cb: Codebook | None = None, *, comprehensive: b
             gj = _std_json(F.col("gold"))
         msgs.append(F.struct(F.lit("assistant").alias("role"), gj.alias("content")))
     out = fan.select(
-        F.when(F.col("kind") == "grouped", F.concat(F.col("meta_id"), F.lit("__group_"), F.col("group_id")))
+        F.when(F.col("kind") == "grouped", compound_id("meta_id", "group_id"))
          .otherwise(F.col("meta_id")).alias("record_id"),
         F.col("meta_id").alias("original_meta_id"),
         F.when(F.col("kind") == "grouped", F.col("group_id")).alias("group_id"),

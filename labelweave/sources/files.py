@@ -11,7 +11,7 @@ import os
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +137,20 @@ def sniff_delimiter(spark: SparkSession, path: str, sample_chars: int = 2048) ->
 
 
 _BAD = "_corrupt_row"
+# types a column may get, narrowest first: (type, what its values look like)
+CSV_TYPES = (
+    ("int", r"^[+-]?[0-9]{1,9}$"),
+    ("bigint", r"^[+-]?[0-9]{1,18}$"),
+    ("double", r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$|^(NaN|[+-]?Inf(inity)?)$"),
+    ("boolean", r"^(?i)(true|false)$"),
+    ("date", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
+    ("timestamp", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}.*$"),
+)
+
+
+def _odd_values(c: Column, kind: str, looks: str) -> Column:
+    """Number of values that are not of a type."""
+    return F.count_if(c.isNotNull() & ~(c.rlike(looks) & c.try_cast(kind).isNotNull()))
 
 
 def read_csv_parts(spark: SparkSession, path: str, sep: str | None = None, infer: bool = False,
@@ -147,7 +161,8 @@ def read_csv_parts(spark: SparkSession, path: str, sep: str | None = None, infer
     reading if no row has too few or too many fields, else without quoting and
     with '\\' as escape, else, if nothing fits then, quoted reading again. Rows
     that do not fit the rung taken are returned, never dropped. Columns stay
-    strings unless ``infer`` (types from all rows). Files are split among
+    strings unless ``infer`` (types from all rows, found in the same pass that counts the rows of a rung).
+    Files are split among
     tasks unless ``multi_line`` (line breaks inside quotes) is asked for.
     ``names``: column names of files without a header."""
     def reader(**opts):
@@ -164,24 +179,34 @@ def read_csv_parts(spark: SparkSession, path: str, sep: str | None = None, infer
         # the reader wants another column next to that of bad rows: every use reads the first one too
         read = F.coalesce(F.length(F.col(f"`{cols[0]}`")) >= 0, F.lit(True))
         bad = read & F.col(_BAD).isNotNull()
-        n = df.agg(F.count_if(bad).alias("bad"), F.count_if(read & ~bad).alias("good")).first()
-        return cols, df, read, bad, n, opts
-
-    quoted = rung()
-    chosen = quoted
-    if quoted[4]["bad"]:
+        found = []
+        for k, c in enumerate(cols if infer else []):
+            value = F.when(~bad, F.col(f"`{c}`"))
+            found += [F.count(value).alias(f"n{k}"), *[_odd_values(value, kind, looks).alias(f"{kind}{k}") for kind, looks in CSV_TYPES]]
+        n = df.agg(F.count_if(bad).alias("bad"), F.count_if(read & ~bad).alias("good"), *found).first()
+        return cols, df, read, bad, n
+
+    chosen = rung()
+    if chosen[4]["bad"]:
         plain = rung(quote="", escape="\\")
-        chosen = plain if plain[4]["good"] else quoted
-    cols, df, read, bad, _, opts = chosen
+        chosen = plain if plain[4]["good"] else chosen
+    cols, df, read, bad, n = chosen
     types = {}
-    if infer:
-        found = reader(**opts, inferSchema=True, samplingRatio=1.0).csv(path).schema
-        types = {c: f.dataType for c, f in zip(cols, found, strict=False)}
+    for k, c in enumerate(cols if infer else []):
+        fits = next((kind for kind, _ in CSV_TYPES if n[f"n{k}"] and not n[f"{kind}{k}"]), None)
+        if fits:
+            types[c] = fits
     good = df.filter(read & ~bad).select(*[
         F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in cols])
     return good, df.filter(bad).select(F.col(_BAD).alias("line"))
 
 
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Some line holds an odd number of quotes: a quoted field goes on in the next line."""
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    return bool(spark.read.text(path).filter(odd).limit(1).count())
+
+
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, infer: bool = False,
              multi_line: bool = False) -> DataFrame:
     """The rows of ``read_csv_parts``."""
@@ -201,12 +226,15 @@ def read_label_csv(spark: SparkSession, path: str, video_col: str = "video",
     return df
 
 
-def load_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """S3: by extension; column names normalised (P1). Texts may hold line
-    breaks, so a CSV file is read as multi-line unless told otherwise."""
+def load_table(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """S3: by extension; column names normalised (P1). A CSV file is split among tasks unless some
+    quoted field holds a line break; with ``multi_line`` None one scan of its lines finds out."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
-    df = spark.read.parquet(path) if ext == ".parquet" else read_csv(spark, path, multi_line=multi_line)
-    return norm_columns(df)
+    if ext == ".parquet":
+        return norm_columns(spark.read.parquet(path))
+    if multi_line is None:
+        multi_line = has_quoted_breaks(spark, path)
+    return norm_columns(read_csv(spark, path, multi_line=multi_line))
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False, mode: str = "overwrite") -> None:

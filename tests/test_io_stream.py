@@ -287,3 +287,31 @@ def test_jsonl_fields_of_another_type(spark, tmpdir_path):
         f.write('{"idx":"abc","s":"x"}\n{"idx":4,"s":[1,{"a":2}]}\n{"s":"y","idx":5,"more":1}\n')
     good, bad = IO.read_jsonl_parts(spark, p, "idx long, s string")
     assert [tuple(r) for r in good.collect()] == [(None, "x"), (4, '[1,{"a":2}]'), (5, "y")] and bad.count() == 0
+
+
+def test_csv_types_from_all_rows(spark, tmpdir_path):
+    """Types come from every row, in the pass that counts them; an odd value far down makes a column a string."""
+    p = os.path.join(tmpdir_path, "t.csv")
+    with open(p, "w") as f:
+        f.write("a,b,c,d,e,f,g,h\n")
+        for k in range(500):
+            f.write(f"{k},{10**12 + k},{k / 4},{'true' if k % 2 else 'FALSE'},2024-01-{k % 28 + 1:02d},2024-01-01 10:{k % 60:02d}:00,{k if k != 433 else 'x'},\n")
+    good, bad = IO.read_csv_parts(spark, p, infer=True)
+    assert dict(good.dtypes) == {"a": "int", "b": "bigint", "c": "double", "d": "boolean", "e": "date", "f": "timestamp", "g": "string", "h": "string"}
+    assert good.count() == 500 and bad.count() == 0 and good.filter("g = 'x'").count() == 1
+    none, _ = IO.read_csv_parts(spark, p, infer=False)
+    assert {t for _, t in none.dtypes} == {"string"}
+
+
+def test_tables_are_split_unless_quotes_hold_breaks(spark, tmpdir_path):
+    for name, text in (("plain", "word"), ("breaks", "a\nb")):
+        df = spark.createDataFrame([(f"{k}", f'{text} "{k}"') for k in range(300)], "id string, t string").coalesce(1)
+        IO.write_csv(df, f"{tmpdir_path}/{name}.csv", quote_all=True)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        plain, breaks = IO.load_table(spark, f"{tmpdir_path}/plain.csv"), IO.load_table(spark, f"{tmpdir_path}/breaks.csv")
+        assert plain.rdd.getNumPartitions() > 1 == breaks.rdd.getNumPartitions()
+        assert plain.count() == breaks.count() == 300 and breaks.filter("t LIKE 'a\\nb %'").count() == 300
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
