@@ -361,3 +361,17 @@ def q_compare_by_position(spark, sf):
     """JN2 by file position instead of id."""
     gold = Q._compare_gold(spark, sf).withColumn("idx", F.col("meta_id").cast("long"))
     return SM.compare_wide(gold, Q._parsed(spark, sf), Q.MODELS, key="idx")
+
+
+@register("merge_two_models", with_views(["grouped_expect"], """
+SELECT 'm_alpha' AS model, meta_id, has_content AS complete, related, collective FROM grouped_expect
+UNION ALL
+SELECT 'm_beta', e.meta_id, false, e.related, CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END
+FROM grouped_expect e JOIN labels l USING (doc_id)"""))
+def q_merge_two_models(spark, sf):
+    """Answers of two models in one table are merged on their own; the second has no content group."""
+    rows = S.d_grouped(spark, sf)
+    beta = rows.filter(F.col("meta_id").endswith("__group_china")).withColumn("model", F.lit("m_beta"))
+    merged = MG.merge_groups(PA.parse_predictions(rows.unionByName(beta), group_mode="binary"), group_mode="binary")
+    g = lambda k: F.try_element_at("json", F.lit(k))
+    return merged.select("model", "meta_id", "complete", g("china_related").alias("related"), g("collective_action").alias("collective"))
