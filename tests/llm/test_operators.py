@@ -330,7 +330,7 @@ def test_queries_match_their_sql(spark):
     from labelweave.llm import queries
     from tests.llm.conftest import SF0001
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "pages"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
     digest = lambda cols, data: hashlib.md5(repr(sorted(
         tuple(str(r[cols.index(c)]) for c in sorted(cols)) for r in data)).encode()).hexdigest()
