@@ -34,7 +34,7 @@ from labelweave.operators import scoring as SC
 from labelweave.session import checkpoint_dir
 
 BUCKETS = 1024
-EXACT_MEAN = 40
+EXACT_MEAN = 12
 OUTSIDE = "other"       # a predicted class that is none of the metric's
 
 
@@ -56,7 +56,7 @@ POISSON_CDF = _poisson_cdf()
 def binomial_sql(n: str, p: str, u: str, v: str) -> str:
     """SQL text of a Binomial(n, p) draw from two uniforms in (0, 1)."""
     exact = ("transform(array(exp(t.n * ln(1 - t.q))), z -> aggregate("
-             "sequence(1, CAST(least(t.n, ceil(t.n * t.q + 10 * sqrt(t.n * t.q)) + 20) AS INT)), "
+             "sequence(1, CAST(least(t.n, ceil(t.n * t.q + 7 * sqrt(t.n * t.q)) + 8) AS INT)), "
              "struct(0L AS x, z AS f, z AS cdf), (a, k) -> CASE WHEN t.u < a.cdf THEN a ELSE "
              "transform(array(a.f * (t.n - k + 1) / k * (t.q / (1 - t.q))), f -> "
              "struct(CAST(k AS BIGINT) AS x, f AS f, a.cdf + f AS cdf))[0] END, a -> a.x))[0]")
@@ -154,10 +154,10 @@ def r2_sums(gold: Column, pred: Column) -> list[Column]:
 def r2_of_sums(w: Column) -> Column:
     """R2 of weighted rows of ``r2_sums``; the same rules for few pairs and constant gold as ``metrics.r2``."""
     n, sg, ssr = F.sum(w * F.col("n")), F.sum(w * F.col("sg")), F.sum(w * F.col("ssr"))
-    sst = F.sum(w * F.col("sgg")) - sg * sg / n
+    sst = F.sum(w * F.col("sgg")) - F.try_divide(sg * sg, n)
     return (F.when(F.coalesce(n, F.lit(0)) < 2, F.lit(None).cast("double"))
             .when(F.min("low") == F.max("high"), F.when(ssr == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-            .otherwise(1 - ssr / sst))
+            .otherwise(1 - F.try_divide(ssr, sst)))
 
 
 def intervals(scores: DataFrame, alpha: float) -> DataFrame:

@@ -85,7 +85,7 @@ from labelweave.functions.text import to_double  # noqa: E402
 
 
 def _parsed(spark, sf):
-    return PA.parse_predictions(S.d_raw(spark, sf))
+    return PA.parse_predictions(S.d_raw(spark, sf), first_pass="scan")
 
 
 @register("parse_answers", with_views(["parse_expect"], """
@@ -145,7 +145,7 @@ def q_parse_bad_preview(spark, sf):
 # --- merge (A3–A5, JN3, A15, A22) --------------------------------------------------------
 
 def _merged(spark, sf):
-    parsed = PA.parse_predictions(S.d_grouped(spark, sf), group_mode="binary")
+    parsed = PA.parse_predictions(S.d_grouped(spark, sf), first_pass="scan", group_mode="binary")
     return MG.merge_groups(parsed, group_mode="binary")
 
 
@@ -355,7 +355,7 @@ def _chain_sql(cells: str, seed, B: int) -> str:
     one binomial per step; each step's share of the remaining items is q = c / mass or 1 - q, whichever is rarer."""
     u = "(('0x' || substr(h, {}, 13))::BIGINT::DOUBLE + 0.5) / " + f"{16 ** 13}::DOUBLE"
     exact = ("list_reduce(list_prepend([0, exp(lft * ln(1 - q)), exp(lft * ln(1 - q))], list_transform(range(1, "
-             "CAST(least(lft, ceil(lft * q + 10 * sqrt(lft * q)) + 20) AS BIGINT) + 1), lambda k: [k::DOUBLE, 0::DOUBLE, 0::DOUBLE])), "
+             "CAST(least(lft, ceil(lft * q + 7 * sqrt(lft * q)) + 8) AS BIGINT) + 1), lambda k: [k::DOUBLE, 0::DOUBLE, 0::DOUBLE])), "
              "lambda a, e: CASE WHEN u < a[3] THEN a ELSE [e[1], a[2] * (lft - e[1] + 1) / e[1] * (q / (1 - q)), "
              "a[3] + a[2] * (lft - e[1] + 1) / e[1] * (q / (1 - q))] END)[1]")
     z = "(sqrt(-2 * ln(u)) * cos(2 * pi() * v))"
@@ -853,7 +853,7 @@ SELECT model, meta_id, cls IN (0, 1, 2, 3, 8, 9) AS parsed,
 FROM raw_expect"""))
 def q_parse_simple(spark, sf):
     """The ladder without repairs (whole text, tail, last valid block)."""
-    p = PA.parse_predictions(S.d_raw(spark, sf), strategy="simple")
+    p = PA.parse_predictions(S.d_raw(spark, sf), first_pass="scan", strategy="simple")
     j = F.col("json")
     return p.select("model", "meta_id", "parsed", "mode", F.try_element_at(j, F.lit("china_sensitive")).alias("sensitive"),
                     F.try_element_at(j, F.lit("collective_action")).alias("collective"),
@@ -992,7 +992,7 @@ def q_stream_merge(spark, sf):
     corrections for later answers. The feed is closed after the last answer."""
     base = _fresh(spark, "merge")
     start = F.timestamp_seconds(F.lit(1_700_000_000))
-    rows = PA.parse_predictions(S.d_grouped(spark, sf), group_mode="binary").select(
+    rows = PA.parse_predictions(S.d_grouped(spark, sf), first_pass="scan", group_mode="binary").select(
         "original_meta_id", "group_id", "idx", "parsed", "json", start.alias("arrived"))
     rows.write.parquet(f"{base}/landing")
     close = spark.createDataFrame([(None,) * 5], "original_meta_id string, group_id string, idx long, parsed boolean, json map<string,string>")

@@ -132,3 +132,13 @@ def test_constant_gold_and_few_pairs(spark):
     assert got["col_action_F"].score is None and got["col_action_F"].ci_low is None
     none = BT.bootstrap_standard(df.filter("false").select("meta_id", "gold"), preds.filter("false"), ["m"], B=5)
     assert none.count() == 0
+
+
+def test_no_pairs_at_all(spark):
+    """R2 of a metric that no record has: no score, no interval, no error."""
+    rows = [(str(i), {"china_stance_score": "x"}, {"china_stance_score": "0.5"}) for i in range(5)]
+    df = spark.createDataFrame(rows, "meta_id string, gold map<string,string>, json map<string,string>")
+    preds = df.selectExpr("'m' AS model", "meta_id", "true AS parsed", "json")
+    got = BT.bootstrap_standard(df.select("meta_id", "gold"), preds, ["m"], B=20, yn_metric="r2").collect()
+    assert {r.metric for r in got} == set(SC.STANDARD_R2_METRICS)
+    assert all(r.score is None and r.ci_low is None for r in got if r.metric.endswith("R2"))
