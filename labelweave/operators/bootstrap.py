@@ -273,15 +273,35 @@ def comprehensive_replicates(conf: DataFrame, B: int, seed: int | str) -> DataFr
                                       "b", "score"))
 
 
+def comprehensive_item_confusion(answers: DataFrame, B: int, seed: int | str) -> DataFrame:
+    """(model, b, dim, kind, g, p) -> n: the weighted confusion table of every replicate and of ``POINT``; ``answers``: the rows of
+    ``scoring.comprehensive_answers``. Labels that no metric tells apart are one, so its size does not grow with the items."""
+    def shown(x, side):
+        known = F.when(x["kind"] == "binary", x[side] == "yes").otherwise(x[side].isin(*SC.STANCE_CLASSES))
+        return F.when(known, x[side]).otherwise(F.lit(OUTSIDE)).alias(side)
+
+    few = answers.select("model", "meta_id", F.transform("answers", lambda x: F.struct(
+        x["dim"].alias("dim"), x["kind"].alias("kind"), shown(x, "g"), shown(x, "p"))).alias("answers"))
+    return (replicate_weights(few, B, seed).select("model", "b", "w", F.inline("answers"))
+            .groupBy("model", "b", "dim", "kind", "g", "p").agg(F.sum("w").alias("n")))
+
+
 def bootstrap_comprehensive(gold: DataFrame, preds: DataFrame, models: list[str] | None = None,
                             B: int = 1000, alpha: float = 0.05, seed: int | str = 0,
-                            cb: Codebook | None = None, yn_thresh: float | None = None) -> DataFrame:
+                            cb: Codebook | None = None, yn_thresh: float | None = None, by: str = "items") -> DataFrame:
     """A13 on the 20-metric scorecard: (model, metric, score, metric_pos, ci_low, ci_high).
 
     Point scores and replicates come from one confusion table, so the items are read once."""
     models = models or SC.model_list(preds)
-    conf = _held(SC.confusion(SC.comprehensive_long(SC.align(gold.select("meta_id", "gold"), preds, models), cb, yn_thresh)))
+    aligned = SC.align(gold.select("meta_id", "gold"), preds, models)
     order = {m: i for i, m in enumerate(SC.comprehensive_metric_order())}
     pos = F.create_map(*[x for m, i in order.items() for x in (F.lit(m), F.lit(i))])
-    point = SC.metrics_from_confusion(conf).withColumn("metric_pos", F.try_element_at(pos, F.col("metric")))
-    return point.join(intervals(comprehensive_replicates(conf, B, seed), alpha), ["model", "metric"], "left")
+    if by == "cells":
+        conf = _held(SC.confusion(SC.comprehensive_long(aligned, cb, yn_thresh)))
+        point, reps = SC.metrics_from_confusion(conf), comprehensive_replicates(conf, B, seed)
+    else:
+        conf = _held(comprehensive_item_confusion(SC.comprehensive_answers(aligned, cb, yn_thresh), B, seed))
+        point = SC.metrics_from_confusion(conf.filter(F.col("b") == POINT))
+        reps = SC.metrics_from_confusion(conf.filter(F.col("b") != POINT), "n", ("model", "b"))
+    return (point.withColumn("metric_pos", F.try_element_at(pos, F.col("metric")))
+            .join(intervals(reps, alpha), ["model", "metric"], "left"))

@@ -192,9 +192,9 @@ def score_standard(gold: DataFrame, preds: DataFrame, models: list[str] | None =
 
 # --- comprehensive scorecard (A10, A11) ---------------------------------------------------
 
-def comprehensive_long(aligned: DataFrame, cb: Codebook | None = None,
-                       yn_thresh: float | None = None) -> DataFrame:
-    """(model, meta_id, dim, kind, g, p) — one row per item x model x dimension."""
+def comprehensive_answers(aligned: DataFrame, cb: Codebook | None = None,
+                          yn_thresh: float | None = None) -> DataFrame:
+    """(model, meta_id, answers) — one row per item x model, its answers as an array of (dim, kind, g, p)."""
     cb = cb or default_codebook()
     g, p = F.col("gold"), F.col("json")
     items = []
@@ -209,8 +209,13 @@ def comprehensive_long(aligned: DataFrame, cb: Codebook | None = None,
             kind = "binary"
         items.append(F.struct(F.lit(d.key).alias("dim"), F.lit(kind).alias("kind"),
                               gv.alias("g"), pv.alias("p")))
-    return aligned.select("model", "meta_id", F.explode(F.array(*items)).alias("x")).select(
-        "model", "meta_id", "x.dim", "x.kind", "x.g", "x.p")
+    return aligned.select("model", "meta_id", F.array(*items).alias("answers"))
+
+
+def comprehensive_long(aligned: DataFrame, cb: Codebook | None = None,
+                       yn_thresh: float | None = None) -> DataFrame:
+    """(model, meta_id, dim, kind, g, p) — one row per item x model x dimension."""
+    return comprehensive_answers(aligned, cb, yn_thresh).select("model", "meta_id", F.inline("answers"))
 
 
 def confusion(long: DataFrame) -> DataFrame:
