@@ -30,6 +30,7 @@ def _fresh(spark, name: str) -> str:
 # --- records: images, two outputs, skip ---------------------------------------------------------
 
 _FRAMES = [10, 2]       # frame numbers in file order; the order of a record is numeric
+_FRAME_TASKS_PER_CORE = 4
 
 
 def _url_sql(n: int) -> str:
@@ -52,7 +53,9 @@ def q_records_multimodal(spark, sf):
     frames = docs.filter("doc_id % 3 <> 0").select(
         S.pad_id(F.col("doc_id")).alias("item"), F.explode(F.array(*map(F.lit, _FRAMES))).alias("frame"),
         F.coalesce("source", F.lit("-")).alias("source"))
-    (frames.repartition("item").select("item", "frame", F.concat(F.lit("frame "), "frame", F.lit(" of "), "source").alias("value"))
+    # a file per frame: the rows are few bytes and would be left to one task unless their number of tasks is given
+    tasks = _FRAME_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    (frames.repartition(tasks, "item").select("item", "frame", F.concat(F.lit("frame "), "frame", F.lit(" of "), "source").alias("value"))
      .write.partitionBy("item", "frame").text(f"{base}/frames"))
     found = RC.read_frames(spark, f"{base}/frames", "part-*", r"/item=([^/]+)/", r"/frame=([0-9]+)/")
     CT.write_records(RC.build_records(S.d_items(spark, sf), frames=found), f"{base}/records.jsonl")

@@ -2,6 +2,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,19 @@ def test_brace_tokens(spark):
         want = blocks_by_character(r.t) if r.t is not None else None
         assert r.every == want and r.last == (want[-1] if want else None), r.t
     assert extract_json(F.lit("x")) is not None
+
+
+def test_frame_files_are_written_by_many_tasks(spark, tmpdir_path):
+    """records_multimodal: a file per frame, and the few bytes of all frames are not left to one task."""
+    from glob import glob
+
+    from labelweave.plans.feature_queries import q_records_multimodal
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", tmpdir_path)
+    try:
+        rows = q_records_multimodal(spark, SF0001).collect()
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+    names = glob(f"{tmpdir_path}/frames-*/frames/item=*/frame=*/part-*")
+    assert len(names) >= sum(r.n_images for r in rows) > 0
+    assert len({re.search(r"/part-(\d+)-", n).group(1) for n in names}) > spark.sparkContext.defaultParallelism
