@@ -39,7 +39,8 @@ def union_messages(records: DataFrame) -> DataFrame:
 def _json_string(c: Column) -> Column:
     """A JSON string literal, or null as ``null``."""
     obj = F.to_json(F.struct(c.alias("v")))         # {"v":"..."}
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.substring(obj, F.lit(6), F.length(obj) - 6))
+    inner = F.transform(F.array(obj), lambda o: F.substring(o, F.lit(6), F.length(o) - 6))[0]     # the JSON is made once
+    return F.when(c.isNull(), F.lit("null")).otherwise(inner)
 
 
 def message_json(m: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelweave.functions.jsonfix import JSON_OPTS
-from labelweave.functions.text import norm_columns, strip_ws
+from labelweave.functions.text import compute_once, norm_columns, strip_ws
 
 RAW_SCHEMA = T.StructType([
     T.StructField("idx", T.LongType()), T.StructField("meta_id", T.StringType()),
@@ -57,7 +57,7 @@ def _json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"),
         F.monotonically_increasing_id().alias("_nr"),
-        F.regexp_replace(F.col("value"), "[\u2028\u2029]", "").alias("_line"))
+        F.replace(F.replace("value", F.lit("\u2028"), F.lit("")), F.lit("\u2029"), F.lit("")).alias("_line"))
 
 
 def _with_line_numbers(bad: DataFrame, lines: DataFrame) -> DataFrame:
@@ -84,9 +84,10 @@ def read_jsonl_parts(spark: SparkSession, path: str,
         schema = spark.read.json(path).schema
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     marked = T.ArrayType(T.StructType([*schema.fields, T.StructField(_END, T.StringType())]))
-    body = strip_ws(F.col("_line"))
+    body = F.col("_body")
     parsed = F.from_json(F.concat(F.lit("["), body, F.lit(',{"%s":""}]' % _END)), marked, JSON_OPTS)
-    whole = lines.filter(F.regexp_replace("_line", r"[\r\n]+$", "") != "").select("*", F.explode(F.array(F.struct(
+    whole = compute_once(lines.filter(F.ltrim("_line", F.lit("\r\n")) != ""), _body=strip_ws("_line"))
+    whole = whole.select("*", F.explode(F.array(F.struct(
         F.when(body.startswith("{") & body.endswith("}"), parsed).alias("a")))).alias("_p"))
     end = F.get("_p.a", F.lit(1))
     ok = F.coalesce((F.size("_p.a") == 2) & end[_END].isNotNull() & F.get("_p.a", F.lit(0))[_END].isNull(), F.lit(False))

@@ -145,17 +145,32 @@ def test_brace_tokens(spark):
     assert extract_json(F.lit("x")) is not None
 
 
-def test_frame_files_are_written_by_many_tasks(spark, tmpdir_path):
+def test_frame_files_are_written_by_many_tasks(spark):
     """records_multimodal: a file per frame, and the few bytes of all frames are not left to one task."""
     from glob import glob
 
     from labelweave.plans.feature_queries import q_records_multimodal
-    before = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", tmpdir_path)
-    try:
-        rows = q_records_multimodal(spark, SF0001).collect()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
-    names = glob(f"{tmpdir_path}/frames-*/frames/item=*/frame=*/part-*")
+    from labelweave.session import checkpoint_dir
+    found = f"{checkpoint_dir(spark).removeprefix('file:')}/frames-*/frames/item=*/frame=*/part-*"
+    before = set(glob(found))
+    rows = q_records_multimodal(spark, SF0001).collect()
+    names = set(glob(found)) - before
     assert len(names) >= sum(r.n_images for r in rows) > 0
     assert len({re.search(r"/part-(\d+)-", n).group(1) for n in names}) > spark.sparkContext.defaultParallelism
+
+
+def test_strip_is_no_regex_and_a_line_is_stripped_once(spark, tmpdir_path):
+    """Every character up to U+FFFF strips as with the regex of Unicode white space; reading JSON lines scans no line by regex."""
+    from labelweave.functions.text import strip_ws
+    from labelweave.sources.files import read_jsonl_parts
+    d = spark.range(1, 0x10000).filter("id < 55296 OR id > 57343").selectExpr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS c")
+    d = d.select(F.concat("c", F.lit("a "), "c", F.lit("b"), "c", F.lit(" "), "c").alias("t"))
+    was = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    got = d.select(F.count("*"), F.count_if(strip_ws("t") != was), F.count_if(strip_ws("t") == "t")).first()
+    assert got[0] == 0xFFFF - 2048 and got[1] == 0
+    one = spark.createDataFrame([("  \n\t  ",), ("",), (None,)], "t string").select(strip_ws("t")).collect()
+    assert [r[0] for r in one] == ["", "", None]
+    spark.createDataFrame([('{"a":"x y"}',), (" \t",), (" {\"a\":\"2\"} ",), ("{} {}",)], "value string").write.text(f"{tmpdir_path}/x")
+    good, bad = read_jsonl_parts(spark, f"{tmpdir_path}/x", "a string")
+    assert sorted(r.a for r in good.collect()) == ["2", "xy"] and sorted(r.line for r in bad.collect()) == [" \t", "{} {}"]
+    assert "regexp_replace" not in good._jdf.queryExecution().executedPlan().toString()
