@@ -29,6 +29,7 @@ from labelweave.functions.text import (ID_CANDIDATES, clamp11, compound_id, comp
                                        norm_columns, resolve_column, resolve_text_columns, safe_text,
                                        user_text, valid_stripped_text)
 from labelweave.session import checkpoint_dir
+from labelweave.sources.files import read_small_files
 
 MESSAGE_T = T.StructType([T.StructField("role", T.StringType()),
                           T.StructField("content", T.StringType())])
@@ -138,9 +139,7 @@ def read_frames(spark, frames_dir: str, glob: str = "frame_*.jpg", item_re: str
                 n_re: str = r"frame_([0-9]+)\.jpg$") -> DataFrame:
     """frame_<n>.jpg files under <dir>/<item id>/, as (item_id, n, content); for another layout give
     the files' pattern and where item and number stand in a path."""
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", "true").load(frames_dir))
-    return df.select(
+    return read_small_files(spark, frames_dir, glob).select(
         F.regexp_extract("path", item_re, 1).alias("item_id"),
         F.regexp_extract("path", n_re, 1).cast("int").alias("n"),
         "content")

@@ -54,9 +54,9 @@ def q_records_multimodal(spark, sf):
         S.pad_id(F.col("doc_id")).alias("item"), F.explode(F.array(*map(F.lit, _FRAMES))).alias("frame"),
         F.coalesce("source", F.lit("-")).alias("source"))
     # a file per frame: the rows are few bytes and would be left to one task unless their number of tasks is given
-    tasks = _FRAME_TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    (frames.repartition(tasks, "item").select("item", "frame", F.concat(F.lit("frame "), "frame", F.lit(" of "), "source").alias("value"))
-     .write.partitionBy("item", "frame").text(f"{base}/frames"))
+    IO.write_small_files(
+        frames.select("item", "frame", F.concat(F.lit("frame "), "frame", F.lit(" of "), "source").alias("value")),
+        f"{base}/frames", ["item", "frame"], _FRAME_TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     found = RC.read_frames(spark, f"{base}/frames", "part-*", r"/item=([^/]+)/", r"/frame=([0-9]+)/")
     CT.write_records(RC.build_records(S.d_items(spark, sf), frames=found), f"{base}/records.jsonl")
     back, _ = CT.read_records(spark, f"{base}/records.jsonl")

@@ -9,8 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
+import zlib
+from fnmatch import fnmatchcase
 from functools import reduce
+from itertools import groupby, islice
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -263,6 +268,118 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
         raise ValueError(f"unsupported output format {fmt!r}")
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path for Python's own file calls if Spark takes it from the local (or a mounted) file system, else None."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+_ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{[\]^]""")
+
+
+def write_small_files(df: DataFrame, path: str, keys: list[str], tasks: int) -> None:
+    """``df.write.partitionBy(*keys).text(path)`` for about as many files as rows: rows (keys, ``value``) are dealt by the first key
+    to ``tasks`` tasks, and all values of the same keys become the lines of one file.
+
+    On a local or mounted file system Python writes them: without its native library Hadoop starts a process per file to
+    set permissions and adds a file of checksums, tens of milliseconds each. A file is written under a hidden
+    name and then renamed, so another attempt of its task replaces it whole."""
+    text = [F.col(k).cast("string") for k in keys]
+    rows = df.select(*[F.when(t != "", t).alias(k) for k, t in zip(keys, text, strict=True)], "value").repartition(tasks, keys[0])
+    root = local_path(df.sparkSession, path)
+    if root is None:
+        rows.write.partitionBy(*keys).text(path)
+        return
+    os.makedirs(root)
+    run = uuid.uuid4().hex
+
+    def folder_of(key, value):
+        """As Spark names the folder of a partition."""
+        return f"{key}=" + (_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__")
+
+    def write(batches):
+        import pyarrow as pa
+
+        context, n = TaskContext.get(), 0
+        name = f"part-{context.partitionId():05d}-{run}.txt"
+        hidden = f".{name}.{context.taskAttemptId()}"
+        lines = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for of, same in groupby(lines, lambda row: row[:-1]):
+            folder = "/".join([root, *map(folder_of, keys, of)])
+            os.makedirs(folder, exist_ok=True)
+            with open(f"{folder}/{hidden}", "wb") as file:
+                for row in same:
+                    file.write((row[-1] or "").encode() + b"\n")
+            os.replace(f"{folder}/{hidden}", f"{folder}/{name}")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.sortWithinPartitions(*keys, "value").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+_FILES_AT_ONCE, _BYTES_AT_ONCE = 10_000, 16 << 20
+
+
+def read_small_files(spark: SparkSession, path: str, glob: str, tasks: int | None = None) -> DataFrame:
+    """``path`` and ``content`` of every file at any depth under a folder whose name fits ``glob``, as the source
+    ``binaryFile`` reads them: without empty files and those whose name, or a folder's, begins with '.', or with '_' and has no '='.
+
+    That source holds every file's status on the driver and reads 32 files a task at most, as each counts 4 MB; it remains for
+    other than local or mounted file systems and for patterns beyond * and ?. There Python lists and reads: each task takes its
+    share of the entries of ``path`` and lists all below them; the files found are dealt anew, so neither the driver nor one
+    task holds the list."""
+    root = local_path(spark, path)
+    if root is None or re.search(r"[*?{}\[\]\\]", path) or re.search(r"[{}\[\]\\]", glob) or not os.path.isdir(root):
+        return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+                .option("recursiveFileLookup", "true").load(path).select("path", "content"))
+    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    at_once, most = _FILES_AT_ONCE, _BYTES_AT_ONCE
+
+    def below(folder, share=None):
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if share is not None and zlib.crc32(os.fsencode(e.name)) % tasks != share:
+                    continue
+                hidden = e.name.startswith(".") or e.name.startswith("_") and "=" not in e.name or e.name.endswith("._COPYING_")
+                if e.is_dir():
+                    if not hidden or e.name.startswith(("_metadata", "_common_metadata")):
+                        yield from below(e.path)
+                elif not hidden and fnmatchcase(e.name, glob):
+                    yield e.path
+
+    def listed(batches):
+        import pyarrow as pa
+
+        found = (f for b in batches for share in b.column(0).to_pylist() for f in below(root, share))
+        while names := list(islice(found, at_once)):
+            yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
+
+    def read(batches):
+        import pyarrow as pa
+
+        def batch():
+            return pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string()), "content": pa.array(contents, pa.binary())})
+
+        names, contents, size = [], [], 0
+        for name in (n for b in batches for n in b.column(0).to_pylist()):
+            with open(name, "rb") as file:
+                content = file.read()
+            if not content:
+                continue
+            names.append(f"file:{name}")
+            contents.append(content)
+            size += len(content)
+            if size >= most or len(names) >= at_once:
+                yield batch()
+                names, contents, size = [], [], 0
+        if names:
+            yield batch()
+
+    names = spark.range(0, tasks, 1, tasks).mapInArrow(listed, "path string")
+    return names.repartition(tasks, "path").mapInArrow(read, "path string, content binary")
+
+
 def model_name(path: str) -> str:
     """File name without its endings, other characters than word characters, '.' and '-' as '_'."""
     stem = os.path.basename(path.rstrip("/"))

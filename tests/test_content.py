@@ -174,3 +174,82 @@ def test_strip_is_no_regex_and_a_line_is_stripped_once(spark, tmpdir_path):
     good, bad = read_jsonl_parts(spark, f"{tmpdir_path}/x", "a string")
     assert sorted(r.a for r in good.collect()) == ["2", "xy"] and sorted(r.line for r in bad.collect()) == [" \t", "{} {}"]
     assert "regexp_replace" not in good._jdf.queryExecution().executedPlan().toString()
+
+
+def small_file_rows(spark):
+    odd = ["a/b", "a b", "ä😀", 'q"#%\'*:=?\\{[]^}~', "\x01\x1f\x7f", "", None, "0", "-1", ".hidden", "_x"]
+    rows = [(v, n, f"{n} of {v}\nsecond") for v in odd for n in (10, 2, None)] + [("0", 2, "again"), ("0", 2, None), ("0", 2, "")]
+    return spark.createDataFrame(rows, "item string, frame int, value string")
+
+
+def test_small_files_are_written_as_spark_does(spark, tmpdir_path):
+    """Folders, files and lines of write_small_files are those of Spark's writer: odd, empty, null and repeated keys."""
+    from glob import glob
+
+    from labelweave.sources.files import write_small_files
+    d = small_file_rows(spark)
+    write_small_files(d, f"{tmpdir_path}/ours", ["item", "frame"], 5)
+    d.repartition(5, "item").write.partitionBy("item", "frame").text(f"{tmpdir_path}/spark")
+
+    def found(path):
+        out = []
+        for f in glob(f"{path}/**/part-*", recursive=True, include_hidden=True):
+            with open(f, "rb") as file:
+                out.append((os.path.relpath(os.path.dirname(f), path), sorted(file.read().split(b"\n"))))
+        return sorted(out)
+
+    # Spark deals null and "" as two keys, whose files then lie in one folder; here they are one file
+    default = "item=__HIVE_DEFAULT_PARTITION__"
+    ours, spark_s = found(f"{tmpdir_path}/ours"), found(f"{tmpdir_path}/spark")
+    assert [x for x in ours if default not in x[0]] == [x for x in spark_s if default not in x[0]]
+    lines = lambda rows: sorted((f, x) for f, text in rows if default in f for x in text if x)
+    assert lines(ours) == lines(spark_s) != []
+    with pytest.raises(Exception, match="exists"):
+        write_small_files(d, f"{tmpdir_path}/ours", ["item", "frame"], 5)
+    write_small_files(d.limit(0), f"{tmpdir_path}/none", ["item", "frame"], 5)
+    assert os.listdir(f"{tmpdir_path}/none") == []
+
+
+def test_small_files_are_read_as_spark_does(spark, tmpdir_path):
+    """Paths and bytes are those of the source binaryFile: nested, hidden, empty and linked files, odd names, other patterns."""
+    from labelweave.sources.files import read_small_files
+    names = ["a/frame_1.jpg", "a/frame_10.jpg", "a/frame_2.png", "a/.frame_1.jpg", "a/_frame_1.jpg", "frame_3.jpg", "b/c/d/frame_4.jpg",
+             "_x/frame_1.jpg", "_x=1/frame_1.jpg", ".h/frame_1.jpg", "e f/ä%20#😀/frame_5.jpg", "g/frame_6.jpg._COPYING_", "g/frame_.jpg",
+             "_metadata_x/frame_1.jpg", "a/_metadata.jpg", "many/frame_7.jpg", "g/Frame_1.jpg", "g/frame_1.JPG", "g/frame_8.jpg/frame_9.jpg"]
+    for k, n in enumerate(names):
+        os.makedirs(os.path.dirname(f"{tmpdir_path}/in/{n}"), exist_ok=True)
+        with open(f"{tmpdir_path}/in/{n}", "wb") as f:
+            f.write(b"\x00\xff" * k)
+    os.symlink(f"{tmpdir_path}/in/a", f"{tmpdir_path}/in/linked")
+    os.makedirs(f"{tmpdir_path}/in/empty")
+
+    def both(path, glob):
+        want = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+        got = read_small_files(spark, path, glob)
+        rows = [sorted((r.path, bytes(r.content)) for r in d.select("path", "content").collect()) for d in (got, want)]
+        assert rows[0] == rows[1], glob
+        return len(rows[0])
+
+    assert both(f"{tmpdir_path}/in", "frame_*.jpg") == 10
+    assert both(f"file://{tmpdir_path}/in/", "frame_?.jpg") and both(f"file:{tmpdir_path}/in", "*") and both(f"{tmpdir_path}/in/empty", "*") == 0
+    assert both(f"{tmpdir_path}/in", "frame_[13].jpg") and both(f"{tmpdir_path}/in/[ab]", "*.jpg") and both(f"{tmpdir_path}/in", "{f,F}*.jpg")
+    assert both(f"{tmpdir_path}/in/frame_3.jpg", "*") == 1
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        read_small_files(spark, f"{tmpdir_path}/nowhere", "*").collect()
+
+
+def test_frames_start_no_process_and_are_not_listed_on_the_driver(spark):
+    """records_multimodal: no checksum file (for whose rights and those of the data file Hadoop starts processes) lies beside a
+    frame, and frames are not read by the source that holds the status of every file on the driver and 32 files a task."""
+    from glob import glob
+
+    from labelweave.plans.feature_queries import q_records_multimodal
+    from labelweave.session import checkpoint_dir
+    top = checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob(f"{top}/frames-*"))
+    q_records_multimodal(spark, SF0001).collect()
+    (base,) = set(glob(f"{top}/frames-*")) - before
+    files = glob(f"{base}/frames/item=*/frame=*/*", include_hidden=True)
+    assert files and all(os.path.basename(f).startswith("part-") for f in files)
+    found = RC.read_frames(spark, f"{base}/frames", "part-*", r"/item=([^/]+)/", r"/frame=([0-9]+)/")
+    assert found.count() == len(files) and "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
