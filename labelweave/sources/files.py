@@ -376,7 +376,9 @@ def read_small_files(spark: SparkSession, path: str, glob: str, tasks: int | Non
         if names:
             yield batch()
 
-    names = spark.range(0, tasks, 1, tasks).mapInArrow(listed, "path string")
+    # of an RDD, whose size counts as unknown: by the size of a range all contents would be planned as a broadcast
+    shares = spark.createDataFrame(spark.sparkContext.parallelize([(k,) for k in range(tasks)], tasks), "share int")
+    names = shares.mapInArrow(listed, "path string")
     return names.repartition(tasks, "path").mapInArrow(read, "path string, content binary")
 
 

@@ -253,3 +253,7 @@ def test_frames_start_no_process_and_are_not_listed_on_the_driver(spark):
     assert files and all(os.path.basename(f).startswith("part-") for f in files)
     found = RC.read_frames(spark, f"{base}/frames", "part-*", r"/item=([^/]+)/", r"/frame=([0-9]+)/")
     assert found.count() == len(files) and "binaryFile" not in found._jdf.queryExecution().executedPlan().toString()
+    # however few files there are, their contents are no broadcast before their size is known
+    plan = RC.build_records(S.d_items(spark, SF0001), frames=found)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" in plan and not re.search("BroadcastHashJoin .*LeftOuter, BuildRight.*\\n.*item_id", plan)
+    assert re.search(r"SortMergeJoin \[meta_id[^]]*\], \[item_id[^]]*\], LeftOuter", plan)
